@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from findmill import vocab
 from findmill.functions import labels, text
 from findmill.functions.rounding import round_exact
+from findmill.operators.ordering import number_in_order
 
 # The line shapes the structure profile looks for
 _HEADER = r"^\s*(?:async\s+)?(?:def|class)\s"
@@ -172,10 +173,15 @@ def complexity_findings(files: DataFrame) -> DataFrame:
     """One finding per function of complexity 15 or more; HIGH from 25."""
     block = F.col("block")
     cc = block["complexity"]
-    found = (
+    complex_blocks = F.filter(
+        "blocks",
+        lambda b: b["is_function"] & (b["complexity"] >= vocab.COMPLEXITY_FINDING_FROM),
+    )
+    found = number_in_order(
         files.transform(structure_metrics)
-        .select("report_id", "path", F.posexplode("blocks").alias("ord", "block"))
-        .filter(block["is_function"] & (cc >= vocab.COMPLEXITY_FINDING_FROM))
+        .select("report_id", "path", F.explode(complex_blocks).alias("block"))
+        .withColumn("line", F.col("block.start")),
+        "report_id", "path", "line",
     )
     made_id = F.concat(
         F.lit("complexity-"),
@@ -183,7 +189,7 @@ def complexity_findings(files: DataFrame) -> DataFrame:
     )
     return found.select(
         "report_id",
-        F.col("ord").cast("bigint").alias("ord"),
+        "ord",
         made_id.alias("id"),
         F.lit(vocab.COMPLEXITY_AGENT).alias("agent"),
         F.lit("Quality").alias("category"),
