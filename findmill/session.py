@@ -77,3 +77,10 @@ def ship_package(spark: SparkSession) -> None:
     )
     spark.sparkContext.addPyFile(archive)
     spark.conf.set("findmill.shipped", "true")
+
+
+def prepare(spark: SparkSession) -> None:
+    """Bring a session made elsewhere to the settings of ``build_session``."""
+    for key, value in SQL_SETTINGS.items():
+        spark.conf.set(key, value)
+    ship_package(spark)
