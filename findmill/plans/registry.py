@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from findmill.plans import catalog_files, catalog_findings
+from findmill.plans import catalog_files, catalog_findings, catalog_reports
 
 QUERIES = {
     **catalog_findings.QUERIES,
     **catalog_files.QUERIES,
+    **catalog_reports.QUERIES,
 }

@@ -252,10 +252,12 @@ PROJECTIONS["responses"] = (
 
 # Source files: sentences become lines, and some lines become code, by position
 CODE_LINES = [
-    "# note", "", "   ", "def fn(a, b):", "    return eval(a)", "import os", "class C:",
+    "# note", "", "   ", "def fn(a, b):", "    return eval(a)",
+    "    if a and b or a and b or a and b or a: pass", "    while a or b or a or b or a or b: pass", "import os", "class C:",
     "    if a and b or a:", 'password = "x"', "os.system(cmd)", "console.log(x);", "el.innerHTML = y;",
     "System.exit(1);", "strcpy(a, b);", "  // note", "\t* star", "    char *p = malloc(4);", "    *p;",
     "        for a in b:", "    def inner(c):", "        while c: assert c",
+    "        if " + " and ".join(["c"] * 24) + ": pass",
 ]
 _EXT = pick("doc_id", [".py", ".js", ".ts", ".java", ".cpp", ".py", ".PY", ".md"])
 FILE_COLUMNS = {
