@@ -221,9 +221,9 @@ def _fallback(spark, d):
 
 
 _NARRATIVE_SQL = cte("narratives") + """, found AS (SELECT *,
-   coalesce(least(CAST(nullif(regexp_extract(quality_report, '(?i)Quality Score[:\\s]+(\\d{1,3})', 1), '') AS INT), 100), 0) AS q,
-   coalesce(least(CAST(nullif(regexp_extract(security_report, '(?i)Security Score[:\\s]+(\\d{1,3})', 1), '') AS INT), 100), 0) AS s,
-   coalesce(least(CAST(nullif(regexp_extract(performance_report, '(?i)Performance Score[:\\s]+(\\d{1,3})', 1), '') AS INT), 100), 0) AS p
+   least(coalesce(CAST(nullif(regexp_extract(quality_report, '(?i)Quality Score[:\\s]+(\\d{1,3})', 1), '') AS INT), 0), 100) AS q,
+   least(coalesce(CAST(nullif(regexp_extract(security_report, '(?i)Security Score[:\\s]+(\\d{1,3})', 1), '') AS INT), 0), 100) AS s,
+   least(coalesce(CAST(nullif(regexp_extract(performance_report, '(?i)Performance Score[:\\s]+(\\d{1,3})', 1), '') AS INT), 0), 100) AS p
   FROM narratives), scored AS (SELECT *, CAST(coalesce(format('{:.1f}', list_avg(list_filter([q, s, p], lambda x: x > 0))), '75.0') AS DOUBLE) AS o
   FROM found), texts AS (SELECT *, concat(
    CASE WHEN length(a) > 90000 THEN concat(left(a, 90000), chr(10), chr(10), '[... report truncated for length ...]') ELSE a END) AS packed
@@ -255,7 +255,7 @@ _NARRATIVE_SQL = cte("narratives") + """, found AS (SELECT *,
   floor(CASE WHEN q = 0 THEN o ELSE q END)::DOUBLE AS maintainability_score, floor(o)::DOUBLE AS testing_score FROM final"""
 
 _SCORES_SQL = cte("reports") + """, s AS (SELECT id AS report_id, summary,
-   coalesce(least(CAST(nullif(regexp_extract(summary, '(?i)Security Score[:\\s]+(\\d{1,3})', 1), '') AS DOUBLE), 100), 0) AS sec FROM reports)
+   least(coalesce(CAST(nullif(regexp_extract(summary, '(?i)Security Score[:\\s]+(\\d{1,3})', 1), '') AS DOUBLE), 0), 100) AS sec FROM reports)
  SELECT report_id, sec AS overall_score, 0.0::DOUBLE AS quality_score, sec AS security_score, 0.0::DOUBLE AS performance_score,
   0.0::DOUBLE AS maintainability_score, 0.0::DOUBLE AS testing_score FROM s"""
 

@@ -2,10 +2,18 @@
 
 from __future__ import annotations
 
-from findmill.plans import catalog_files, catalog_findings, catalog_reports
+from findmill.plans import (
+    catalog_files,
+    catalog_findings,
+    catalog_reports,
+    catalog_sources,
+    catalog_training,
+)
 
 QUERIES = {
     **catalog_findings.QUERIES,
     **catalog_files.QUERIES,
     **catalog_reports.QUERIES,
+    **catalog_sources.QUERIES,
+    **catalog_training.QUERIES,
 }
