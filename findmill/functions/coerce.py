@@ -16,6 +16,7 @@ def json_type(v: Column) -> Column:
 
 
 def field(v: Column, name: str) -> Column:
+    """Value at a key, or at a dotted path of keys; NULL where a step is no object."""
     return F.try_variant_get(v, f"$.{name}", "variant")
 
 

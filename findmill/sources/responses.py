@@ -11,6 +11,12 @@ from findmill.functions.text import SPACE
 # Fixed value: a fenced JSON block, any case, over several lines, shortest match
 JSON_FENCE = rf"(?is)```json{SPACE}*(.*?){SPACE}*```"
 
+# The keys read from each item
+FIELDS = [
+    "id", "category", "severity", "confidence", "file", "line_start", "line_end", "title",
+    "description", "impact", "recommendation", "code_snippet", "suggested_fix",
+]
+
 
 def json_blocks(text: Column) -> Column:
     """Contents of all fenced JSON blocks, in order."""
@@ -39,10 +45,13 @@ def parse_responses(responses: DataFrame, source: str = vocab.AI) -> DataFrame:
             F.posexplode(coerce.elements(F.col("parsed"))).alias("item_no", "item"),
         )
         .filter(coerce.is_object(F.col("item")))
+    ).select(
+        "report_id", "response_no", "agent", "default_category", "block_no", "item_no",
+        *[coerce.field(F.col("item"), name).alias(f"v_{name}") for name in FIELDS],
     )
 
     def value(name: str) -> Column:
-        return coerce.field(F.col("item"), name)
+        return F.col(f"v_{name}")
 
     numbers = [value(n) for n in ("confidence", "line_start", "line_end")]
     broken = coerce.overflows(numbers[0]) | coerce.overflows(numbers[1]) | coerce.overflows(numbers[2])

@@ -28,30 +28,38 @@ def explode_results(documents: DataFrame) -> DataFrame:
 def parse_documents(documents: DataFrame) -> DataFrame:
     """Findings of scanner documents.  Absent fields take defaults; only items whose
     path or line numbers have an impossible type are dropped."""
-    item = F.col("item")
-    extra, start, end = (_object(item, n) for n in ("extra", "start", "end"))
-    path = coerce.field(item, "path")
-    snippet = coerce.field(extra, "lines")
-    start_line, end_line = coerce.field(start, "line"), coerce.field(end, "line")
-    usable = (
-        (path.isNull() | (coerce.json_type(path) == "STRING"))
-        & _line_ok(start_line)
-        & _line_ok(end_line)
+    item, c = F.col("item"), F.col
+    fields = explode_results(documents).select(
+        "report_id", "document_no", "root", "item_no",
+        coerce.field(item, "check_id").alias("check_id"),
+        coerce.field(item, "path").alias("path"),
+        coerce.field(item, "extra.message").alias("message"),
+        coerce.field(item, "extra.severity").alias("severity"),
+        coerce.field(item, "extra.lines").alias("lines"),
+        coerce.field(item, "start.line").alias("start_line"),
+        coerce.field(item, "end.line").alias("end_line"),
     )
-    rule = _plain(coerce.field(item, "check_id"), F.lit("unknown-rule"))
-    flat = explode_results(documents).filter(usable).select(
-        "report_id",
-        position(F.col("document_no"), F.lit(0), F.col("item_no")).alias("ord"),
-        paths.relative_to(
-            F.coalesce(F.try_variant_get(path, "$", "string"), F.lit("unknown")), F.col("root")
-        ).alias("file"),
-        rule.alias("rule_id"),
-        _plain(coerce.field(extra, "message"), rule).alias("message"),
-        _plain(coerce.field(extra, "severity"), F.lit("INFO")).alias("severity"),
-        coerce.as_number(start_line).cast("bigint").alias("line_start"),
-        coerce.as_number(end_line).cast("bigint").alias("line_end"),
-        F.when(coerce.json_type(snippet) == "STRING", F.try_variant_get(snippet, "$", "string"))
-        .alias("lines"),
+    is_text = lambda v: coerce.json_type(v) == "STRING"
+    usable = (c("path").isNull() | is_text(c("path"))) & _line_ok(c("start_line")) & _line_ok(c("end_line"))
+    flat = (
+        fields.filter(usable)
+        .withColumns(
+            {
+                "ord": position(c("document_no"), F.lit(0), c("item_no")),
+                "rule_id": _plain(c("check_id"), F.lit("unknown-rule")),
+                "file": F.coalesce(F.try_variant_get("path", "$", "string"), F.lit("unknown")),
+                "lines": F.when(is_text(c("lines")), F.try_variant_get("lines", "$", "string")),
+                "line_start": coerce.as_number(c("start_line")).cast("bigint"),
+                "line_end": coerce.as_number(c("end_line")).cast("bigint"),
+            }
+        )
+        .withColumns(
+            {
+                "file": paths.relative_to(c("file"), c("root")),
+                "message": _plain(c("message"), c("rule_id")),
+                "severity": _plain(c("severity"), F.lit("INFO")),
+            }
+        )
     )
     return scanner_findings(flat)
 
@@ -118,11 +126,6 @@ def linter_findings(issues: DataFrame) -> DataFrame:
     )
 
 
-def _object(item: Column, name: str) -> Column:
-    value = coerce.field(item, name)
-    return F.when(coerce.is_object(value), value)
-
-
 def _plain(v: Column, absent: Column) -> Column:
     """Text form without trimming; only an absent value takes the default."""
     kind = coerce.json_type(v)
