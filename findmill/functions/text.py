@@ -15,12 +15,39 @@ SPACE = (
 )
 
 
+_RARE_BREAK = r"[\r\x0b\x0c\x1c-\x1e\x85\x{2028}\x{2029}]"
+_INDENT = SPACE.replace(r"\s", r" \t\x0b\f\r")  # white space inside a line
+_COMMENT_MARK = r"""(?:#|//|/\*|\*|\'\'\'|\"\"\")"""
+
+
+def unix_lines(text: Column) -> Column:
+    """Text in which only line feeds break lines, and every line ends in one.
+
+    Most text has no other break, which one scan for the rare ones tells.
+    """
+    plain = F.when(text.rlike(_RARE_BREAK), F.regexp_replace(text, LINE_BREAK, "\n")).otherwise(text)
+    return F.when((plain == "") | plain.endswith("\n"), plain).otherwise(F.concat(plain, F.lit("\n")))
+
+
 def lines(text: Column) -> Column:
     """Array of lines: no trailing empty line, no line at all for ''."""
-    body = F.regexp_replace(text, LINE_BREAK + r"\z", "")
-    return F.when(text == "", F.array().cast("array<string>")).otherwise(
-        F.split(body, LINE_BREAK)
-    )
+    parts = F.split(unix_lines(text), "\n")
+    return F.slice(parts, 1, F.size(parts) - 1)
+
+
+def count_lines(unix_text: Column) -> Column:
+    """Lines of a text from ``unix_lines``."""
+    without = F.replace(unix_text, F.lit("\n"), F.lit(""))
+    return (F.octet_length(unix_text) - F.octet_length(without)).cast("bigint")
+
+
+def count_blank_lines(unix_text: Column) -> Column:
+    return F.regexp_count(unix_text, F.lit(rf"(?md)^{_INDENT}*\n")).cast("bigint")
+
+
+def count_comment_lines(unix_text: Column) -> Column:
+    """Lines that start, after white space, with a comment mark of any language."""
+    return F.regexp_count(unix_text, F.lit(rf"(?md)^{_INDENT}*{_COMMENT_MARK}")).cast("bigint")
 
 
 def strip(text: Column) -> Column:
@@ -36,11 +63,6 @@ def is_blank(line: Column) -> Column:
     return line.rlike(rf"^{SPACE}*\z")
 
 
-def is_comment(line: Column) -> Column:
-    """Starts, after white space, with a comment mark of any language."""
-    return line.rlike(rf"""^{SPACE}*(?:#|//|/\*|\*|'''|\"\"\")""")
-
-
 def truncate(text: Column, limit: int) -> Column:
     return F.when(
         F.char_length(text) > limit,

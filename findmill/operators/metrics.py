@@ -8,6 +8,7 @@ from findmill import vocab
 from findmill.functions import labels, text
 from findmill.functions.rounding import round_exact
 from findmill.operators.ordering import number_in_order
+from findmill.session import durable
 
 # The line shapes the structure profile looks for
 _HEADER = r"^\s*(?:async\s+)?(?:def|class)\s"
@@ -28,22 +29,22 @@ _OPEN = "struct<indent:int,name:string,is_function:boolean,start:int,depth:int,c
 def line_metrics(files: DataFrame) -> DataFrame:
     """loc, blank_lines, comment_lines, code_lines, comment_ratio per file.
 
-    Row-local: no explode and no shuffle.  A comment is any line that starts with a
-    comment mark, whatever the language.
+    Row-local scans of the whole text: no array of lines, no explode, no shuffle.  A
+    comment is any line that starts with a comment mark, whatever the language.
     """
     rest = [c for c in files.columns if c != "content"]
-    counted = files.withColumn("lines", text.lines(F.col("content"))).select(
+    body = F.col("unix_text")
+    counted = files.withColumn("unix_text", text.unix_lines(F.col("content"))).select(
         *rest,
-        F.size("lines").cast("bigint").alias("loc"),
-        F.size(F.filter("lines", text.is_blank)).cast("bigint").alias("blank_lines"),
-        F.size(F.filter("lines", text.is_comment)).cast("bigint").alias("comment_lines"),
+        text.count_lines(body).alias("loc"),
+        text.count_blank_lines(body).alias("blank_lines"),
+        text.count_comment_lines(body).alias("comment_lines"),
     )
     ratio = F.when(F.col("loc") > 0, F.col("comment_lines") / F.col("loc")).otherwise(0.0)
-    return counted.withColumns(
-        {
-            "code_lines": F.col("loc") - F.col("blank_lines") - F.col("comment_lines"),
-            "comment_ratio": round_exact(ratio, 3),
-        }
+    return (
+        counted.withColumn("code_lines", F.col("loc") - F.col("blank_lines") - F.col("comment_lines"))
+        .withColumn("comment_ratio", ratio)
+        .withColumn("comment_ratio", round_exact(F.col("comment_ratio"), 3))
     )
 
 
@@ -177,12 +178,13 @@ def complexity_findings(files: DataFrame) -> DataFrame:
         "blocks",
         lambda b: b["is_function"] & (b["complexity"] >= vocab.COMPLEXITY_FINDING_FROM),
     )
-    found = number_in_order(
+    complex_functions = (
         files.transform(structure_metrics)
         .select("report_id", "path", F.explode(complex_blocks).alias("block"))
-        .withColumn("line", F.col("block.start")),
-        "report_id", "path", "line",
+        .withColumn("line", F.col("block.start"))
     )
+    # the sort samples its input first: do not profile every file twice
+    found = number_in_order(durable(complex_functions, "complex"), "report_id", "path", "line")
     made_id = F.concat(
         F.lit("complexity-"),
         F.left(F.sha2(F.concat_ws("|", "report_id", "path", block["name"], block["start"]), 256), F.lit(16)),

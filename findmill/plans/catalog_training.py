@@ -28,12 +28,11 @@ def _split(spark, d):
 
 
 def _features_of_documents(spark, d):
-    """Labelled documents as training rows: their line metrics, other features 0."""
+    """Labelled documents as training rows: line metrics, and the findings of that number."""
     files = read(spark, d, "documents").select(
         F.col("doc_id").alias("report_id"), F.lit("f.txt").alias("path"), F.col("text").alias("content")
     )
-    findings = view(spark, d, "findings").filter("report_id < 0")
-    features = metrics.extract_features(metrics.file_metrics(files), findings)
+    features = metrics.extract_features(metrics.file_metrics(files), view(spark, d, "findings"))
     labels = read(spark, d, "labels").select(F.col("doc_id").alias("report_id"), F.col("quality").alias("label"))
     return training.with_split(features.join(labels, "report_id"), "report_id")
 

@@ -9,6 +9,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from findmill.sources.tables import spread
+
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
@@ -279,7 +281,7 @@ def source_files(spark: SparkSession, sf_dir: str) -> DataFrame:
         "array_join(transform(split(replace(text, '. ', concat('.', chr(10))), '\n'), "
         f"(l, i) -> {_code_case('doc_id * 31 + i', 'l')}), '\n')"
     )
-    return read(spark, sf_dir, "documents").selectExpr(
+    return spread(read(spark, sf_dir, "documents")).selectExpr(
         *[f"{e} AS {n}" for n, e in FILE_COLUMNS.items()], f"{content} AS content", "doc_id"
     )
 

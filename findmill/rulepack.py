@@ -120,4 +120,5 @@ RULES = [
      "dereferencing it causes undefined behaviour. Always check the return value before use."),
 ]
 
-TWO_LINE = {"cpp-malloc-no-check"}
+# rules that need the next line, with the pattern of a line they may start on
+TWO_LINE = {"cpp-malloc-no-check": r"\bmalloc\("}

@@ -25,3 +25,12 @@ def number_map(json_text) -> "F.Column":
     return F.coalesce(
         F.from_json(json_text, "map<string,double>"), F.create_map().cast("map<string,double>")
     )
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Give every core some rows of a table stored in fewer pieces than there are cores.
+
+    Larger tables already have more splits than that and stay as they are.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
