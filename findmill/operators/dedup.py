@@ -19,7 +19,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from findmill import vocab
 from findmill.functions import labels, similarity
@@ -31,6 +31,7 @@ from findmill.session import durable
 GROUP = ["report_id", "category_key"]
 TRAITS = ["title_key", "file_key", "first_line", "last_line"]
 SIGNATURE = GROUP + TRAITS
+ITEM = ["seq", *TRAITS, "copies"]
 
 _LEADERS = T.ArrayType(T.LongType())
 
@@ -88,17 +89,22 @@ def corroborated_titles(keyed: DataFrame, chunk: int = 64) -> DataFrame:
     return equal.unionByName(near)
 
 
+def boosted_confidence() -> Column:
+    """Confidence, 15 higher (at most 100) where ``corroborated``."""
+    higher = F.least(F.col("confidence") + vocab.BOOST_STATIC, F.lit(vocab.MAX_CONFIDENCE))
+    return F.when(F.col("corroborated"), higher).otherwise(F.col("confidence")).cast("bigint")
+
+
 def boost_corroborated(keyed: DataFrame) -> DataFrame:
-    """Add 15 to the confidence of non-static findings corroborated by a static one."""
-    found = corroborated_titles(keyed).withColumn("corroborated", F.lit(True))
-    joined = keyed.join(found, ["report_id", "file_key", "title_key"], "left")
-    boosted = F.least(
-        F.col("confidence") + vocab.BOOST_STATIC, F.lit(vocab.MAX_CONFIDENCE)
+    """Raise the confidence of non-static findings corroborated by a static one."""
+    found = corroborated_titles(keyed).withColumn("resembled", F.lit(True))
+    applies = F.coalesce("resembled", F.lit(False)) & (F.col("source") != vocab.STATIC)
+    return (
+        keyed.join(found, ["report_id", "file_key", "title_key"], "left")
+        .withColumn("corroborated", applies)
+        .drop("resembled")
+        .withColumn("confidence", boosted_confidence())
     )
-    applies = F.coalesce("corroborated", F.lit(False)) & (F.col("source") != vocab.STATIC)
-    return joined.withColumn(
-        "confidence", F.when(applies, boosted).otherwise(F.col("confidence")).cast("bigint")
-    ).withColumn("corroborated", applies)
 
 
 # --- grouping -------------------------------------------------------------------------
@@ -147,7 +153,7 @@ def _exploded(df: DataFrame) -> DataFrame:
     """Rows of parallel arrays ``items`` and ``leaders``."""
     zipped = df.select(*GROUP, F.explode(F.arrays_zip("items", "leaders")).alias("z"))
     return zipped.select(
-        *GROUP, *[F.col(f"z.items.{t}").alias(t) for t in ["seq", *TRAITS]],
+        *GROUP, *[F.col(f"z.items.{t}").alias(t) for t in ITEM],
         F.col("z.leaders").alias("leader_seq"),
     )
 
@@ -157,7 +163,7 @@ def _settle_first(signatures: DataFrame, batch: int) -> DataFrame:
     order = Window.partitionBy(*GROUP).orderBy("seq")
     first = signatures.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= batch)
     grouped = first.groupBy(*GROUP).agg(
-        F.array_sort(F.collect_list(F.struct("seq", *TRAITS))).alias("items")
+        F.array_sort(F.collect_list(F.struct(*ITEM))).alias("items")
     )
     alone = grouped.filter(F.size("items") == 1).withColumn(
         "leaders", F.transform("items", lambda i: i["seq"])
@@ -167,7 +173,7 @@ def _settle_first(signatures: DataFrame, batch: int) -> DataFrame:
 
 
 def assign_leaders(signatures: DataFrame, batch: int = 1000, chunk: int = 2000) -> DataFrame:
-    """Leader (``leader_seq``) of every signature (report_id, category_key, seq, traits).
+    """Leader (``leader_seq``) of every signature (report_id, category_key, seq, traits, copies).
 
     ``batch`` bounds what one task settles alone and the leaders a chunk is tested
     against; ``chunk`` is the number of findings tested per row.  Results do not
@@ -190,12 +196,12 @@ def assign_leaders(signatures: DataFrame, batch: int = 1000, chunk: int = 2000)
             pending.join(large, GROUP)
             .withColumn("salt", F.pmod(F.xxhash64("seq"), chunks).cast("int"))
             .groupBy(*GROUP, "salt")
-            .agg(F.collect_list(F.struct("seq", *TRAITS)).alias("items"))
+            .agg(F.collect_list(F.struct(*ITEM)).alias("items"))
         )
         leaders = (
             newly.filter("seq = leader_seq")
             .groupBy(*GROUP)
-            .agg(F.array_sort(F.collect_list(F.struct("seq", *TRAITS))).alias("new_leaders"))
+            .agg(F.array_sort(F.collect_list(F.struct(*ITEM))).alias("new_leaders"))
             .join(large, GROUP)
             .withColumn("salt", F.explode(F.sequence(F.lit(0), chunks - 1)))
             .drop("n")
@@ -221,39 +227,73 @@ def assign_leaders(signatures: DataFrame, batch: int = 1000, chunk: int = 2000)
 
 
 def label_groups(keyed: DataFrame, batch: int = 1000, chunk: int = 2000) -> DataFrame:
-    """Findings with ``leader_seq``, the input position of their group's leader."""
-    signatures = keyed.groupBy(*SIGNATURE).agg(F.min("seq").alias("seq"))
-    leaders = assign_leaders(signatures, batch, chunk).drop("seq")
-    k, s = keyed.alias("k"), leaders.alias("s")
-    same = (F.col("k.report_id") == F.col("s.report_id")) & (
-        F.col("k.category_key") == F.col("s.category_key")
-    ) & (F.col("k.title_key") == F.col("s.title_key"))
-    for name in TRAITS[1:]:
-        same = same & F.col(f"k.{name}").eqNullSafe(F.col(f"s.{name}"))
-    return k.join(s, same).select("k.*", "s.leader_seq")
+    """Findings with the input position of their group's leader (``leader_seq``), the size
+    of the group (``merged_count``) and whether they are ``corroborated``.
+
+    Everything is worked out on the narrow signature rows; the wide finding rows are
+    shuffled once, to pick up the result.
+    """
+    signatures = keyed.groupBy(*SIGNATURE).agg(
+        F.min("seq").alias("seq"), F.count("*").alias("copies")
+    )
+    leaders = durable(assign_leaders(signatures, batch, chunk), "leaders")
+    sizes = leaders.groupBy("report_id", "leader_seq").agg(F.sum("copies").alias("merged_count"))
+    found = corroborated_titles(keyed).withColumn("resembled", F.lit(True))
+    facts = (
+        leaders.drop("seq", "copies")
+        .join(sizes, ["report_id", "leader_seq"])
+        .join(found, ["report_id", "file_key", "title_key"], "left")
+    )
+    k, s = keyed.alias("k"), facts.alias("s")
+    same = F.lit(True)
+    for name in SIGNATURE:
+        left, right = F.col(f"k.{name}"), F.col(f"s.{name}")
+        same = same & (left.eqNullSafe(right) if name in TRAITS[1:] else left == right)
+    corroborated = F.coalesce("s.resembled", F.lit(False)) & (F.col("k.source") != vocab.STATIC)
+    return k.join(s, same).select(
+        "k.*", "s.leader_seq", "s.merged_count", corroborated.alias("corroborated")
+    )
 
 
 # --- merging ----------------------------------------------------------------------------
 
+GROUP_KEY = ["report_id", "leader_seq"]
+PAYLOAD = [
+    "id", "category", "severity", "confidence", "source", "file", "line_start", "line_end",
+    "title", "description", "impact", "recommendation", "code_snippet", "suggested_fix",
+]
+
 
 def merge_groups(labelled: DataFrame, ids_up_to: int = 10_000) -> DataFrame:
     """One finding per group (report_id, leader_seq), with ``merged_count``.
 
-    Everything is a combinable aggregate, first per agent and then per group, so a
-    large group is reduced before it is shuffled.  ``merged_from`` lists the ids of
-    groups of up to ``ids_up_to`` findings; ``group_members`` lists all of them.
+    Findings that stand alone pass through without a shuffle.  For the others everything
+    is a combinable aggregate, first per agent and then per group, so a large group is
+    reduced before it is shuffled.  ``merged_from`` lists the ids of groups of up to
+    ``ids_up_to`` findings (NULL beyond); ``group_members`` lists all of them.
     """
-    group = ["report_id", "leader_seq"]
-    payload = [
-        "id", "category", "severity", "confidence", "source", "file", "line_start", "line_end",
-        "title", "description", "impact", "recommendation", "code_snippet", "suggested_fix",
-    ]
+    alone = labelled.filter("merged_count = 1").select(
+        *GROUP_KEY, F.col("seq").alias("primary_seq"), "merged_count", "agent", *PAYLOAD,
+        F.array().cast("array<string>").alias("merged_from"),
+    )
+    several = labelled.filter("merged_count > 1")
+    merged = _with_descriptions(_merge_several(several), several)
+    ids = (
+        several.filter(F.col("merged_count") <= ids_up_to)
+        .groupBy(*GROUP_KEY)
+        .agg(F.array_sort(F.collect_list(F.struct("seq", "id"))).alias("ids"))
+        .select(*GROUP_KEY, F.transform("ids", lambda i: i["id"]).alias("merged_from"))
+    )
+    return alone.unionByName(merged.join(ids, GROUP_KEY, "left"))
+
+
+def _merge_several(labelled: DataFrame) -> DataFrame:
     late = -F.col("seq")
     ranked = labelled.withColumn("rank", labels.severity_rank(F.col("severity")))
-    per_agent = ranked.groupBy(*group, "agent").agg(
+    per_agent = ranked.groupBy(*GROUP_KEY, "agent").agg(
         F.count("*").alias("n"),
         F.min("seq").alias("seq"),
-        F.max(F.struct("rank", "confidence", late.alias("late"), F.struct(*payload).alias("f"))).alias("best"),
+        F.max(F.struct("rank", "confidence", late.alias("late"), F.struct(*PAYLOAD).alias("f"))).alias("best"),
         F.bool_or(F.col("source") == vocab.STATIC).alias("static"),
         F.max(
             F.when(
@@ -264,7 +304,7 @@ def merge_groups(labelled: DataFrame, ids_up_to: int = 10_000) -> DataFrame:
         F.min(F.when(F.col("code_snippet") != "", F.struct("seq", "code_snippet"))).alias("snippet"),
         F.min(F.when(F.col("suggested_fix") != "", F.struct("seq", "suggested_fix"))).alias("fix"),
     )
-    merged = per_agent.groupBy(*group).agg(
+    merged = per_agent.groupBy(*GROUP_KEY).agg(
         F.sum("n").alias("merged_count"),
         F.max("best").alias("best"),
         F.bool_or("static").alias("static"),
@@ -273,87 +313,56 @@ def merge_groups(labelled: DataFrame, ids_up_to: int = 10_000) -> DataFrame:
         F.min("fix").alias("fix"),
         F.array_sort(F.collect_list(F.struct("seq", "agent"))).alias("agents"),
     )
-    several = F.col("merged_count") > 1
     f = F.col("best.f")
-
-    def merged_or_own(value, own):
-        return F.when(several, value).otherwise(own)
-
     boost = (F.col("merged_count") - 1) * vocab.BOOST_PER_FINDING + F.when(
         F.col("static"), vocab.BOOST_STATIC
     ).otherwise(0)
-    flat = merged.select(
-        *group,
+    changed = {
+        "confidence": F.least(f["confidence"] + boost, F.lit(vocab.MAX_CONFIDENCE)).cast("bigint"),
+        "source": F.when(F.col("static"), vocab.STATIC).otherwise(f["source"]),
+        "recommendation": F.coalesce("advice.recommendation", f["recommendation"]),
+        "code_snippet": F.col("snippet.code_snippet"),
+        "suggested_fix": F.col("fix.suggested_fix"),
+    }
+    return merged.select(
+        *GROUP_KEY,
         (-F.col("best.late")).alias("primary_seq"),
         "merged_count",
-        f["id"].alias("id"),
         F.array_join(F.transform("agents", lambda a: a["agent"]), " + ").alias("agent"),
-        f["category"].alias("category"),
-        f["severity"].alias("severity"),
-        merged_or_own(F.least(f["confidence"] + boost, F.lit(vocab.MAX_CONFIDENCE)), f["confidence"])
-        .cast("bigint").alias("confidence"),
-        merged_or_own(
-            F.when(F.col("static"), vocab.STATIC).otherwise(f["source"]), f["source"]
-        ).alias("source"),
-        f["file"].alias("file"),
-        f["line_start"].alias("line_start"),
-        f["line_end"].alias("line_end"),
-        f["title"].alias("title"),
-        f["description"].alias("description"),
-        f["impact"].alias("impact"),
-        merged_or_own(F.coalesce("advice.recommendation", f["recommendation"]), f["recommendation"])
-        .alias("recommendation"),
-        merged_or_own(F.col("snippet.code_snippet"), f["code_snippet"]).alias("code_snippet"),
-        merged_or_own(F.col("fix.suggested_fix"), f["suggested_fix"]).alias("suggested_fix"),
-    )
-    flat = _with_descriptions(flat, labelled)
-    few = flat.filter((F.col("merged_count") > 1) & (F.col("merged_count") <= ids_up_to)).select(*group)
-    ids = (
-        labelled.select(*group, "seq", F.col("id").alias("member_id"))
-        .join(few, group, "left_semi")
-        .groupBy(*group)
-        .agg(F.array_sort(F.collect_list(F.struct("seq", "member_id"))).alias("ids"))
-        .select(*group, F.transform("ids", lambda i: i["member_id"]).alias("merged_from"))
-    )
-    return flat.join(ids, group, "left").withColumn(
-        "merged_from",
-        F.when(several, F.col("merged_from")).otherwise(F.array().cast("array<string>")),
+        *[changed.get(name, f[name]).alias(name) for name in PAYLOAD],
     )
 
 
 def _with_descriptions(merged: DataFrame, labelled: DataFrame) -> DataFrame:
     """Join up to three descriptions: the primary's, then each next one, in input order,
     that does not resemble the last one kept.  Each step is a filter and a minimum."""
-    group = ["report_id", "leader_seq"]
-    groups = merged.filter("merged_count > 1").select(
-        *group, "primary_seq", F.col("description").alias("kept_0")
-    )
+    groups = merged.select(*GROUP_KEY, "primary_seq", F.col("description").alias("kept_0"))
     others = (
-        labelled.select(*group, "seq", F.col("description").alias("other"))
-        .join(groups, group)
+        labelled.select(*GROUP_KEY, "seq", F.col("description").alias("other"))
+        .join(groups, GROUP_KEY)
         .filter(F.col("seq") != F.col("primary_seq"))
     )
-    differs = lambda last: ~similarity.is_similar(vocab.SIMILAR_TITLE)("other", last)
+    resembles = similarity.is_similar(vocab.SIMILAR_TITLE)
 
     def next_kept(candidates: DataFrame, last: str, step: int) -> DataFrame:
-        distinct = candidates.groupBy(*group, last, "other").agg(F.min("seq").alias("seq"))
+        distinct = candidates.groupBy(*GROUP_KEY, last, "other").agg(F.min("seq").alias("seq"))
         return (
-            distinct.filter(differs(last))
-            .groupBy(*group)
+            distinct.filter(~resembles("other", last))
+            .groupBy(*GROUP_KEY)
             .agg(F.min(F.struct("seq", "other")).alias("next"))
             .select(
-                *group,
+                *GROUP_KEY,
                 F.col("next.seq").alias(f"seq_{step}"),
                 F.col("next.other").alias(f"kept_{step}"),
             )
         )
 
     second = next_kept(others, "kept_0", 1)
-    later = others.select(*group, "seq", "other").join(second, group).filter("seq > seq_1")
+    later = others.select(*GROUP_KEY, "seq", "other").join(second, GROUP_KEY).filter("seq > seq_1")
     third = next_kept(later, "kept_1", 2)
-    kept = second.join(third, group, "left").select(*group, "kept_1", "kept_2")
+    kept = second.join(third, GROUP_KEY, "left").select(*GROUP_KEY, "kept_1", "kept_2")
     return (
-        merged.join(kept, group, "left")
+        merged.join(kept, GROUP_KEY, "left")
         .withColumn("description", F.concat_ws(" | ", "description", "kept_1", "kept_2"))
         .drop("kept_1", "kept_2")
     )
@@ -361,24 +370,33 @@ def _with_descriptions(merged: DataFrame, labelled: DataFrame) -> DataFrame:
 
 def group_members(labelled: DataFrame) -> DataFrame:
     """Every finding with the group it went into: the complete ``merged_from``."""
-    return labelled.select("report_id", "leader_seq", "seq", "id", "agent")
+    return labelled.select(*GROUP_KEY, "seq", "id", "agent")
 
 
 def unique_ids(merged: DataFrame) -> DataFrame:
     """The first finding in output order keeps its id; later ones and blank ids get a
-    derived one, the same on every run."""
+    derived one, the same on every run.
+
+    Only ids that occur twice are looked up, and no group of equal ids is sorted.
+    """
     place = F.struct(
         (-labels.severity_rank(F.col("severity"))).alias("a"),
         (-F.col("confidence")).alias("b"),
         F.col("leader_seq").alias("c"),
     )
-    named = merged.withColumn("place", place)
-    first = named.filter(F.col("id") != "").groupBy("report_id", "id").agg(F.min("place").alias("first"))
+    repeated = (
+        merged.filter(F.col("id") != "")
+        .groupBy("report_id", "id")
+        .agg(F.min(place).alias("first"), F.count("*").alias("n"))
+        .filter("n > 1")
+        .drop("n")
+    )
     fresh = F.sha2(F.concat_ws("|", "report_id", "id", "leader_seq"), 256)
+    renewed = (F.col("id") == "") | F.coalesce(F.col("first") != place, F.lit(False))
     return (
-        named.join(first, ["report_id", "id"], "left")
-        .withColumn("id", F.when(F.col("first") == F.col("place"), F.col("id")).otherwise(fresh))
-        .drop("place", "first")
+        merged.join(repeated, ["report_id", "id"], "left")
+        .withColumn("id", F.when(renewed, fresh).otherwise(F.col("id")))
+        .drop("first")
     )
 
 
@@ -389,5 +407,7 @@ def deduplicate(findings: DataFrame, batch: int = 1000, chunk: int = 2000) -> Da
     per group; sort with ``by_severity(df, "leader_seq")`` for the reporting order.
     """
     keyed = findings.transform(valid_findings).transform(input_order).transform(with_keys)
-    labelled = durable(label_groups(boost_corroborated(keyed), batch, chunk), "labelled")
-    return unique_ids(merge_groups(labelled))
+    labelled = label_groups(keyed, batch, chunk).withColumn("confidence", boosted_confidence())
+    kept = [*GROUP_KEY, "seq", "merged_count", "agent", *PAYLOAD]
+    merged = merge_groups(durable(labelled.select(*kept), "labelled"))
+    return unique_ids(durable(merged, "merged"))

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from findmill.session import durable
 from findmill.sources.tables import spread
 
 
@@ -309,6 +310,11 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return df.selectExpr(*[f"{e} AS `{n}`" for n, e in columns.items()])
 
 
+def stored(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A review table written as Parquet first, for queries that read it several times."""
+    return durable(spread(view(spark, sf_dir, name)), name)
+
+
 def cte(*names: str) -> str:
     """WITH clause defining review tables in SQL (they shadow nothing: new names)."""
     parts = []
