@@ -82,10 +82,11 @@ def evaluate(
     test = scored.filter(F.col(split) == "test")
     positive = class_report(test, label, prediction).filter(F.col("class") == 1)
     ranking = ranking_metrics(test, label, score)
-    one_row = lambda df: df.withColumn("run", F.lit(1))
-    joined = (
-        one_row(sizes).join(one_row(positive), "run", "left").join(one_row(ranking), "run", "left")
+    # three one-row tables side by side: stack them and keep the value each column has
+    stacked = sizes.unionByName(positive, allowMissingColumns=True).unionByName(
+        ranking, allowMissingColumns=True
     )
+    joined = stacked.agg(*[F.max(c).alias(c) for c in stacked.columns])
     return joined.select(
         "train_rows", "validation_rows", "test_rows", "defect_rate_train",
         *[
