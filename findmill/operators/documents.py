@@ -9,6 +9,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from findmill.session import durable
+
 PAGE = 1000
 WHOLE_UP_TO = 32 * 1024 * 1024
 
@@ -26,14 +28,20 @@ def assemble(parts: DataFrame, whole_up_to: int = WHOLE_UP_TO) -> DataFrame:
     """(report_id, is_whole, place, text) from parts (report_id, place, text).
 
     Documents of up to ``whole_up_to`` bytes become one row; larger ones keep their
-    parts, which ``in_order`` brings into reading order.
+    parts, which ``in_order`` brings into reading order.  Parts are made once, into a
+    table; the large reports are told apart by their byte counts alone, so their parts
+    are never brought together.
     """
-    sizes = parts.groupBy("report_id").agg(
-        (F.sum(F.octet_length("text")) <= whole_up_to).alias("fits")
+    parts = durable(parts.withColumn("bytes", F.octet_length("text")), "parts")
+    large = durable(
+        parts.groupBy("report_id")
+        .agg(F.sum("bytes").alias("bytes"))
+        .filter(F.col("bytes") > whole_up_to)
+        .select("report_id"),
+        "large-documents",
     )
-    sized = parts.join(sizes, "report_id")
     whole = (
-        sized.filter("fits")
+        parts.join(large, "report_id", "left_anti")
         .groupBy("report_id")
         .agg(F.array_sort(F.collect_list(F.struct("place", "text"))).alias("all"))
         .select(
@@ -43,10 +51,10 @@ def assemble(parts: DataFrame, whole_up_to: int = WHOLE_UP_TO) -> DataFrame:
             F.array_join(F.transform("all", lambda p: p["text"]), "").alias("text"),
         )
     )
-    large = sized.filter("NOT fits").select(
+    rest = parts.join(large, "report_id", "left_semi").select(
         "report_id", F.lit(False).alias("is_whole"), "place", "text"
     )
-    return whole.unionByName(large)
+    return whole.unionByName(rest)
 
 
 def in_order(documents: DataFrame) -> DataFrame:

@@ -49,9 +49,8 @@ def _curve(scored: DataFrame, label: str, score: str) -> DataFrame:
         F.sum(1 - F.col(label).cast("bigint")).alias("negatives"),
     ).withColumn("from_top", -F.col("score"))
     fine = F.floor(F.col("from_top") * _BINS)
-    for value in ("positives", "negatives"):
-        steps = running_total(steps, [], "from_top", F.col(value), f"all_{value}", bucket=fine)
-    return steps
+    totals = {"all_positives": F.col("positives"), "all_negatives": F.col("negatives")}
+    return running_total(steps, [], "from_top", totals, bucket=fine)
 
 
 def ranking_metrics(scored: DataFrame, label: str = "label", score: str = "probability") -> DataFrame:

@@ -113,16 +113,25 @@ def issue_totals(reports: DataFrame) -> DataFrame:
 
 
 def dashboard(reports: DataFrame, repositories: DataFrame, users: DataFrame) -> DataFrame:
-    """Per user: reports, mean overall score to one decimal, critical and high findings."""
+    """Per user: reports, mean overall score to one decimal, critical and high findings.
+
+    Reports are summed per repository before the join.
+    """
+    per_repository = reports.groupBy(F.col("repository_id").alias("id")).agg(
+        F.count("*").alias("num_reports"),
+        F.sum("overall_score").alias("score_total"),
+        F.sum("critical_count").alias("critical_total"),
+        F.sum("high_count").alias("high_total"),
+    )
     stats = (
-        owned_reports(reports, repositories)
+        repositories.select("id", "user_id")
+        .join(per_repository, "id")
         .groupBy("user_id")
         .agg(
-            F.count("*").alias("num_reports"),
-            round_exact(F.avg("overall_score"), 1, ties_up=True).alias("avg_score"),
-            F.sum("critical_count").alias("critical_total"),
-            F.sum("high_count").alias("high_total"),
+            *[F.sum(c).alias(c) for c in ("num_reports", "score_total", "critical_total", "high_total")]
         )
+        .withColumn("avg_score", round_exact(F.col("score_total") / F.col("num_reports"), 1, ties_up=True))
+        .drop("score_total")
     )
     return users.select(F.col("id").alias("user_id")).join(stats, "user_id", "left").fillna(0)
 

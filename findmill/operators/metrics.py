@@ -165,26 +165,31 @@ def structure_metrics(files: DataFrame) -> DataFrame:
     )
 
 
+def profile_files(files: DataFrame) -> DataFrame:
+    """Line, structure and complexity metrics per file (report_id, path, content), and its
+    functions of complexity 15 or more (``complex_blocks``), in one pass over the text."""
+    complex_blocks = F.filter(
+        "blocks",
+        lambda b: b["is_function"] & (b["complexity"] >= vocab.COMPLEXITY_FINDING_FROM),
+    )
+    profiled = files.transform(structure_metrics).withColumn("complex_blocks", complex_blocks)
+    return profiled.drop("blocks").transform(line_metrics)
+
+
 def file_metrics(files: DataFrame) -> DataFrame:
     """Line, structure and complexity metrics per file (report_id, path, content)."""
-    return files.transform(structure_metrics).drop("blocks").transform(line_metrics)
+    return profile_files(files).drop("complex_blocks")
 
 
-def complexity_findings(files: DataFrame) -> DataFrame:
-    """One finding per function of complexity 15 or more; HIGH from 25."""
+def complexity_findings(profiled: DataFrame) -> DataFrame:
+    """One finding per complex function of ``profile_files``; HIGH from complexity 25."""
     block = F.col("block")
     cc = block["complexity"]
-    complex_blocks = F.filter(
-        "blocks",
-        lambda b: b["is_function"] & (b["complexity"] >= vocab.COMPLEXITY_FINDING_FROM),
-    )
-    complex_functions = (
-        files.transform(structure_metrics)
-        .select("report_id", "path", F.explode(complex_blocks).alias("block"))
-        .withColumn("line", F.col("block.start"))
-    )
+    functions = profiled.select(
+        "report_id", "path", F.explode("complex_blocks").alias("block")
+    ).withColumn("line", F.col("block.start"))
     # the sort samples its input first: do not profile every file twice
-    found = number_in_order(durable(complex_functions, "complex"), "report_id", "path", "line")
+    found = number_in_order(durable(functions, "complex"), "report_id", "path", "line")
     made_id = F.concat(
         F.lit("complexity-"),
         F.left(F.sha2(F.concat_ws("|", "report_id", "path", block["name"], block["start"]), 256), F.lit(16)),

@@ -221,7 +221,7 @@ QUERIES = {
         cte("source_files") + f", {_LINES_SQL}" + _STRUCTURE_SQL + "SELECT * FROM structure",
     ),
     "complexity_findings": (
-        lambda s, d: metrics.complexity_findings(_files(s, d)).select(
+        lambda s, d: metrics.complexity_findings(metrics.profile_files(_files(s, d))).select(
             "report_id", "file", "line_start", "severity", "confidence", "title", "description", "id"
         ),
         cte("source_files") + f", {_LINES_SQL}" + _STRUCTURE_SQL + """

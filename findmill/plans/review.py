@@ -33,10 +33,10 @@ def review(files: DataFrame, responses: DataFrame) -> Review:
     As in a review of one archive, the features see the static findings of the metrics
     step only; rule hits and agent findings join afterwards.
     """
-    per_file = durable(metrics.file_metrics(files), "file-metrics")
-    complexity = metrics.complexity_findings(files)
-    features = metrics.extract_features(per_file, complexity)
+    profiled = durable(metrics.profile_files(files), "file-profiles")
+    complexity = metrics.complexity_findings(profiled)
+    features = metrics.extract_features(profiled, complexity)
     findings = dedup.deduplicate(
         union_findings(parse_responses(responses), complexity, rules.scan_rules(files))
     )
-    return Review(per_file, features, risk.heuristic_risk(features), findings)
+    return Review(profiled.drop("complex_blocks"), features, risk.heuristic_risk(features), findings)

@@ -74,7 +74,7 @@ def admit_members(members: DataFrame, max_bytes: int = vocab.MAX_EXTRACTED_BYTES
         "unsafe", ~F.col("skipped") & paths.escapes_root(path)
     )
     counted = F.when(F.col("skipped") | F.col("unsafe"), 0).otherwise(F.col("size"))
-    return running_total(flagged, ["archive_id"], "pos", counted, "running_bytes").withColumn(
+    return running_total(flagged, ["archive_id"], "pos", {"running_bytes": counted}).withColumn(
         "too_large",
         ~F.col("skipped") & ~F.col("unsafe") & (F.col("running_bytes") > max_bytes),
     )

@@ -148,7 +148,7 @@ def test_packed_reports_are_cut_twice(spark):
 def test_running_total_over_wide_positions(spark):
     rng = random.Random(2)
     rows = [(k, p, rng.randint(0, 9)) for k in "ab" for p in rng.sample(range(500_000), 60)]
-    df = running_total(spark.createDataFrame(rows, "k string, p long, v long"), ["k"], "p", F.col("v"), "total", width=1000)
+    df = running_total(spark.createDataFrame(rows, "k string, p long, v long"), ["k"], "p", {"total": F.col("v")}, width=1000)
     got = {(r.k, r.p): r.total for r in df.collect()}
     for k in "ab":
         total = 0

@@ -107,7 +107,7 @@ def test_complexity_findings(spark):
     files = spark.createDataFrame(
         [(1, "m.py", body * 1 + "    if x or x: pass\n" * 6), (1, "h.py", body + "    if x or x: pass\n" * 12), (1, "low.py", body)], FILES
     )
-    got = {r.file: r for r in metrics.complexity_findings(files).collect()}
+    got = {r.file: r for r in metrics.complexity_findings(metrics.profile_files(files)).collect()}
     assert got["m.py"].severity == "MEDIUM" and got["m.py"].title.endswith("'f' (CC=15)")
     assert got["h.py"].severity == "HIGH" and got["h.py"].confidence == 95
     assert "low.py" not in got
