@@ -176,8 +176,8 @@ def assign_leaders(signatures: DataFrame, batch: int = 1000, chunk: int = 2000)
     """Leader (``leader_seq``) of every signature (report_id, category_key, seq, traits, copies).
 
     ``batch`` bounds what one task settles alone and the leaders a chunk is tested
-    against; ``chunk`` is the number of findings tested per row.  Results do not
-    depend on either.
+    against (up to 1000 Spark keeps only that many per group before the shuffle);
+    ``chunk`` is the number of findings tested per row.  Results depend on neither.
     """
     signatures = durable(signatures, "signatures")
     settled = _settle_first(signatures, batch)

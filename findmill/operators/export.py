@@ -118,7 +118,10 @@ def _lines(*items) -> Column:
 
 
 def markdown_parts(reports: DataFrame, findings: DataFrame, predictions: DataFrame) -> DataFrame:
-    """Parts of one Markdown document per report; findings by severity, then confidence."""
+    """Parts of one Markdown document per report; findings by severity, then confidence.
+
+    Headings, labels and table layout are the fixed report format.
+    """
     c = F.col
 
     def score(name: str) -> Column:

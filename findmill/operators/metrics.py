@@ -135,9 +135,13 @@ def structure_metrics(files: DataFrame) -> DataFrame:
     malformed = F.exists(
         "lines", lambda ln: ln.rlike(_HEADER) & ~ln.rlike(_GOOD_HEADER)
     )
-    profiled = files.withColumn("lines", lines).withColumn(
-        "blocks", F.when(~malformed, blocks(F.col("lines")))
-    ).withColumn("functions", F.filter("blocks", lambda b: b["is_function"]))
+    # exploding an array of one keeps a later filter on a metric from repeating the pass
+    once = F.explode(F.array(F.when(~malformed, blocks(F.col("lines")))))
+    profiled = (
+        files.withColumn("lines", lines)
+        .select("*", once.alias("blocks"))
+        .withColumn("functions", F.filter("blocks", lambda b: b["is_function"]))
+    )
     functions = F.col("functions")
     lengths = F.transform(functions, lambda b: b["end"] - b["start"])
     total_cc = F.aggregate(functions, F.lit(0), lambda acc, b: acc + b["complexity"])

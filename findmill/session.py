@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import shutil
 import tempfile
@@ -39,15 +40,19 @@ def shared_folder(spark: SparkSession) -> str:
     Only a local-mode session without the setting gets a folder of its own; on a
     cluster a machine-local folder would be lost with its machine.
     """
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get(
-        "spark.checkpoint.dir", None
+    settings = spark.sparkContext.getConf()
+    folder = (
+        settings.get("spark.checkpoint.dir", None)
+        or spark.conf.get("spark.checkpoint.dir", None)
+        or spark.conf.get("findmill.local.folder", None)
     )
     if folder:
         return folder
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
     folder = tempfile.mkdtemp(prefix="findmill-")
-    spark.conf.set("spark.checkpoint.dir", folder)
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    spark.conf.set("findmill.local.folder", folder)
     return folder
 
 
