@@ -20,15 +20,14 @@ def field(v: Column, name: str) -> Column:
     return F.try_variant_get(v, f"$.{name}", "variant")
 
 
+def array_of(v: Column) -> Column:
+    """Elements of an array, NULL for anything else; does not look into the elements."""
+    return F.try_variant_get(v, "$", "array<variant>")
+
+
 def elements(v: Column) -> Column:
     """Elements of an array; a lone object counts as one; anything else has none."""
-    kind = json_type(v)
-    none = F.array().cast("array<variant>")
-    return (
-        F.when(kind.startswith("ARRAY"), F.try_variant_get(v, "$", "array<variant>"))
-        .when(kind.startswith("OBJECT"), F.array(v))
-        .otherwise(none)
-    )
+    return F.coalesce(array_of(v), F.when(is_object(v), F.array(v)))
 
 
 def is_object(v: Column) -> Column:

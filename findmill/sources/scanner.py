@@ -15,13 +15,13 @@ def explode_results(documents: DataFrame) -> DataFrame:
 
     Empty text, broken JSON, and a missing or non-array ``results`` yield no rows.
     """
-    results = coerce.field(F.try_parse_json("json"), "results")
-    array = F.when(
-        coerce.json_type(results).startswith("ARRAY"),
-        F.try_variant_get(results, "$", "array<variant>"),
+    parsed = documents.select(
+        "report_id", "document_no", "root",
+        coerce.field(F.try_parse_json("json"), "results").alias("results"),
     )
-    return documents.select(
-        "report_id", "document_no", "root", F.posexplode(array).alias("item_no", "item")
+    return parsed.select(
+        "report_id", "document_no", "root",
+        F.posexplode(coerce.array_of(F.col("results"))).alias("item_no", "item"),
     ).filter(coerce.is_object(F.col("item")))
 
 
