@@ -16,8 +16,7 @@ emitted, no group is collected whole, and nothing is capped.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
@@ -119,8 +118,45 @@ def _duplicates(leader: dict, item: dict) -> bool:
     return similarity.similar(leader["title_key"], item["title_key"], needed)
 
 
-def _first_leader(leaders: Sequence[dict], item: dict) -> int | None:
-    return next((lead["seq"] for lead in leaders if _duplicates(lead, item)), None)
+class _Leaders:
+    """Leaders of one group in input order.
+
+    With many of them, character counts (folded into 64 bins) bound every title ratio from
+    above in one vector operation, so few leaders reach the exact test.
+    """
+
+    def __init__(self, capacity: int):
+        self.items: list[dict] = []
+        self.counts = np.zeros((capacity, 64), dtype=np.int32)
+        self.lengths = np.zeros(capacity)
+
+    @staticmethod
+    def _bins(title: str):
+        return np.bincount([ord(ch) % 64 for ch in title] or [0], minlength=64) - (0 if title else _ONE)
+
+    def add(self, item: dict) -> None:
+        n = len(self.items)
+        self.counts[n] = self._bins(item["title_key"])
+        self.lengths[n] = len(item["title_key"])
+        self.items.append(item)
+
+    def first(self, item: dict) -> int | None:
+        """The earliest leader the item duplicates."""
+        n = len(self.items)
+        candidates = range(n)
+        if n > 16:
+            title, file = item["title_key"], item["file_key"]
+            shared = np.minimum(self.counts[:n], self._bins(title)).sum(axis=1)
+            near = 2.0 * shared >= (vocab.SAME_TITLE_ANYWHERE - 1e-9) * (self.lengths[:n] + len(title))
+            if file is not None:
+                near |= np.fromiter((lead["file_key"] == file for lead in self.items), bool, n)
+            candidates = np.flatnonzero(near)
+        return next(
+            (self.items[i]["seq"] for i in candidates if _duplicates(self.items[i], item)), None
+        )
+
+
+_ONE = np.eye(1, 64, dtype=np.int64)[0]
 
 
 @F.pandas_udf(_LEADERS)
@@ -128,12 +164,12 @@ def _settle(groups: pd.Series) -> pd.Series:
     """Leader of every item of an ordered group."""
 
     def one(items):
-        leaders: list[dict] = []
+        leaders = _Leaders(len(items))
         found = []
         for item in items:
-            lead = _first_leader(leaders, item)
+            lead = leaders.first(item)
             if lead is None:
-                leaders.append(item)
+                leaders.add(item)
                 lead = item["seq"]
             found.append(lead)
         return found
@@ -142,11 +178,16 @@ def _settle(groups: pd.Series) -> pd.Series:
 
 
 @F.pandas_udf(_LEADERS)
-def _test(items: pd.Series, leaders: pd.Series) -> pd.Series:
+def _test(items: pd.Series, new_leaders: pd.Series) -> pd.Series:
     """Earliest given leader of every item, None where none fits."""
-    return pd.Series(
-        [[_first_leader(lead, item) for item in group] for group, lead in zip(items, leaders)]
-    )
+
+    def one(group, given):
+        leaders = _Leaders(len(given))
+        for leader in given:
+            leaders.add(leader)
+        return [leaders.first(item) for item in group]
+
+    return pd.Series([one(group, given) for group, given in zip(items, new_leaders)])
 
 
 def _exploded(df: DataFrame) -> DataFrame:
