@@ -1,8 +1,85 @@
-"""Corpus pipeline (stages follow)."""
+"""Corpus pipeline: documents in, token ids of a clean, mixed corpus out.
 
+Each stage takes ``(spark, docs, sf_dir)`` and returns a DataFrame; it is written as Parquet
+and read again as the next stage's ``docs``.  All stages but the last return the columns of
+``docs``.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from findmill.llm import byte_bpe, line_dedup, mixing, ngram_join, toxicity
+from findmill.llm.tables import durable, table
+from findmill.session import prepare
+
+#: The stages learn from labels and use hashed sets, so no SQL gives the same rows; tests compare
+#: them with brute-force versions.
 ORACLE_SQL = None
-STAGES = []
 
 
-def run(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Without the documents whose toxicity score is 0.5 or more."""
+    prepare(spark)
+    labels = table(spark, sf_dir, "labels").select("doc_id", "toxic")
+    model = toxicity.learn(docs.select("doc_id", "text").join(labels, "doc_id"), "text", "toxic", "doc_id")
+    return toxicity.score(docs, model, name="__score").where("__score < 0.5").select(*docs.columns)
+
+
+def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Lines of at least 40 characters in at least 5 documents stay in one of them only."""
+    prepare(spark)
+    left = line_dedup.dedup_lines(docs, kept="__kept", n_lines="__lines", n_dropped="__dropped")
+    names = {"text": F.col("__kept")} | ({"n_chars": F.char_length("__kept").cast("long")} if "n_chars" in docs.columns else {})
+    # documents that lost nothing stay as they are, a NULL text included
+    return left.select(*[
+        F.when(F.col("__dropped") > 0, names[c]).otherwise(F.col(c)).alias(c) if c in names else F.col(c) for c in docs.columns
+    ])
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document, that of the smallest id, of each group linked by five-word shingles at 0.8 or more."""
+    prepare(spark)
+    groups = durable(ngram_join.similar_documents(docs), "near-copies")
+    copies = groups.where("component_id <> doc_id").select("doc_id").distinct()
+    kept = docs.join(copies, "doc_id", "left_anti")
+    # rows that repeat an id are one document
+    repeated = groups.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select("doc_id")
+    if repeated.isEmpty():
+        return kept.select(*docs.columns)
+    once = kept.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return kept.join(repeated, "doc_id", "left_anti").unionByName(once).select(*docs.columns)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The mix in its order; documents of small sources come once an epoch, so no document is lost to the weights."""
+    prepare(spark)
+    plan = mixing.plan_mix(docs)
+    return mixing.in_order(mixing.mix(docs, plan, epoch="__epoch", block="__block", slot="__slot"), plan.end, "__slot").select(*docs.columns)
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of each text, and whether they decode to it."""
+    prepare(spark)
+    decoded = byte_bpe.decode_ids(byte_bpe.encode_texts(docs, ids="__ids"), ids="__ids", decoded="__decoded")
+    return decoded.select(
+        "doc_id", "source", (F.octet_length("__ids") / 4).cast("long").alias("n_tokens"), F.col("__ids").alias("ids"),
+        (F.col("__decoded") == F.encode(F.coalesce("text", F.lit("")), "utf-8")).alias("round_trip"),
+    )
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("line dedup", drop_lines),
+    ("near copies", drop_near_copies),
+    ("mixing", mix_sources),
+    ("byte-level BPE", encode),
+]
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages applied to the documents of ``sf_dir``."""
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = durable(stage(spark, docs, sf_dir), "stage-" + name.replace(" ", "-"))
+    return STAGES[-1][1](spark, docs, sf_dir)

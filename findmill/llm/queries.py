@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from findmill.llm import byte_bpe, exact_dedup, line_dedup, token_count, url_rules, warc
+from findmill.llm import byte_bpe, exact_dedup, line_dedup, lsh_forest, mixing, ngram_join, token_count, toxicity, url_rules, warc
 from findmill.llm.tables import table
 
 #: The url rules of the query, as (verdict, host, path).
@@ -44,6 +44,41 @@ FROM d
 """
 
 
+def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.similar_documents(table(spark, sf_dir, "documents"), words=4, threshold=85)
+
+
+OP2_SQL = rf"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '{SPACE_CLASS}+'), lambda x: x <> '') AS words
+  FROM documents
+), s AS (
+  SELECT doc_id, CASE WHEN len(words) = 0 THEN []
+    WHEN len(words) < 4 THEN [array_to_string(words, ' ')]
+    ELSE list_distinct(list_transform(range(len(words) - 3),
+      lambda i: array_to_string(words[i + 1 : i + 4], ' '))) END AS shingles
+  FROM w
+), e AS (
+  SELECT doc_id, len(shingles) AS n, unnest(shingles) AS shingle FROM s
+), links AS (
+  SELECT a.doc_id AS x, b.doc_id AS y
+  FROM e AS a JOIN e AS b ON a.shingle = b.shingle AND a.doc_id <> b.doc_id
+    AND 100 * least(a.n, b.n) >= 85 * greatest(a.n, b.n)
+  GROUP BY a.doc_id, b.doc_id, a.n, b.n
+  HAVING 100 * count(*) >= 85 * (a.n + b.n - count(*))
+), reached AS (
+  SELECT doc_id AS x, doc_id AS y FROM documents
+  UNION
+  SELECT reached.x, links.y FROM reached JOIN links ON reached.y = links.x
+), smallest AS (
+  SELECT x, min(y) AS component_id FROM reached GROUP BY x
+)
+SELECT s.doc_id, len(s.shingles)::BIGINT AS n_shingles, smallest.component_id
+FROM s JOIN smallest ON s.doc_id = smallest.x
+"""
+
+
 def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
     labels = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("page_id"), "quality")
@@ -79,6 +114,21 @@ def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    return mixing.mix(docs, mixing.plan_mix(docs)).select("doc_id", "source", "epoch", "block", "slot")
+
+
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = table(spark, sf_dir, "labels").select("doc_id", "toxic")
+    model = toxicity.learn(docs.join(labels, "doc_id"), "text", "toxic", "doc_id")
+    return toxicity.score(docs, model).select(
+        "doc_id", (toxicity.fold(F.col("doc_id")) == 0).alias("held_out"), "score",
+        (F.col("score") >= 0.5).cast("int").alias("predicted"),
+    )
+
+
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = line_dedup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
@@ -105,6 +155,10 @@ FROM m GROUP BY doc_id
 """
 
 
+def op9_lsh_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lsh_forest.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
 def op10_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     counted = token_count.count_tokens(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return counted.select("doc_id", "n_bytes", "n_tokens", "over_limit")
@@ -112,9 +166,13 @@ def op10_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
     "op1_warc": (op1_warc, OP1_SQL),
+    "op2_ngram_join": (op2_ngram_join, OP2_SQL),
     "op3_url_filter": (op3_url_filter, None),
     "op4_exact_dedup": (op4_exact_dedup, OP4_SQL),
     "op5_byte_bpe": (op5_byte_bpe, None),
+    "op6_mixing": (op6_mixing, None),
+    "op7_toxicity": (op7_toxicity, None),
     "op8_line_dedup": (op8_line_dedup, OP8_SQL),
+    "op9_lsh_forest": (op9_lsh_forest, None),
     "op10_token_count": (op10_token_count, None),
 }
