@@ -7,8 +7,8 @@ runs by a sort-merge anti-join: keys not seen before get the batch's largest id
 their keeper, and the batch becomes a run of its own.  Runs are compacted level by
 level, ``fanout`` runs into one of the next level, so a key is rewritten once a level.
 
-DataFrame functions only.  Runs are bucketed by key, so a join or a compaction of runs
-does not shuffle them; a batch is shuffled once, on keys of fixed size.  No line text is
+DataFrame functions only.  Runs are bucketed by key, so joining a batch against them does not
+shuffle them; a batch is shuffled once, on keys of fixed size.  No line text is
 shuffled but that of whole documents, once.
 
 Defined results: a NULL or empty text is one empty line.  A NULL id is one document
@@ -97,6 +97,8 @@ def totals(runs: list[DataFrame]) -> DataFrame:
     merged = runs[0]
     for run in runs[1:]:
         merged = merged.unionByName(run)
+    # dealt by key here: a union of bucketed tables is not reliably taken for one table dealt by key
+    merged = merged.repartition(*KEY)
     return merged.groupBy(*KEY).agg(F.sum("docs").alias("docs"), F.max("keeper").alias("keeper"))
 
 
