@@ -63,27 +63,43 @@ def chunk_table(
 ) -> DataFrame:
     """``(record, refers_to, url, digest, bytes, chunks, chunk_no, data)``: the records to write, chunk by chunk."""
     rows = pages.select(
-        F.col(record_id).alias("id"), F.col(url).alias("url"),
-        F.encode(F.coalesce(F.col(payload), F.lit("")), "utf-8").alias("body"),
-        F.monotonically_increasing_id().alias("row"),
+        F.col(record_id).alias("id"), F.col(url).alias("url"), F.encode(F.coalesce(F.col(payload), F.lit("")), "utf-8").alias("body")
     ).withColumns({"sha": F.sha1("body"), "bytes": F.octet_length("body").cast("long")})
-    leaders = (
-        rows.where(F.col("bytes") >= min_bytes).groupBy("sha").agg(F.max(F.struct("id", "row")).alias("leader"))
+    large = F.col("bytes") >= min_bytes
+    # a payload moves once: its copies inside a task are combined before
+    last = F.max_by(F.struct("id", "url", "bytes", "body"), F.struct("id", "url"))
+    responses = rows.where(large).groupBy("sha").agg(last.alias("r")).select("sha", "r.*", F.lit(1).cast("long").alias("copy"))
+    copies = rows.where(large).groupBy("sha", "id", "url", "bytes").agg(F.count(F.lit(1)).alias("copies"))
+    leaders = copies.groupBy("sha").agg(F.max(F.struct("id", "url")).alias("leader"))
+    revisits = copies.join(leaders, "sha")
+    first = F.when(F.struct("id", "url").eqNullSafe(F.col("leader")), 2).otherwise(1)
+    revisits = revisits.withColumn("copy", F.explode(F.filter(F.sequence(F.lit(1), F.col("copies").cast("int")), lambda k: k >= first)))
+    small = rows.where(~large).groupBy("sha", "id", "url", "bytes", "body").agg(F.count(F.lit(1)).alias("copies"))
+    small = small.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
+    columns = [F.col("url"), base32(F.col("sha")).alias("digest"), F.col("bytes")]
+    nothing = F.lit(None).cast("string")
+    own = [
+        df.select(_name("id", "url", "copy"), nothing.alias("refers_to"), *columns, "body")
+        for df in ([responses, small] if min_bytes > 0 else [responses])
+    ]
+    rows = revisits.select(
+        _name("id", "url", "copy"), _name("leader.id", "leader.url").alias("refers_to"), *columns, F.lit(b"").alias("body")
     )
-    rows = rows.join(leaders, "sha", "left")
-    own = (F.col("bytes") < min_bytes) | (F.col("leader.row") == F.col("row"))
-    urn = lambda i, row: F.concat(F.coalesce(i.cast("string"), F.lit("")), F.lit(":"), row.cast("string"))
-    rows = rows.select(
-        urn(F.col("id"), F.col("row")).alias("record"),
-        F.when(~own, urn(F.col("leader.id"), F.col("leader.row"))).alias("refers_to"),
-        "url", base32(F.col("sha")).alias("digest"), "bytes",
-        F.when(own, F.col("body")).otherwise(F.lit(b"")).alias("body"),
-    ).withColumn("chunks", F.greatest(F.ceil(F.octet_length("body") / chunk_bytes), F.lit(1)).cast("int"))
+    for df in own:
+        rows = rows.unionByName(df)
+    rows = rows.withColumn("chunks", F.greatest(F.ceil(F.octet_length("body") / chunk_bytes), F.lit(1)).cast("int"))
     return rows.withColumn("chunk_no", F.explode(F.sequence(F.lit(1), F.col("chunks")))).withColumn(
         "data", F.substring("body", (F.col("chunk_no") - 1) * chunk_bytes + 1, F.lit(chunk_bytes))
     ).drop("body")
 
 
+def _name(record_id: str, url: str, copy: str | None = None) -> Column:
+    """A record's name, the same on every run: its id, its payload, its url and the number of the copy."""
+    number = F.lit("1") if copy is None else F.col(copy).cast("string")
+    name = F.concat_ws(":", F.coalesce(F.col(record_id).cast("string"), F.lit("")), F.col("sha"), F.hex(F.xxhash64(F.col(url))), number)
+    return name.alias("record")
+
+
 def write_archives(chunks: DataFrame, path: str, date: str = "2026-01-01T00:00:00Z") -> None:
     """Write a chunk table as gzipped WARC files below ``path``."""
     segmented, first = F.col("chunks") > 1, F.col("chunk_no") == 1
@@ -240,7 +256,7 @@ def read_records(chunks: DataFrame) -> DataFrame:
 
 def record_key(record: Column) -> Column:
     """The id in a record's name; NULL if it has none."""
-    return F.nullif(F.regexp_extract(record, "^(.*):[0-9]+$", 1), F.lit(""))
+    return F.nullif(F.regexp_extract(record, "^(.*):[0-9a-f]{40}:[0-9A-F]+:[0-9]+$", 1), F.lit(""))
 
 
 def archive(pages: DataFrame, path: str | None = None, **options) -> DataFrame:
