@@ -5,7 +5,7 @@ shard every tree of the forest is a sorted array of ``bits``-bit hash strings (s
 random projections around the shard's mean).  A query descends each tree to the longest
 prefix it shares with a string there; then all trees ascend together, one bit at a time, and
 the strings that share the shorter prefix become candidates, until there are ``share`` of
-the shard.  Candidates are measured exactly in double precision; each shard gives its best
+the shard (32 times ``k`` at least).  Candidates are measured exactly in double precision; each shard gives its best
 ``k``, and the best ``k`` over all shards are ranked.
 
 All rows are indexed and nothing is fitted on a sample.  A shard's rows meet in one task and
@@ -103,7 +103,7 @@ def _search(k: int, trees: int, share: float):
     def answers(forest: Forest, ids: np.ndarray, missing: np.ndarray, asked: pa.RecordBatch) -> pa.RecordBatch | None:
         vectors = matrix(asked)
         keys = forest.keys(vectors)
-        wanted = max(4 * k, int(np.ceil(share * len(ids)))) + 1
+        wanted = max(32 * k, int(np.ceil(share * len(ids)))) + 1
         rows: list[list[np.ndarray]] = []
         for i, (row, own) in enumerate(zip(asked.column("query_row").to_pylist(), asked.column("id").to_pylist())):
             found = forest.candidates(keys[:, i], wanted)
@@ -152,7 +152,7 @@ def _search(k: int, trees: int, share: float):
 
 def nearest(
     vectors: DataFrame, queries: Column, vec_id: str = "vec_id", vector: str = "embedding", k: int = 10,
-    trees: int = 20, share: float = 0.5, shard_rows: int = 4096,
+    trees: int = 24, share: float = 0.65, shard_rows: int = 4096,
 ) -> DataFrame:
     """``(query_id, rank, vec_id, score)``: the ``k`` nearest rows of each row where ``queries`` holds.
 
