@@ -23,6 +23,10 @@ _DECISION = r"\b(?:if|elif|for|while|except|and|or|assert)\b"
 _STRINGS_AND_COMMENT = r"\"[^\"]*\"|'[^']*'|#.*"
 
 _BLOCK = "struct<name:string,is_function:boolean,start:int,end:int,depth:int,complexity:int>"
+_TALLY = (
+    "struct<functions:int,classes:int,depth:int,length:int,complexity:int,peak:int,complex:int,"
+    f"found:array<{_BLOCK}>>"
+)
 _OPEN = "struct<indent:int,name:string,is_function:boolean,start:int,depth:int,complexity:int>"
 
 
@@ -67,17 +71,30 @@ def _line_profile(line: Column, i: Column) -> Column:
     )
 
 
-def _closed(opened: Column, last: Column) -> Column:
-    return F.transform(
-        opened,
-        lambda b: F.struct(
-            b["name"], b["is_function"], b["start"], last.alias("end"), b["depth"], b["complexity"]
-        ).cast(_BLOCK),
-    )
+def _counted(tally: Column, ended: Column, last: Column) -> Column:
+    """The tally with blocks that end at line ``last``.  Only blocks that become findings are kept."""
+
+    def add(t: Column, b: Column) -> Column:
+        function, cc = b["is_function"], b["complexity"]
+        one = function.cast("int")
+        block = F.struct(b["name"], b["is_function"], b["start"], last.alias("end"), b["depth"], cc).cast(_BLOCK)
+        return F.struct(
+            (t["functions"] + one).alias("functions"),
+            (t["classes"] + 1 - one).alias("classes"),
+            F.greatest(t["depth"], b["depth"]).alias("depth"),
+            (t["length"] + one * (last - b["start"])).alias("length"),
+            (t["complexity"] + one * cc).alias("complexity"),
+            F.when(function, F.greatest(t["peak"], cc)).otherwise(t["peak"]).alias("peak"),
+            (t["complex"] + (function & (cc > vocab.COMPLEX_FUNCTION_ABOVE)).cast("int")).alias("complex"),
+            F.when(function & (cc >= vocab.COMPLEXITY_FINDING_FROM), F.array_append(t["found"], block))
+            .otherwise(t["found"]).alias("found"),
+        ).cast(_TALLY)
+
+    return F.when(F.size(ended) > 0, F.aggregate(ended, tally, add)).otherwise(tally)
 
 
 def _step(acc: Column, line: Column) -> Column:
-    """Close the blocks this line ends, then open one or count its decisions."""
+    """Count the blocks this line ends, then open one or count its decisions."""
     ended = F.filter(acc["open"], lambda b: b["indent"] >= line["indent"])
     kept = F.filter(acc["open"], lambda b: b["indent"] < line["indent"])
     opened = F.concat(
@@ -103,29 +120,35 @@ def _step(acc: Column, line: Column) -> Column:
     ).otherwise(kept)
     return F.struct(
         F.when(line["header"], opened).otherwise(counted).alias("open"),
-        F.concat(acc["done"], _closed(ended, acc["last"])).alias("done"),
+        _counted(acc["tally"], ended, acc["last"]).alias("tally"),
         line["no"].alias("last"),
     )
 
 
-def blocks(lines: Column) -> Column:
-    """Function and class blocks by indentation: one pass over the lines with a stack
-    of open headers.  A block ends before the next counted line that is not deeper."""
+def tally_blocks(lines: Column) -> Column:
+    """Totals over the function and class blocks by indentation, and the complex functions.
+
+    One pass over the lines with a stack of open headers.  A block ends before the next
+    counted line that is not deeper; it is added to the totals then, so the work is linear
+    in the lines and nothing grows with the file but the list of complex functions.
+    """
     profile = F.filter(F.transform(lines, _line_profile), lambda p: p["counts"])
+    nothing = F.struct(*[F.lit(0)] * 7, F.array().cast(f"array<{_BLOCK}>")).cast(_TALLY)
     return F.aggregate(
         profile,
         F.struct(
             F.array().cast(f"array<{_OPEN}>").alias("open"),
-            F.array().cast(f"array<{_BLOCK}>").alias("done"),
+            nothing.alias("tally"),
             F.lit(0).alias("last"),
         ),
         _step,
-        lambda acc: F.concat(acc["done"], _closed(acc["open"], acc["last"])),
+        lambda acc: _counted(acc["tally"], acc["open"], acc["last"]),
     )
 
 
 def structure_metrics(files: DataFrame) -> DataFrame:
-    """Structure and complexity columns of Python files (path ends in '.py').
+    """Structure and complexity columns of Python files (path ends in '.py'), and their
+    functions of complexity 15 or more (``complex_blocks``).
 
     An indentation profile, not a parser: strings over several lines and continued
     lines can differ.  For other languages, and when a header is malformed, every
@@ -136,48 +159,32 @@ def structure_metrics(files: DataFrame) -> DataFrame:
         "lines", lambda ln: ln.rlike(_HEADER) & ~ln.rlike(_GOOD_HEADER)
     )
     # exploding an array of one keeps a later filter on a metric from repeating the pass
-    once = F.explode(F.array(F.when(~malformed, blocks(F.col("lines")))))
-    profiled = (
-        files.withColumn("lines", lines)
-        .select("*", once.alias("blocks"))
-        .withColumn("functions", F.filter("blocks", lambda b: b["is_function"]))
-    )
-    functions = F.col("functions")
-    lengths = F.transform(functions, lambda b: b["end"] - b["start"])
-    total_cc = F.aggregate(functions, F.lit(0), lambda acc, b: acc + b["complexity"])
-    count = F.size(functions)
-    present = F.col("blocks").isNotNull()
+    once = F.explode(F.array(F.when(~malformed, tally_blocks(F.col("lines")))))
+    profiled = files.withColumn("lines", lines).select("*", once.alias("tally"))
+    count = F.col("tally.functions")
     average = lambda total: F.when(count > 0, total / count).otherwise(0.0)
-    depth = F.array_max(F.transform("blocks", lambda b: b["depth"]))
-    peak = F.array_max(F.transform(functions, lambda b: b["complexity"]))
     columns = {
         "num_functions": count.cast("bigint"),
-        "num_classes": (F.size("blocks") - count).cast("bigint"),
+        "num_classes": F.col("tally.classes").cast("bigint"),
         "num_imports": F.size(F.filter("lines", lambda ln: ln.rlike(_IMPORT))).cast("bigint"),
-        "max_nesting_depth": F.coalesce(depth, F.lit(0)).cast("bigint"),
-        "avg_function_length": average(F.aggregate(lengths, F.lit(0), lambda a, n: a + n)),
-        "cyclomatic_complexity_avg": round_exact(average(total_cc), 2),
-        "cyclomatic_complexity_max": F.coalesce(peak, F.lit(0)).cast("bigint"),
-        "num_complex_functions": F.size(
-            F.filter(functions, lambda b: b["complexity"] > vocab.COMPLEX_FUNCTION_ABOVE)
-        ).cast("bigint"),
+        "max_nesting_depth": F.col("tally.depth").cast("bigint"),
+        "avg_function_length": average(F.col("tally.length")),
+        "cyclomatic_complexity_avg": round_exact(average(F.col("tally.complexity")), 2),
+        "cyclomatic_complexity_max": F.col("tally.peak").cast("bigint"),
+        "num_complex_functions": F.col("tally.complex").cast("bigint"),
     }
+    present = F.col("tally").isNotNull()
     return profiled.select(
         *files.columns,
         *[F.when(present, c).alias(name) for name, c in columns.items()],
-        "blocks",
+        F.col("tally.found").alias("complex_blocks"),
     )
 
 
 def profile_files(files: DataFrame) -> DataFrame:
     """Line, structure and complexity metrics per file (report_id, path, content), and its
     functions of complexity 15 or more (``complex_blocks``), in one pass over the text."""
-    complex_blocks = F.filter(
-        "blocks",
-        lambda b: b["is_function"] & (b["complexity"] >= vocab.COMPLEXITY_FINDING_FROM),
-    )
-    profiled = files.transform(structure_metrics).withColumn("complex_blocks", complex_blocks)
-    return profiled.drop("blocks").transform(line_metrics)
+    return files.transform(structure_metrics).transform(line_metrics)
 
 
 def file_metrics(files: DataFrame) -> DataFrame:
