@@ -32,7 +32,7 @@ TRAITS = ["title_key", "file_key", "first_line", "last_line"]
 SIGNATURE = GROUP + TRAITS
 ITEM = ["seq", *TRAITS, "copies"]
 
-_LEADERS = T.ArrayType(T.LongType())
+_LEADERS = T.ArrayType(T.StringType())
 
 
 def with_keys(findings: DataFrame) -> DataFrame:
@@ -305,13 +305,13 @@ PAYLOAD = [
 ]
 
 
-def merge_groups(labelled: DataFrame, ids_up_to: int = 10_000) -> DataFrame:
+def merge_groups(labelled: DataFrame) -> DataFrame:
     """One finding per group (report_id, leader_seq), with ``merged_count``.
 
     Findings that stand alone pass through without a shuffle.  For the others everything
     is a combinable aggregate, first per agent and then per group, so a large group is
-    reduced before it is shuffled.  ``merged_from`` lists the ids of groups of up to
-    ``ids_up_to`` findings (NULL beyond); ``group_members`` lists all of them.
+    reduced before it is shuffled.  ``merged_from`` lists all ids of a group, as the stored
+    finding does; ``group_members`` has them as rows.
     """
     alone = labelled.filter("merged_count = 1").select(
         *GROUP_KEY, F.col("seq").alias("primary_seq"), "merged_count", "agent", *PAYLOAD,
@@ -320,8 +320,7 @@ def merge_groups(labelled: DataFrame, ids_up_to: int = 10_000) -> DataFrame:
     several = labelled.filter("merged_count > 1")
     merged = _with_descriptions(_merge_several(several), several)
     ids = (
-        several.filter(F.col("merged_count") <= ids_up_to)
-        .groupBy(*GROUP_KEY)
+        several.groupBy(*GROUP_KEY)
         .agg(F.array_sort(F.collect_list(F.struct("seq", "id"))).alias("ids"))
         .select(*GROUP_KEY, F.transform("ids", lambda i: i["id"]).alias("merged_from"))
     )
@@ -329,17 +328,16 @@ def merge_groups(labelled: DataFrame, ids_up_to: int = 10_000) -> DataFrame:
 
 
 def _merge_several(labelled: DataFrame) -> DataFrame:
-    late = -F.col("seq")
-    ranked = labelled.withColumn("rank", labels.severity_rank(F.col("severity")))
+    ranked = labelled.withColumn("low", -labels.severity_rank(F.col("severity")))
     per_agent = ranked.groupBy(*GROUP_KEY, "agent").agg(
         F.count("*").alias("n"),
         F.min("seq").alias("seq"),
-        F.max(F.struct("rank", "confidence", late.alias("late"), F.struct(*PAYLOAD).alias("f"))).alias("best"),
+        F.min(F.struct("low", (-F.col("confidence")).alias("unsure"), "seq", F.struct(*PAYLOAD).alias("f"))).alias("best"),
         F.bool_or(F.col("source") == vocab.STATIC).alias("static"),
-        F.max(
+        F.min(
             F.when(
                 F.col("recommendation") != "",
-                F.struct(F.char_length("recommendation").alias("len"), late.alias("late"), "recommendation"),
+                F.struct((-F.char_length("recommendation")).alias("short"), "seq", "recommendation"),
             )
         ).alias("advice"),
         F.min(F.when(F.col("code_snippet") != "", F.struct("seq", "code_snippet"))).alias("snippet"),
@@ -347,9 +345,9 @@ def _merge_several(labelled: DataFrame) -> DataFrame:
     )
     merged = per_agent.groupBy(*GROUP_KEY).agg(
         F.sum("n").alias("merged_count"),
-        F.max("best").alias("best"),
+        F.min("best").alias("best"),
         F.bool_or("static").alias("static"),
-        F.max("advice").alias("advice"),
+        F.min("advice").alias("advice"),
         F.min("snippet").alias("snippet"),
         F.min("fix").alias("fix"),
         F.array_sort(F.collect_list(F.struct("seq", "agent"))).alias("agents"),
@@ -367,7 +365,7 @@ def _merge_several(labelled: DataFrame) -> DataFrame:
     }
     return merged.select(
         *GROUP_KEY,
-        (-F.col("best.late")).alias("primary_seq"),
+        F.col("best.seq").alias("primary_seq"),
         "merged_count",
         F.array_join(F.transform("agents", lambda a: a["agent"]), " + ").alias("agent"),
         *[changed.get(name, f[name]).alias(name) for name in PAYLOAD],

@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from findmill import vocab
 from findmill.functions import labels
 
-_STATIC_HALF = 1 << 62
+# digits of the largest BIGINT
+_DIGITS = 19
 
 
 def number_in_order(df: DataFrame, *columns: str) -> DataFrame:
@@ -21,23 +22,31 @@ def number_in_order(df: DataFrame, *columns: str) -> DataFrame:
     return df.orderBy(*columns).withColumn("ord", F.monotonically_increasing_id())
 
 
-def union_findings(*sources: DataFrame) -> DataFrame:
-    """Bag union of at most 15 sources, each with ``ord`` below 2**58.
+def order_text(*numbers: Column) -> Column:
+    """Text that sorts like the tuple of these non-negative whole numbers, whatever their size."""
+    return F.concat_ws(".", *[F.lpad(n.cast("string"), _DIGITS, "0") for n in numbers])
 
-    ``ord`` becomes unique: all of the first source, then all of the second, ...
-    """
+
+def order_of(findings: DataFrame) -> Column:
+    """The column ``ord`` as text that sorts like it; it may be a number or such a text already."""
+    is_text = isinstance(findings.schema["ord"].dataType, T.StringType)
+    return F.col("ord") if is_text else order_text(F.col("ord"))
+
+
+def union_findings(*sources: DataFrame) -> DataFrame:
+    """Bag union.  ``ord`` becomes unique: all of the first source, then all of the second, ..."""
     shifted = [
-        df.withColumn("ord", F.col("ord") + F.lit(i << 58)) for i, df in enumerate(sources)
+        df.withColumn("ord", F.concat_ws(".", order_text(F.lit(i)), order_of(df)))
+        for i, df in enumerate(sources)
     ]
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), shifted)
 
 
 def input_order(findings: DataFrame) -> DataFrame:
-    """Add ``seq``: findings that are not static first, then static ones, each by ``ord``."""
-    static = F.col("source") == vocab.STATIC
-    return findings.withColumn(
-        "seq", F.when(static, F.col("ord") + F.lit(_STATIC_HALF)).otherwise(F.col("ord"))
-    )
+    """Add ``seq``, a text that sorts findings that are not static first, then static ones,
+    each by ``ord``."""
+    half = F.when(F.col("source") == vocab.STATIC, "1").otherwise("0")
+    return findings.withColumn("seq", F.concat_ws(".", half, order_of(findings)))
 
 
 def by_severity(findings: DataFrame, *ties: str) -> DataFrame:

@@ -63,7 +63,7 @@ _DEDUP_SQL = (
  keyed AS (SELECT *, {RANK_SQL} AS sev, lower(category) AS cat, lower(title) AS t,
    lower(trim(file)) AS fk, line_start AS s,
    CASE WHEN line_start IS NOT NULL THEN coalesce(nullif(line_end, 0), line_start) END AS e,
-   CASE WHEN source = 'static_analysis' THEN ord + 4611686018427387904 ELSE ord END AS seq FROM findings),
+   concat(CASE WHEN source = 'static_analysis' THEN '1.' ELSE '0.' END, lpad(CAST(ord AS VARCHAR), 19, '0')) AS seq FROM findings),
  corroborated AS (SELECT DISTINCT k.report_id, k.seq FROM keyed k
    JOIN keyed st ON st.report_id = k.report_id AND st.fk = k.fk AND st.source = 'static_analysis'
    JOIN title_ratio r ON r.a = k.t AND r.b = st.t AND r.r >= 0.65
@@ -90,12 +90,12 @@ _DEDUP_SQL = (
 
 _MERGED_SQL = _DEDUP_SQL + """, grouped AS (
  SELECT report_id, leader_seq, count(*) AS n, bool_or(source = 'static_analysis') AS st,
-  arg_max(struct_pack(seq := seq, id := id, category := category, severity := severity, sev := sev,
+  arg_min(struct_pack(seq := seq, id := id, category := category, severity := severity, sev := sev,
     confidence := confidence, source := source, file := file, line_start := line_start, line_end := line_end,
     title := title, description := description, impact := impact, recommendation := recommendation,
     code_snippet := code_snippet, suggested_fix := suggested_fix),
-    struct_pack(a := sev, b := confidence, c := -seq)) AS p,
-  arg_max(recommendation, struct_pack(a := length(recommendation), b := -seq)) FILTER (WHERE recommendation <> '') AS rec,
+    struct_pack(a := -sev, b := -confidence, c := seq)) AS p,
+  arg_min(recommendation, struct_pack(a := -length(recommendation), b := seq)) FILTER (WHERE recommendation <> '') AS rec,
   arg_min(code_snippet, seq) FILTER (WHERE code_snippet <> '') AS snip,
   arg_min(suggested_fix, seq) FILTER (WHERE suggested_fix <> '') AS fix,
   string_agg(id, ',' ORDER BY seq) AS ids
@@ -218,11 +218,11 @@ QUERIES = {
                 marts.filter_findings(view(s, d, "findings"), severity="low"),
             )
         ).select("report_id", "id", "source", "ord", "seq"),
-        cte("findings") + """, u AS (SELECT *, ord AS o FROM findings
+        cte("findings") + """, u AS (SELECT *, concat(repeat('0', 19), '.', lpad(CAST(ord AS VARCHAR), 19, '0')) AS o FROM findings
            WHERE source = 'static_analysis' OR lower(agent) LIKE '%semgrep%'
-          UNION ALL SELECT *, ord + 288230376151711744 AS o FROM findings WHERE severity = 'LOW')
+          UNION ALL SELECT *, concat(repeat('0', 18), '1.', lpad(CAST(ord AS VARCHAR), 19, '0')) AS o FROM findings WHERE severity = 'LOW')
          SELECT report_id, id, source, o AS ord,
-           CASE WHEN source = 'static_analysis' THEN o + 4611686018427387904 ELSE o END AS seq FROM u""",
+           concat(CASE WHEN source = 'static_analysis' THEN '1.' ELSE '0.' END, o) AS seq FROM u""",
     ),
     "title_ratio": (
         lambda s, d: view(s, d, "findings").select(

@@ -20,7 +20,8 @@ _RESPONSES_SQL = cte("responses") + r""", blocks AS (SELECT report_id, response_
    generate_subscripts(xs, 1) - 1 AS item_no FROM listed) WHERE json_type(x) = 'OBJECT'),
  fields AS (SELECT *, json_type(x, '$.confidence') AS ck, x->>'$.confidence' AS c, json_type(x, '$.line_start') AS lk,
    x->>'$.line_start' AS l, x->>'$.severity' AS sv FROM items)
- SELECT report_id, (response_no << 40) + (CAST(block_no AS BIGINT) << 20) + item_no AS ord,
+ SELECT report_id, concat_ws('.', lpad(CAST(response_no AS VARCHAR), 19, '0'), lpad(CAST(block_no AS VARCHAR), 19, '0'),
+   lpad(CAST(item_no AS VARCHAR), 19, '0')) AS ord,
   coalesce(nullif(trim(x->>'$.id'), ''), sha256(concat_ws('|', report_id, agent, response_no, block_no, item_no))) AS id,
   agent, coalesce(trim(x->>'$.category'), default_category) AS category,
   CASE WHEN upper(sv) IN ('CRITICAL','HIGH','MEDIUM','LOW','INFO') THEN upper(sv) ELSE 'MEDIUM' END AS severity,
@@ -46,7 +47,7 @@ _SCANS_SQL = cte("scans") + r""", docs AS (SELECT *, CASE WHEN json_valid(json)
  flat AS (SELECT *, coalesce(x->>'$.check_id', 'unknown-rule') AS rule_id, coalesce(x->>'$.path', 'unknown') AS path,
   CAST(x->>'$.start.line' AS BIGINT) AS s, CAST(x->>'$.end.line' AS BIGINT) AS e, x->>'$.extra.lines' AS lines,
   upper(coalesce(x->>'$.extra.severity', 'INFO')) AS sv FROM items)
- SELECT report_id, (document_no << 40) + item_no AS ord, 'Static Analysis (Semgrep)' AS agent,
+ SELECT report_id, concat_ws('.', lpad(CAST(document_no AS VARCHAR), 19, '0'), lpad(CAST(item_no AS VARCHAR), 19, '0')) AS ord, 'Static Analysis (Semgrep)' AS agent,
   """ + _CATEGORY_SQL.format("rule_id") + r""" AS category,
   CASE sv WHEN 'ERROR' THEN 'HIGH' WHEN 'WARNING' THEN 'MEDIUM' ELSE 'LOW' END AS severity, CAST(80 AS BIGINT) AS confidence,
   'static_analysis' AS source,

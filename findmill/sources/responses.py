@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from findmill import vocab
 from findmill.functions import coerce
 from findmill.functions.text import SPACE
+from findmill.operators.ordering import order_text
 
 # Fixed value: a fenced JSON block, any case, over several lines, shortest match
 JSON_FENCE = rf"(?is)```json{SPACE}*(.*?){SPACE}*```"
@@ -60,7 +61,7 @@ def parse_responses(responses: DataFrame, source: str = vocab.AI) -> DataFrame:
     )
     return items.filter(~broken).select(
         "report_id",
-        position(F.col("response_no"), F.col("block_no"), F.col("item_no")).alias("ord"),
+        order_text(F.col("response_no"), F.col("block_no"), F.col("item_no")).alias("ord"),
         F.coalesce(coerce.as_optional_text(value("id")), made_id).alias("id"),
         "agent",
         coerce.as_text(value("category"), F.col("default_category")).alias("category"),
@@ -78,12 +79,3 @@ def parse_responses(responses: DataFrame, source: str = vocab.AI) -> DataFrame:
         coerce.as_optional_text(value("suggested_fix")).alias("suggested_fix"),
         F.array().cast("array<string>").alias("merged_from"),
     )
-
-
-def position(outer: Column, middle: Column, inner: Column) -> Column:
-    """One number ordering rows by (outer, middle, inner); the last two below 2**20."""
-    return (
-        F.shiftleft(outer.cast("bigint"), 40)
-        + F.shiftleft(middle.cast("bigint"), 20)
-        + inner.cast("bigint")
-    )

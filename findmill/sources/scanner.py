@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from findmill import vocab
 from findmill.functions import coerce, labels, paths
 from findmill.functions.text import blank_to_null
-from findmill.sources.responses import position
+from findmill.operators.ordering import order_text
 
 
 def explode_results(documents: DataFrame) -> DataFrame:
@@ -45,7 +45,7 @@ def parse_documents(documents: DataFrame) -> DataFrame:
         fields.filter(usable)
         .withColumns(
             {
-                "ord": position(c("document_no"), F.lit(0), c("item_no")),
+                "ord": order_text(c("document_no"), c("item_no")),
                 "rule_id": _plain(c("check_id"), F.lit("unknown-rule")),
                 "file": F.coalesce(F.try_variant_get("path", "$", "string"), F.lit("unknown")),
                 "lines": F.when(is_text(c("lines")), F.try_variant_get("lines", "$", "string")),

@@ -128,7 +128,7 @@ def test_sinks_round_trip(spark, tmp_path):
     found = responses.parse_responses(
         spark.createDataFrame([(1, 0, "A", "Quality", fenced([{"id": "x", "severity": "HIGH"}, {"id": "y"}]))], RESPONSES)
     ).withColumn("merged_from", F.when(F.col("id") == "x", F.array(F.lit("p"), F.lit("q"))).otherwise(F.col("merged_from")))
-    numbered = sinks.stored_findings(found).withColumn("id", F.col("ord"))
+    numbered = sinks.stored_findings(found).withColumn("id", F.monotonically_increasing_id())
     for _ in range(2):
         sinks.append(numbered, base, "findings")
     rows = tables.read_table(spark, base, "findings").collect()
