@@ -1,4 +1,4 @@
-"""Documents made of ordered parts, whole where they fit and in parts where not.
+"""Documents made of ordered parts, at every size.
 
 A document is the concatenation of its parts in the order of ``place``.  Parts are
 cut at ranges of the finding key, so a part has a bounded number of rows without
@@ -9,10 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from findmill.session import durable
-
 PAGE = 1000
-WHOLE_UP_TO = 32 * 1024 * 1024
 
 PLACE = "struct<section:int,major:bigint,minor:bigint,page:bigint,name:string>"
 
@@ -24,44 +21,11 @@ def place(section: int, major=0, minor=0, page=0, name="") -> Column:
     return F.struct(*columns).cast(PLACE)
 
 
-def assemble(parts: DataFrame, whole_up_to: int = WHOLE_UP_TO) -> DataFrame:
-    """(report_id, is_whole, place, text) from parts (report_id, place, text).
-
-    Documents of up to ``whole_up_to`` bytes become one row; larger ones keep their
-    parts, which ``in_order`` brings into reading order.  Parts are made once, into a
-    table; the large reports are told apart by their byte counts alone, so their parts
-    are never brought together.
-    """
-    parts = durable(parts.withColumn("bytes", F.octet_length("text")), "parts")
-    large = durable(
-        parts.groupBy("report_id")
-        .agg(F.sum("bytes").alias("bytes"))
-        .filter(F.col("bytes") > whole_up_to)
-        .select("report_id"),
-        "large-documents",
-    )
-    whole = (
-        parts.join(large, "report_id", "left_anti")
-        .groupBy("report_id")
-        .agg(F.array_sort(F.collect_list(F.struct("place", "text"))).alias("all"))
-        .select(
-            "report_id",
-            F.lit(True).alias("is_whole"),
-            F.lit(None).cast(PLACE).alias("place"),
-            F.array_join(F.transform("all", lambda p: p["text"]), "").alias("text"),
-        )
-    )
-    rest = parts.join(large, "report_id", "left_semi").select(
-        "report_id", F.lit(False).alias("is_whole"), "place", "text"
-    )
-    return whole.unionByName(rest)
-
-
 def in_order(documents: DataFrame) -> DataFrame:
     """Reading order; a range-partitioned sort, also across one large document."""
     return documents.orderBy("report_id", "place")
 
 
 def write_texts(documents: DataFrame, path: str) -> None:
-    """Write documents in reading order as (report_id, is_whole, place, text) Parquet."""
+    """Write documents in reading order as (report_id, place, text) Parquet."""
     in_order(documents).write.parquet(path)

@@ -13,7 +13,7 @@ from findmill.operators.documents import place
 def packed_files(files: DataFrame) -> DataFrame:
     """Parts of the packed corpus of each report, one per file, in path order.
 
-    ``documents.assemble`` joins them; a report with too much text stays in parts.
+    Read in order of ``place`` they are the packed text.
     """
     first = files.groupBy("report_id").agg(F.min("path").alias("first_path"))
     gap = F.when(F.col("path") == F.col("first_path"), "").otherwise("\n\n")

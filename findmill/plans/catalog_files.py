@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from findmill import rulepack
 from findmill.functions import paths
-from findmill.operators import documents, metrics, narratives, risk, rules, validation
+from findmill.operators import metrics, narratives, risk, rules, validation
 from findmill.plans.views import cte, view
 from findmill.sources import files as corpus
 
@@ -95,7 +95,7 @@ _FEATURES_SQL = (
   FROM report_metrics FULL JOIN totals USING (report_id)) """
 )
 
-_RISK_SQL = _FEATURES_SQL + """, points AS (SELECT *,
+RISK_SQL = _FEATURES_SQL + """, points AS (SELECT *,
    CASE WHEN cyclomatic_complexity_avg >= 20 THEN 25 WHEN cyclomatic_complexity_avg >= 10 THEN 15
      WHEN cyclomatic_complexity_avg >= 5 THEN 5 ELSE 0 END
    + CASE WHEN loc >= 1000 THEN 20 WHEN loc >= 500 THEN 10 WHEN loc >= 200 THEN 5 ELSE 0 END
@@ -184,12 +184,14 @@ def _risk(spark, d):
 
 
 def _packed(spark, d):
-    whole = documents.assemble(narratives.packed_files(_files(spark, d)))
-    return whole.select("report_id", F.md5("text").alias("digest"), F.char_length("text").alias("chars"))
+    parts = narratives.packed_files(_files(spark, d))
+    return parts.select(
+        "report_id", F.col("place.name").alias("path"), F.md5("text").alias("digest"), F.char_length("text").alias("chars")
+    )
 
 
 def _structure(spark, d):
-    return metrics.structure_metrics(_files(spark, d)).drop("content", "blocks").filter(
+    return metrics.structure_metrics(_files(spark, d)).drop("content", "complex_blocks").filter(
         "num_functions IS NOT NULL"
     )
 
@@ -236,7 +238,7 @@ QUERIES = {
         _REPORT_SQL + "SELECT * FROM report_metrics",
     ),
     "risk_features": (_features, _FEATURES_SQL + "SELECT * FROM features"),
-    "heuristic_risk": (_risk, _RISK_SQL),
+    "heuristic_risk": (_risk, RISK_SQL),
     "rule_hits": (
         lambda s, d: rules.rule_hits(_files(s, d)).drop("message"),
         _rules_sql() + "SELECT report_id, file, CAST(line_start AS BIGINT) AS line_start, lines, rule.rule_id AS rule_id, "
@@ -256,8 +258,8 @@ QUERIES = {
     ),
     "packed_files": (
         _packed,
-        cte("source_files") + """, t AS (SELECT report_id, string_agg(concat('FILE: ', path, chr(10), '```', chr(10), content,
-          chr(10), '```'), concat(chr(10), chr(10)) ORDER BY path) AS text FROM source_files GROUP BY report_id)
-         SELECT report_id, md5(text) AS digest, CAST(length(text) AS INT) AS chars FROM t""",
+        cte("source_files") + """, t AS (SELECT report_id, path, concat(CASE WHEN path = min(path) OVER (PARTITION BY report_id) THEN ''
+           ELSE concat(chr(10), chr(10)) END, 'FILE: ', path, chr(10), '```', chr(10), content, chr(10), '```') AS text FROM source_files)
+         SELECT report_id, path, md5(text) AS digest, CAST(length(text) AS INT) AS chars FROM t""",
     ),
 }

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from findmill import schemas, vocab
-from findmill.operators import documents, export, integrity, marts, narratives
+from findmill.operators import export, integrity, marts, narratives
 from findmill.plans.catalog_findings import RANK_SQL
 from findmill.plans.views import cte, view
 from findmill.sources import sinks
@@ -53,38 +53,46 @@ _DETAILS_SQL = cte("users", "repositories", "reports", "analysis_results", "ml_p
  LEFT JOIN n ON n.report_id = r.id LEFT JOIN tops ON tops.report_id = r.id"""
 
 
+def _parts(parts):
+    """A document's parts with their place, one column for each member that the parts use."""
+    return parts.select("report_id", "place.section", "place.major", "place.minor", "place.page", "text")
+
+
 def _json(spark, d):
     t = tables(spark, d)
     parts = export.json_parts(t["reports"], t["findings"], t["ml_predictions"])
-    return documents.assemble(parts).select("report_id", "is_whole", "text")
+    return _parts(parts)
 
 
-_JSON_SQL = cte("reports", "stored_findings", "ml_predictions") + """, f AS (SELECT report_id,
+_JSON_SQL = cte("reports", "stored_findings", "ml_predictions") + """, f AS (SELECT report_id, -confidence AS minor, id // 1000 AS page,
    string_agg(to_json({'id': finding_id, 'agent': agent, 'category': category, 'severity': severity,
     'confidence': confidence, 'source': source, 'file': file, 'line_start': line_start, 'line_end': line_end,
     'title': title, 'description': description, 'impact': impact, 'recommendation': recommendation,
-    'code_snippet': code_snippet, 'suggested_fix': suggested_fix}), ',' ORDER BY confidence DESC, id) AS items
-   FROM stored_findings GROUP BY report_id),
+    'code_snippet': code_snippet, 'suggested_fix': suggested_fix}), ',' ORDER BY id) AS items
+   FROM stored_findings WHERE report_id IN (SELECT id FROM reports) GROUP BY ALL),
+ n AS (SELECT *, row_number() OVER (PARTITION BY report_id ORDER BY minor, page) AS k FROM f),
  p AS (SELECT report_id, to_json({'defect_probability': defect_probability, 'maintenance_risk': maintenance_risk,
    'review_priority': review_priority, 'human_review_recommended': human_review_recommended,
    'top_risk_factors': CASE WHEN json_valid(top_risk_factors) THEN from_json(top_risk_factors, '["VARCHAR"]') ELSE [] END,
    'model_used': model_used, 'disclaimer': disclaimer}) AS j FROM ml_predictions)
- SELECT r.id AS report_id, true AS is_whole, concat(
+ SELECT r.id AS report_id, 0 AS section, 0 AS major, 0 AS minor, 0 AS page, concat(
   left(to_json({'report_id': r.id, 'repository_id': r.repository_id,
    'created_at': strftime(r.created_at, '%Y-%m-%dT%H:%M:%S'), 'overall_score': r.overall_score,
    'scores': {'overall': r.overall_score, 'quality': r.quality_score, 'security': r.security_score,
      'performance': r.performance_score, 'maintainability': r.maintainability_score, 'testing': r.testing_score},
    'finding_counts': {'critical': r.critical_count, 'high': r.high_count, 'medium': r.medium_count, 'low': r.low_count,
      'info': r.info_count, 'total': r.critical_count + r.high_count + r.medium_count + r.low_count + r.info_count}}), -1),
-  ',"findings":[', coalesce(f.items, ''), '],"ml_prediction":', coalesce(p.j, 'null'),
-  ',"final_narrative":', to_json(r.summary), '}') AS text
- FROM reports r LEFT JOIN f ON f.report_id = r.id LEFT JOIN p ON p.report_id = r.id"""
+  ',"findings":[') AS text FROM reports r
+ UNION ALL SELECT report_id, 1, 0, minor, page, concat(CASE WHEN k = 1 THEN '' ELSE ',' END, items) FROM n
+ UNION ALL SELECT r.id, 2, 0, 0, 0, concat('],"ml_prediction":', coalesce(p.j, 'null'),
+  ',"final_narrative":', to_json(r.summary), '}')
+ FROM reports r LEFT JOIN p ON p.report_id = r.id"""
 
 
 def _markdown(spark, d):
     t = tables(spark, d)
     parts = export.markdown_parts(t["reports"], t["findings"], t["ml_predictions"])
-    return documents.assemble(parts).select("report_id", "text")
+    return _parts(parts)
 
 
 _SCORE_LINES = ", ".join(
@@ -93,7 +101,8 @@ _SCORE_LINES = ", ".join(
 _COUNT_LINES = ", ".join(
     f"concat('| {icon} {s.capitalize()} | ', r.{s.lower()}_count, ' |')" for s, icon in vocab.SEVERITY_BADGE.items()
 )
-_MARKDOWN_SQL = cte("reports", "stored_findings", "ml_predictions") + f""", f AS (SELECT report_id,
+_MARKDOWN_SQL = cte("reports", "stored_findings", "ml_predictions") + f""", f AS (SELECT report_id, CASE severity WHEN 'CRITICAL' THEN 0 WHEN 'HIGH' THEN 1 WHEN 'MEDIUM' THEN 2 WHEN 'LOW' THEN 3
+     WHEN 'INFO' THEN 4 ELSE 5 END AS major, -confidence AS minor, id // 1000 AS page,
   string_agg(concat(array_to_string(list_filter([
    concat('### ', CASE severity {' '.join(f"WHEN '{s}' THEN '{i}'" for s, i in vocab.SEVERITY_BADGE.items())} END,
      ' [', severity, '] ', title), '', concat('**Agent:** ', agent, '  '), concat('**Category:** ', category, '  '),
@@ -105,8 +114,7 @@ _MARKDOWN_SQL = cte("reports", "stored_findings", "ml_predictions") + f""", f AS
    CASE WHEN code_snippet <> '' THEN concat(chr(10), '**Code:**', chr(10), '```', chr(10), code_snippet, chr(10), '```') END,
    CASE WHEN suggested_fix <> '' THEN concat(chr(10), '**Suggested Fix (AI-generated):**', chr(10), '```', chr(10),
      suggested_fix, chr(10), '```') END, '', '---', ''], lambda x: x IS NOT NULL), chr(10)), chr(10)), ''
-   ORDER BY CASE severity WHEN 'CRITICAL' THEN 0 WHEN 'HIGH' THEN 1 WHEN 'MEDIUM' THEN 2 WHEN 'LOW' THEN 3
-     WHEN 'INFO' THEN 4 ELSE 5 END, confidence DESC, id) AS items FROM stored_findings GROUP BY report_id),
+   ORDER BY id) AS items FROM stored_findings WHERE report_id IN (SELECT id FROM reports) GROUP BY ALL),
  p AS (SELECT report_id, concat(array_to_string(list_concat(['## 2. ML Code Risk Prediction', '',
    concat('> ⚠️ ', disclaimer), '', '| Metric | Value |', '|--------|-------|',
    concat('| Defect Probability | ', format('{{:.1f}}', defect_probability * 100), '% |'),
@@ -116,12 +124,14 @@ _MARKDOWN_SQL = cte("reports", "stored_findings", "ml_predictions") + f""", f AS
    '', '**Top Risk Factors:**'],
    list_concat(list_transform(CASE WHEN json_valid(top_risk_factors) THEN from_json(top_risk_factors, '["VARCHAR"]') ELSE [] END,
      lambda x: concat('- ', x)), ['', '---', ''])), chr(10)), chr(10)) AS text FROM ml_predictions)
- SELECT r.id AS report_id, concat(array_to_string(['# AI Code Review Report', '', concat('**Report ID:** ', r.id),
+ SELECT r.id AS report_id, 0 AS section, 0 AS major, 0 AS minor, 0 AS page, array_to_string(['# AI Code Review Report', '', concat('**Report ID:** ', r.id),
    concat('**Date:** ', strftime(r.created_at, '%Y-%m-%d %H:%M'), ' UTC'), '', '---', '', '## 1. Executive Summary', '',
    '| Metric | Score |', '|--------|-------|', {_SCORE_LINES}, '', '### Issue Counts', '', '| Severity | Count |',
-   '|----------|-------|', {_COUNT_LINES}, '', '---', '', ''], chr(10)), coalesce(p.text, ''),
-   '## 3. Findings', chr(10), chr(10), coalesce(f.items, ''), '## 4. Full Analysis', chr(10), chr(10), r.summary) AS text
- FROM reports r LEFT JOIN f ON f.report_id = r.id LEFT JOIN p ON p.report_id = r.id"""
+   '|----------|-------|', {_COUNT_LINES}, '', '---', '', ''], chr(10)) AS text FROM reports r
+ UNION ALL SELECT report_id, 1, 0, 0, 0, text FROM p WHERE report_id IN (SELECT id FROM reports)
+ UNION ALL SELECT id, 2, 0, 0, 0, concat('## 3. Findings', chr(10), chr(10)) FROM reports
+ UNION ALL SELECT report_id, 3, major, minor, page, items FROM f
+ UNION ALL SELECT id, 4, 0, 0, 0, concat('## 4. Full Analysis', chr(10), chr(10), summary) FROM reports"""
 
 
 def _violations_sql():
