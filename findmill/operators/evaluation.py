@@ -6,8 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from findmill.functions.rounding import round_exact
 from findmill.functions.running import running_total
-
-_BINS = 10_000
+from findmill.session import durable
 
 
 def _share(part: Column, whole: Column) -> Column:
@@ -41,16 +40,18 @@ def class_report(scored: DataFrame, label: str = "label", prediction: str = "pre
 def _curve(scored: DataFrame, label: str, score: str) -> DataFrame:
     """Positives and negatives at and above every distinct score.
 
-    Rows collapse to distinct scores first; running totals then go by score bins, so
-    no task sorts more than one bin's distinct scores.
+    Rows collapse to distinct scores first.  Running totals then go by ranges of scores with
+    about equally many distinct ones, whatever values they have, so no task sorts more than
+    one range and there are only as many ranges as shuffle partitions.
     """
     steps = scored.groupBy(F.col(score).alias("score")).agg(
         F.sum(F.col(label).cast("bigint")).alias("positives"),
         F.sum(1 - F.col(label).cast("bigint")).alias("negatives"),
     ).withColumn("from_top", -F.col("score"))
-    fine = F.floor(F.col("from_top") * _BINS)
+    # the ranges are sampled: written down, they stay the same for sums and for totals
+    steps = durable(steps.repartitionByRange("from_top").withColumn("range", F.spark_partition_id()), "score-steps")
     totals = {"all_positives": F.col("positives"), "all_negatives": F.col("negatives")}
-    return running_total(steps, [], "from_top", totals, bucket=fine)
+    return running_total(steps, [], "from_top", totals, bucket=F.col("range")).drop("range")
 
 
 def ranking_metrics(scored: DataFrame, label: str = "label", score: str = "probability") -> DataFrame:

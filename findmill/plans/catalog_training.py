@@ -28,18 +28,19 @@ def _split(spark, d):
 
 
 def _features_of_documents(spark, d):
-    """Labelled documents as training rows: line metrics, and the findings of that number."""
-    files = read(spark, d, "documents").select(
-        F.col("doc_id").alias("report_id"), F.lit("f.txt").alias("path"), F.col("text").alias("content")
-    )
-    features = metrics.extract_features(metrics.file_metrics(files), view(spark, d, "findings"))
+    """Labelled source files as training rows: their metrics, and the findings of that number.
+
+    Labels are joined before any text is profiled.
+    """
     labels = read(spark, d, "labels").select(F.col("doc_id").alias("report_id"), F.col("quality").alias("label"))
+    files = view(spark, d, "files").join(labels.select("report_id"), "report_id", "left_semi")
+    features = metrics.extract_features(metrics.file_metrics(files), view(spark, d, "findings"))
     return training.with_split(features.join(labels, "report_id"), "report_id")
 
 
 def _trained(spark, d):
     rows = durable(_features_of_documents(spark, d), "training-rows")
-    return rows, training.train(rows, trees=10)
+    return rows, training.train(rows)
 
 
 def _model_scores(spark, d):
