@@ -47,10 +47,6 @@ def raw_maintenance_risk() -> Column:
     )
 
 
-def maintenance_risk() -> Column:
-    return F.round(raw_maintenance_risk(), 3)
-
-
 def review_priority(probability: Column) -> Column:
     return (
         F.when(probability >= vocab.PRIORITY_HIGH_FROM, "HIGH")

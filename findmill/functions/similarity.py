@@ -9,8 +9,9 @@ from __future__ import annotations
 from difflib import SequenceMatcher
 from functools import lru_cache
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import Column, functions as F, types as T
+from pyspark.sql import functions as F, types as T
 
 
 @lru_cache(maxsize=200_000)
@@ -31,10 +32,18 @@ def similar(a: str, b: str, threshold: float) -> bool:
     return matcher.quick_ratio() >= threshold and matcher.ratio() >= threshold
 
 
-def length_bound(a: Column, b: Column) -> Column:
-    """Upper bound of the ratio from the lengths alone (JVM side)."""
-    la, lb = F.char_length(a), F.char_length(b)
-    return F.when(la + lb == 0, F.lit(1.0)).otherwise(2.0 * F.least(la, lb) / (la + lb))
+_BINS = 64
+
+
+def letter_counts(text: str) -> np.ndarray:
+    """Characters of a text, folded into 64 bins: what two texts share is at most what their bins share."""
+    return np.bincount(np.frombuffer(text.encode("utf-32-le"), np.uint32) % _BINS, minlength=_BINS)
+
+
+def possible(text: str, counts: np.ndarray, lengths: np.ndarray, threshold: float) -> np.ndarray:
+    """Numbers of the texts, given by counts and lengths, whose ratio may reach ``threshold``."""
+    shared = np.minimum(counts, letter_counts(text)).sum(axis=1)
+    return np.flatnonzero(2.0 * shared >= (threshold - 1e-9) * (lengths + len(text)))
 
 
 @F.pandas_udf(T.DoubleType())
@@ -57,12 +66,22 @@ def is_similar(threshold: float):
 
 
 def resembles_any(threshold: float):
-    """UDF (text, candidates) -> whether some candidate reaches ``threshold``."""
+    """UDF (text, candidates) -> whether some candidate reaches ``threshold``.
+
+    Letter counts rule out most candidates in one vector operation; texts that meet the same
+    candidates share their counts.
+    """
 
     @F.pandas_udf(T.BooleanType())
     def check(text: pd.Series, candidates: pd.Series) -> pd.Series:
-        return pd.Series(
-            [any(similar(t, c, threshold) for c in found) for t, found in zip(text, candidates)]
-        )
+        known: dict[tuple[str, ...], tuple[np.ndarray, np.ndarray]] = {}
+
+        def one(t: str, found) -> bool:
+            key = tuple(found)
+            if key not in known:
+                known[key] = np.stack([letter_counts(c) for c in key]), np.array([len(c) for c in key])
+            return any(similar(t, key[i], threshold) for i in possible(t, *known[key], threshold))
+
+        return pd.Series([one(t, found) for t, found in zip(text, candidates)], dtype="boolean")
 
     return check

@@ -9,7 +9,9 @@ from findmill.functions import risk
 from findmill.functions.rounding import round_exact
 
 
-def _prediction(features: DataFrame, probability: Column, contributions: Column, model: str) -> DataFrame:
+def _prediction(
+    features: DataFrame, probability: Column, contributions: Column, model: str, disclaimer: str = vocab.RISK_DISCLAIMER
+) -> DataFrame:
     """Assemble a prediction; thresholds see the unrounded model probability."""
     maintenance = round_exact(risk.raw_maintenance_risk(), 3)
     factors = F.when(
@@ -25,7 +27,7 @@ def _prediction(features: DataFrame, probability: Column, contributions: Column,
         contributions.alias("shap_values"),
         F.lit(vocab.MODEL_VERSION).alias("model_version"),
         F.lit(model).alias("model_used"),
-        F.lit(vocab.RISK_DISCLAIMER).alias("disclaimer"),
+        F.lit(disclaimer).alias("disclaimer"),
     )
 
 
@@ -35,8 +37,11 @@ def heuristic_risk(features: DataFrame) -> DataFrame:
     return _prediction(features, risk.defect_probability(), nothing, vocab.MODEL_HEURISTIC)
 
 
-def model_risk(scored: DataFrame) -> DataFrame:
-    """Predictions from a model's ``probability`` and ``contributions`` columns."""
-    return _prediction(
-        scored, F.col("probability"), F.col("contributions"), vocab.MODEL_TRAINED
-    )
+def model_risk(
+    scored: DataFrame, model: str = vocab.MODEL_TRAINED, disclaimer: str = vocab.RISK_DISCLAIMER
+) -> DataFrame:
+    """Predictions from a model's ``probability`` and ``contributions`` columns.
+
+    ``model`` and ``disclaimer`` name the model and what it was trained on.
+    """
+    return _prediction(scored, F.col("probability"), F.col("contributions"), model, disclaimer)

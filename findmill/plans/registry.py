@@ -6,6 +6,7 @@ from findmill.plans import (
     catalog_files,
     catalog_findings,
     catalog_reports,
+    catalog_review,
     catalog_sources,
     catalog_training,
 )
@@ -16,4 +17,5 @@ QUERIES = {
     **catalog_reports.QUERIES,
     **catalog_sources.QUERIES,
     **catalog_training.QUERIES,
+    **catalog_review.QUERIES,
 }

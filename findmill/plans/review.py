@@ -36,7 +36,7 @@ def review(files: DataFrame, responses: DataFrame) -> Review:
     profiled = durable(metrics.profile_files(files), "file-profiles")
     complexity = metrics.complexity_findings(profiled)
     features = metrics.extract_features(profiled, complexity)
-    findings = dedup.deduplicate(
-        union_findings(parse_responses(responses), complexity, rules.scan_rules(files))
-    )
+    found = union_findings(parse_responses(responses), complexity, rules.scan_rules(files))
+    # deduplication reads its input several times: parse the responses and scan the files once
+    findings = dedup.deduplicate(durable(found, "review-findings"))
     return Review(profiled.drop("complex_blocks"), features, risk.heuristic_risk(features), findings)

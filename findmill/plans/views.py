@@ -261,6 +261,16 @@ CODE_LINES = [
     "System.exit(1);", "strcpy(a, b);", "  // note", "\t* star", "    char *p = malloc(4);", "    *p;",
     "        for a in b:", "    def inner(c):", "        while c: assert c",
     "        if " + " and ".join(["c"] * 24) + ": pass",
+    # the other rules, each with a line that just misses it
+    "exec(code)", "my.exec(code)", "subprocess.run(c, shell=True)", "subprocess.run(c, shell=False)",
+    "pickle.loads(b)", "pickle.dumps(b)", "assert a", "asserted = 1", "print(a)", "pprint(a)",
+    "except:", "except ValueError:", "def mutable(a=[]):", "def fine(a=None):", "ast.literal_eval(a)",
+    "document.write(x);", "documents.write(x);", "Object.prototype.x = 1;", "Object.prototype.x == 1;",
+    'const secret = "s";', 'let secret = "s";', "let a: any = 1;", "let a: anything = 1;", "let eval = f(x);", "eval(x);",
+    "Runtime.getRuntime().exec(c);", "getRuntime().exec(c);", 'q = "select a from b where c = " + d;', 'q = "select a";',
+    "e.printStackTrace();", "e.printStackTrace(s);", 'String password = "p";', 'String name = "p";',
+    "gets(a);", "fgets(a);", "strcat(a, b);", "strncat(a, b);", "sprintf(a, b);", "snprintf(a, b);",
+    "printf(a);", 'printf("a");', "system(a);", "ecosystem(a);", "el.innerHTML == y;", "strncpy(a, b);",
 ]
 _EXT = pick("doc_id", [".py", ".js", ".ts", ".java", ".cpp", ".py", ".PY", ".md"])
 FILE_COLUMNS = {
@@ -274,7 +284,7 @@ def _code_case(selector: str, line: str) -> str:
         f"WHEN {i} THEN '" + c.replace("'", "''") + "'"
         for i, c in enumerate(CODE_LINES)
     )
-    return f"CASE ({selector}) % 37 {cases} ELSE concat('    ', {line}) END"
+    return f"CASE ({selector}) % 101 {cases} ELSE concat('    ', {line}) END"
 
 
 def source_files(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -48,3 +48,10 @@ def test_filters_reach_the_scan(spark, tmp_path):
 def test_entry_runs(spark):
     df = entry.entry(spark)
     assert df.count() > 0 and "merged_from" in df.columns
+
+
+def test_all_rules_are_hit(spark):
+    from findmill.rulepack import RULES
+
+    hits = entry.queries()["rule_hits"](spark, "/root/testdata/sf0.01")
+    assert {r.rule_id for r in hits.select("rule_id").distinct().collect()} == {rule[0] for rule in RULES}
