@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from findmill.functions.rounding import round_exact
 from findmill.functions.running import running_total
@@ -94,3 +94,12 @@ def evaluate(
             for m in ("precision", "recall", "f1", "roc_auc", "pr_auc")
         ],
     )
+
+
+def append_run(row: DataFrame, path: str, run: int) -> None:
+    """Append the metrics row of a run to the table of runs."""
+    row.withColumn("run", F.lit(run)).write.mode("append").parquet(path)
+
+
+def read_runs(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(path)

@@ -77,7 +77,7 @@ def erase(
     """Survivors of every table when the rows ``ids`` (id) of ``table`` go, with all their
     descendants; and the archive paths of the repositories that went.
 
-    The caller writes the survivors to a new place: Parquet is not changed in place.
+    ``write_survivors`` puts the survivors in a new place: Parquet is not changed in place.
     """
     doomed = {table: ids.select("id").distinct()}
     for child, key, parent in schemas.FOREIGN_KEYS:
@@ -100,3 +100,9 @@ def erase(
     else:
         paths = repositories.select("zip_path").limit(0)
     return survivors, paths
+
+
+def write_survivors(survivors: dict[str, DataFrame], base: str) -> None:
+    """Write the tables that an erasure leaves to a new place."""
+    for name, df in survivors.items():
+        df.write.parquet(f"{base}/{name}")

@@ -86,6 +86,16 @@ def train(
     return PipelineModel(stages=[*scaling.stages, model])
 
 
+def scaled_features(data: DataFrame, fit_on: DataFrame, names: list[str] | None = None) -> DataFrame:
+    """``data`` with its features centred and divided by the sample deviation of ``fit_on``."""
+    names = names or vocab.FEATURES
+    model = Pipeline(stages=feature_stages(names)).fit(fit_on.fillna(0.0, names))
+    scaled = model.transform(data.fillna(0.0, names)).withColumn("scaled", vector_to_array("features"))
+    return scaled.select(
+        *[c for c in data.columns if c not in names], *[F.col("scaled")[i].alias(n) for i, n in enumerate(names)]
+    )
+
+
 def score(model: PipelineModel, features: DataFrame, names: list[str] | None = None) -> DataFrame:
     """Add ``probability`` (of a defect) and ``prediction``."""
     kept = features.columns

@@ -10,7 +10,7 @@ from findmill.plans.catalog_findings import RANK_SQL
 from findmill.plans.views import cte, view
 from findmill.sources import sinks
 
-_TABLE_VIEWS = {
+TABLE_VIEWS = {
     "users": "users", "repositories": "repositories", "reports": "reports",
     "analysis_results": "analysis_results", "findings": "stored_findings", "ml_predictions": "ml_predictions",
 }
@@ -18,7 +18,7 @@ _STAMP = "yyyy-MM-dd HH:mm:ss"
 
 
 def tables(spark, d):
-    return {name: view(spark, d, source) for name, source in _TABLE_VIEWS.items()}
+    return {name: view(spark, d, source) for name, source in TABLE_VIEWS.items()}
 
 
 def _stamped(df, *columns):
@@ -139,19 +139,19 @@ def _violations_sql():
     for child, key, parent in schemas.FOREIGN_KEYS:
         parts.append(
             f"SELECT '{child}' AS table_name, 'orphan' AS rule, '{key}' AS column_name, CAST(id AS VARCHAR) AS key_value "
-            f"FROM {_TABLE_VIEWS[child]} WHERE {key} NOT IN (SELECT id FROM {_TABLE_VIEWS[parent]})"
+            f"FROM {TABLE_VIEWS[child]} WHERE {key} NOT IN (SELECT id FROM {TABLE_VIEWS[parent]})"
         )
     for table, column in schemas.UNIQUE_KEYS:
         parts.append(
-            f"SELECT '{table}', 'duplicate', '{column}', CAST({column} AS VARCHAR) FROM {_TABLE_VIEWS[table]} "
+            f"SELECT '{table}', 'duplicate', '{column}', CAST({column} AS VARCHAR) FROM {TABLE_VIEWS[table]} "
             f"GROUP BY {column} HAVING count(*) > 1"
         )
     for table, column, limit in schemas.TEXT_LIMITS:
         parts.append(
-            f"SELECT '{table}', 'too_long', '{column}', CAST(id AS VARCHAR) FROM {_TABLE_VIEWS[table]} "
+            f"SELECT '{table}', 'too_long', '{column}', CAST(id AS VARCHAR) FROM {TABLE_VIEWS[table]} "
             f"WHERE length({column}) > {limit}"
         )
-    return cte(*_TABLE_VIEWS.values()) + " UNION ALL ".join(parts)
+    return cte(*TABLE_VIEWS.values()) + " UNION ALL ".join(parts)
 
 
 def _erased(spark, d):
@@ -168,7 +168,7 @@ def _erased(spark, d):
     return out
 
 
-_ERASED_SQL = cte(*_TABLE_VIEWS.values()) + """, u AS (SELECT id FROM users WHERE id IN (1, 3)),
+_ERASED_SQL = cte(*TABLE_VIEWS.values()) + """, u AS (SELECT id FROM users WHERE id IN (1, 3)),
  ro AS (SELECT id FROM repositories WHERE user_id IN (FROM u)),
  re AS (SELECT id FROM reports WHERE repository_id IN (FROM ro))
  SELECT 'users' AS table_name, count(*) AS rows_left FROM users WHERE id NOT IN (FROM u)

@@ -70,7 +70,7 @@ _MEMBERS_SQL = cte("members") + r""", flagged AS (SELECT *,
    ROWS UNBOUNDED PRECEDING) AS BIGINT) AS running_bytes FROM kept),
  judged AS (SELECT *, NOT skipped AND NOT unsafe AND running_bytes > 104857600 AS too_large FROM summed) """
 
-_DEFECTS_SQL = cte("defect_rows") + """, n AS (SELECT TRY_CAST(coalesce(nullif(loc, ''), '0') AS DOUBLE) AS loc, CAST("v(g)" AS DOUBLE) AS vg,
+DEFECTS_SQL = cte("defect_rows") + """, n AS (SELECT TRY_CAST(coalesce(nullif(loc, ''), '0') AS DOUBLE) AS loc, CAST("v(g)" AS DOUBLE) AS vg,
   CAST(n AS DOUBLE) AS n, CAST("lOCode" AS DOUBLE) AS code, CAST("lOComment" AS DOUBLE) AS com, CAST("branchCount" AS DOUBLE) AS br,
   CAST("total_Op" AS DOUBLE) AS top, CAST("uniq_Op" AS DOUBLE) AS uop, defects FROM defect_rows)
  SELECT loc, top / 10 AS num_functions, uop / 5 AS num_classes, n / 50 AS num_imports, vg AS cyclomatic_complexity_avg,
@@ -147,6 +147,6 @@ QUERIES = {
     ),
     "defect_features": (
         lambda s, d: defects.defect_features(view(s, d, "defect_rows")),
-        _DEFECTS_SQL,
+        DEFECTS_SQL,
     ),
 }

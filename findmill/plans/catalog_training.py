@@ -23,7 +23,7 @@ _CONFUSION = """, classes AS (SELECT c AS class, count(*) FILTER (WHERE label =
   coalesce(2 * hits / nullif(said + support, 0), 0)::DOUBLE AS f1, support FROM classes) """
 
 
-def _split(spark, d):
+def split_rows(spark, d):
     return training.with_split(view(spark, d, "scored"), "doc_id")
 
 
@@ -67,13 +67,23 @@ def _rounded(df, *names):
     return df.withColumns({n: F.round(n, 9) for n in names})
 
 
+EVALUATION_SQL = (
+    _SPLIT_SQL + ", test AS (SELECT * FROM split WHERE split = 'test')" + _CURVE.format("test") + _CONFUSION.format("test")
+    + """SELECT (SELECT count(*) FROM split WHERE split = 'train') AS train_rows,
+         (SELECT count(*) FROM split WHERE split = 'validation') AS validation_rows, (SELECT count(*) FROM test) AS test_rows,
+         (SELECT sum(label) / count(*) FROM split WHERE split = 'train') AS defect_rate_train,
+         CAST(format('{:.4f}', precision) AS DOUBLE) AS precision, CAST(format('{:.4f}', recall) AS DOUBLE) AS recall,
+         CAST(format('{:.4f}', f1) AS DOUBLE) AS f1, CAST(format('{:.4f}', roc_auc) AS DOUBLE) AS roc_auc,
+         CAST(format('{:.4f}', pr_auc) AS DOUBLE) AS pr_auc FROM report, ranking WHERE class = 1"""
+)
+
 QUERIES = {
     "training_split": (
-        lambda s, d: _split(s, d).select("doc_id", "label", "split"),
+        lambda s, d: split_rows(s, d).select("doc_id", "label", "split"),
         _SPLIT_SQL + "SELECT doc_id, label, split FROM split",
     ),
     "class_balance": (
-        lambda s, d: training.class_balance(_split(s, d), "label", "split"),
+        lambda s, d: training.class_balance(split_rows(s, d), "label", "split"),
         _SPLIT_SQL + """SELECT split, count(*) AS rows, CAST(sum(label) AS BIGINT) AS positives, sum(label) / count(*) AS defect_rate,
          CASE WHEN sum(label) > 0 THEN (1 - sum(label) / count(*)) / (sum(label) / count(*)) ELSE 1 END AS positive_weight
          FROM split GROUP BY split""",
@@ -87,14 +97,8 @@ QUERIES = {
         cte("scored") + _CURVE.format("scored") + "SELECT round(roc_auc, 9) AS roc_auc, round(pr_auc, 9) AS pr_auc FROM ranking",
     ),
     "run_evaluation": (
-        lambda s, d: evaluation.evaluate(_split(s, d)),
-        _SPLIT_SQL + ", test AS (SELECT * FROM split WHERE split = 'test')" + _CURVE.format("test") + _CONFUSION.format("test")
-        + """SELECT (SELECT count(*) FROM split WHERE split = 'train') AS train_rows,
-         (SELECT count(*) FROM split WHERE split = 'validation') AS validation_rows, (SELECT count(*) FROM test) AS test_rows,
-         (SELECT sum(label) / count(*) FROM split WHERE split = 'train') AS defect_rate_train,
-         CAST(format('{:.4f}', precision) AS DOUBLE) AS precision, CAST(format('{:.4f}', recall) AS DOUBLE) AS recall,
-         CAST(format('{:.4f}', f1) AS DOUBLE) AS f1, CAST(format('{:.4f}', roc_auc) AS DOUBLE) AS roc_auc,
-         CAST(format('{:.4f}', pr_auc) AS DOUBLE) AS pr_auc FROM report, ranking WHERE class = 1""",
+        lambda s, d: evaluation.evaluate(split_rows(s, d)),
+        EVALUATION_SQL,
     ),
     "model_scores": (_model_scores, None),
     "model_evaluation": (_model_evaluation, None),

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from findmill.plans import (
+    catalog_evidence,
     catalog_files,
     catalog_findings,
     catalog_reports,
@@ -18,4 +19,5 @@ QUERIES = {
     **catalog_sources.QUERIES,
     **catalog_training.QUERIES,
     **catalog_review.QUERIES,
+    **catalog_evidence.QUERIES,
 }

@@ -62,3 +62,9 @@ def stored_reports(reviews: DataFrame, findings: DataFrame) -> tuple[DataFrame,
     narratives = [F.coalesce(n, F.lit("")).alias(n) for n, _, _ in vocab.NARRATIVES]
     results = reviews.select("id", F.col("id").alias("report_id"), *narratives)
     return reports, results
+
+
+def write_narratives(texts: DataFrame, path: str) -> None:
+    """One text file per report (report_id, text column), in a folder of its own."""
+    report, text = texts.columns
+    texts.select(report, F.coalesce(F.col(text), F.lit("")).alias("value")).write.partitionBy(report).text(path)

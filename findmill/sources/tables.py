@@ -34,3 +34,9 @@ def spread(df: DataFrame) -> DataFrame:
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
+def read_narratives(spark: SparkSession, path: str) -> DataFrame:
+    """(report_id, text) of the files that ``sinks.write_narratives`` wrote; whole files, one a row."""
+    files = spark.read.schema("value STRING, report_id BIGINT").option("wholetext", True).text(path)
+    return files.select("report_id", F.regexp_replace("value", r"\n\z", "").alias("text"))
