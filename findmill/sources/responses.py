@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from findmill import vocab
 from findmill.functions import coerce
+from findmill.functions.once import computed_once
 from findmill.functions.text import SPACE
 from findmill.operators.ordering import order_text
 
@@ -38,7 +39,7 @@ def parse_responses(responses: DataFrame, source: str = vocab.AI) -> DataFrame:
     whatever the record says.  ``ord`` follows response, block and item order without
     a sort, so this also runs on a streaming DataFrame.
     """
-    items = (
+    exploded = (
         explode_blocks(responses)
         .withColumn("parsed", F.try_parse_json("block"))
         .select(
@@ -46,9 +47,10 @@ def parse_responses(responses: DataFrame, source: str = vocab.AI) -> DataFrame:
             F.posexplode(coerce.elements(F.col("parsed"))).alias("item_no", "item"),
         )
         .filter(coerce.is_object(F.col("item")))
-    ).select(
-        "report_id", "response_no", "agent", "default_category", "block_no", "item_no",
-        *[coerce.field(F.col("item"), name).alias(f"v_{name}") for name in FIELDS],
+    )
+    items = computed_once(
+        exploded, ["report_id", "response_no", "agent", "default_category", "block_no", "item_no"],
+        {f"v_{name}": coerce.field(F.col("item"), name) for name in FIELDS},
     )
 
     def value(name: str) -> Column:

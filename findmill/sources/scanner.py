@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from findmill import vocab
 from findmill.functions import coerce, labels, paths
+from findmill.functions.once import computed_once
 from findmill.functions.text import blank_to_null
 from findmill.operators.ordering import order_text
 
@@ -29,39 +30,38 @@ def parse_documents(documents: DataFrame) -> DataFrame:
     """Findings of scanner documents.  Absent fields take defaults; only items whose
     path or line numbers have an impossible type are dropped."""
     item, c = F.col("item"), F.col
-    fields = explode_results(documents).select(
-        "report_id", "document_no", "root", "item_no",
-        coerce.field(item, "check_id").alias("check_id"),
-        coerce.field(item, "path").alias("path"),
-        coerce.field(item, "extra.message").alias("message"),
-        coerce.field(item, "extra.severity").alias("severity"),
-        coerce.field(item, "extra.lines").alias("lines"),
-        coerce.field(item, "start.line").alias("start_line"),
-        coerce.field(item, "end.line").alias("end_line"),
+    names = {
+        "check_id": "check_id", "path": "path", "message": "extra.message", "severity": "extra.severity",
+        "lines": "extra.lines", "start_line": "start.line", "end_line": "end.line",
+    }
+    fields = computed_once(
+        explode_results(documents), ["report_id", "document_no", "root", "item_no"],
+        {name: coerce.field(item, at) for name, at in names.items()},
     )
     is_text = lambda v: coerce.json_type(v) == "STRING"
     usable = (c("path").isNull() | is_text(c("path"))) & _line_ok(c("start_line")) & _line_ok(c("end_line"))
-    flat = (
-        fields.filter(usable)
-        .withColumns(
-            {
-                "ord": order_text(c("document_no"), c("item_no")),
-                "rule_id": _plain(c("check_id"), F.lit("unknown-rule")),
-                "file": F.coalesce(F.try_variant_get("path", "$", "string"), F.lit("unknown")),
-                "lines": F.when(is_text(c("lines")), F.try_variant_get("lines", "$", "string")),
-                "line_start": coerce.as_number(c("start_line")).cast("bigint"),
-                "line_end": coerce.as_number(c("end_line")).cast("bigint"),
-            }
-        )
-        .withColumns(
-            {
-                "file": paths.relative_to(c("file"), c("root")),
-                "message": _plain(c("message"), c("rule_id")),
-                "severity": _plain(c("severity"), F.lit("INFO")),
-            }
-        )
+    values = {
+        "usable": usable,
+        "ord": order_text(c("document_no"), c("item_no")),
+        "rule_id": _plain(c("check_id"), F.lit("unknown-rule")),
+        "path": F.coalesce(F.try_variant_get("path", "$", "string"), F.lit("unknown")),
+        "lines": F.when(is_text(c("lines")), F.try_variant_get("lines", "$", "string")),
+        "line_start": coerce.as_number(c("start_line")),
+        "line_end": coerce.as_number(c("end_line")),
+        "said": _plain(c("message"), F.lit(None).cast("string")),
+        "severity": _plain(c("severity"), F.lit("INFO")),
+    }
+    flat = computed_once(fields, ["report_id", "root"], values).filter("usable")
+    located = computed_once(
+        flat, ["report_id", "ord", "rule_id", "severity", "lines"],
+        {
+            "file": paths.relative_to(c("path"), c("root")),
+            "message": F.coalesce("said", "rule_id"),
+            "line_start": c("line_start").cast("bigint"),
+            "line_end": c("line_end").cast("bigint"),
+        },
     )
-    return scanner_findings(flat)
+    return scanner_findings(located)
 
 
 def scanner_findings(hits: DataFrame) -> DataFrame:
