@@ -9,7 +9,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from findmill.session import durable
 
-__all__ = ["SPACES", "ascii_lower", "durable", "forget", "grouped_runs", "strip_spaces", "table"]
+__all__ = [
+    "SPACES", "ascii_lower", "durable", "forget", "grouped_runs", "packed", "strip_spaces", "table", "unpacked", "unused",
+]
 
 #: The white space that the text rules name: space and the controls 0x09 to 0x0D.
 SPACES = " \t\n\x0b\x0c\r"
@@ -31,6 +33,26 @@ def strip_spaces(text: Column) -> Column:
     return F.btrim(text, F.lit(SPACES))
 
 
+def packed(docs: DataFrame, **needed: Column) -> DataFrame:
+    """All columns of ``docs`` in the struct ``row`` beside the ``needed`` ones, so that no name clashes."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *[c.alias(n) for n, c in needed.items()])
+
+
+def unpacked(df: DataFrame, columns: list[str], **added: Column) -> DataFrame:
+    """The packed columns again, with ``added`` ones, which replace columns of the same name."""
+    return df.select(
+        *[F.col("row").getField(c).alias(c) for c in columns if c not in added], *[c.alias(n) for n, c in added.items()]
+    )
+
+
+def unused(df: DataFrame, name: str) -> str:
+    """``name``, with underscores in front until no column has it."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
 def forget(*tables: DataFrame) -> None:
     """Delete tables that ``durable`` wrote, once nothing will read them again."""
     for df in tables:
