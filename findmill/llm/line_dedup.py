@@ -23,7 +23,7 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from findmill.llm.tables import ascii_lower, durable, forget, strip_spaces
+from findmill.llm.tables import ascii_lower, durable, forget, packed, strip_spaces, unpacked
 from findmill.session import shared_folder
 
 KEY = ["h1", "h2"]
@@ -136,24 +136,21 @@ def dedup_lines(
     frequent = runs.entries().where(F.col("docs") >= min_docs).select(*KEY, "keeper")
     doomed = lines.join(frequent, KEY).where(~F.col("id").eqNullSafe(F.col("keeper")))
     # the 128-bit key has decided; inside one document 64 bits tell its lines apart
-    doomed = durable(doomed.groupBy("id").agg(F.collect_set("h1").alias("__doomed")), "doomed-lines")
+    doomed = durable(doomed.groupBy("id").agg(F.collect_set("h1").alias("doomed")), "doomed-lines")
     runs.drop()
     forget(lines)
-    doomed = doomed.withColumnRenamed("id", "__doomed_id")
-    joined = docs.join(doomed, docs[doc_id].eqNullSafe(doomed["__doomed_id"]), "left").drop("__doomed_id")
+    rows = packed(docs, own=F.col(doc_id), body=F.coalesce(F.col(text), F.lit("")))
+    # always by key: whether the doomed lines would fit a broadcast must not decide the plan
+    joined = rows.join(doomed.hint("merge"), F.col("own").eqNullSafe(F.col("id")), "left")
     left = F.filter(
-        _lines(F.col(text)),
+        _lines(F.col("body")),
         lambda line: ~((F.char_length(strip_spaces(line)) >= min_chars)
-                       & F.array_contains(F.col("__doomed"), F.xxhash64(line_key(line)))),
-    )
-    total = F.size(_lines(F.col(text))).cast("long")
-    some = F.col("__doomed").isNotNull()
-    return (
-        joined.withColumn("__left", F.when(some, left))
-        .withColumns({
-            n_lines: total,
-            n_dropped: F.when(some, total - F.size("__left")).otherwise(F.lit(0)).cast("long"),
-            kept: F.when(some, F.array_join("__left", "\n")).otherwise(F.coalesce(F.col(text), F.lit(""))),
-        })
-        .drop("__doomed", "__left")
+                       & F.array_contains(F.col("doomed"), F.xxhash64(line_key(line)))),
     )
+    some = F.col("doomed").isNotNull()
+    joined = joined.withColumns({"some": some, "left": F.when(some, left), "lines": F.size(_lines(F.col("body"))).cast("long")})
+    return unpacked(joined, docs.columns, **{
+        n_lines: F.col("lines"),
+        n_dropped: F.when(F.col("some"), F.col("lines") - F.size("left")).otherwise(F.lit(0)).cast("long"),
+        kept: F.when(F.col("some"), F.array_join("left", "\n")).otherwise(F.col("body")),
+    })
