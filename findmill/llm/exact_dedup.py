@@ -42,7 +42,7 @@ def exact_groups(
         F.lit(0).cast("long").alias("__group"),
         F.monotonically_increasing_id().alias("__row"),
     ).withColumn("__sha", F.sha2("__rest", 256))
-    done, spent = [], []
+    done = []
     while True:
         rows = rows.withColumns({
             "__digit": F.substring("__rest", 1, width),
@@ -56,16 +56,16 @@ def exact_groups(
         )
         over = F.col("__size").isNull() | F.col("__ended")
         split = durable(
-            rows.join(shared, GROUP, "left").select(
+            # always by key: whether the groups would fit a broadcast must not decide the plan
+            rows.join(shared.hint("merge"), GROUP, "left").select(
                 "__id", "__points", "__sha", "__row", F.col("__next").alias("__group"), "__size", "__best",
                 F.when(~over, F.substring("__rest", width + 1, 2**31 - 1)).alias("__rest"),
             ),
             "radix-rows",
         )
-        forget(shared, *spent)
+        forget(shared)
         done.append(split.where("__rest IS NULL"))
         rows = split.where("__rest IS NOT NULL").select("__id", "__points", "__sha", "__row", "__group", "__rest")
-        spent = []
         if rows.isEmpty():
             break
         width *= growth
