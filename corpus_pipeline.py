@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from findmill.llm import byte_bpe, line_dedup, mixing, ngram_join, toxicity
-from findmill.llm.tables import durable, table
+from findmill.llm.tables import durable, table, unused
 from findmill.session import prepare
 
 #: The stages learn from labels and use hashed sets, so no SQL gives the same rows; tests compare
@@ -23,17 +23,19 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     prepare(spark)
     labels = table(spark, sf_dir, "labels").select("doc_id", "toxic")
     model = toxicity.learn(docs.select("doc_id", "text").join(labels, "doc_id"), "text", "toxic", "doc_id")
-    return toxicity.score(docs, model, name="__score").where("__score < 0.5").select(*docs.columns)
+    score = unused(docs, "score")
+    return toxicity.score(docs, model, name=score).where(F.col(score) < 0.5).select(*docs.columns)
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines of at least 40 characters in at least 5 documents stay in one of them only."""
     prepare(spark)
-    left = line_dedup.dedup_lines(docs, kept="__kept", n_lines="__lines", n_dropped="__dropped")
-    names = {"text": F.col("__kept")} | ({"n_chars": F.char_length("__kept").cast("long")} if "n_chars" in docs.columns else {})
+    kept, lines, dropped = (unused(docs, n) for n in ("kept", "lines", "dropped"))
+    left = line_dedup.dedup_lines(docs, kept=kept, n_lines=lines, n_dropped=dropped)
+    names = {"text": F.col(kept)} | ({"n_chars": F.char_length(kept).cast("long")} if "n_chars" in docs.columns else {})
     # documents that lost nothing stay as they are, a NULL text included
     return left.select(*[
-        F.when(F.col("__dropped") > 0, names[c]).otherwise(F.col(c)).alias(c) if c in names else F.col(c) for c in docs.columns
+        F.when(F.col(dropped) > 0, names[c]).otherwise(F.col(c)).alias(c) if c in names else F.col(c) for c in docs.columns
     ])
 
 
@@ -55,16 +57,18 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mix in its order; documents of small sources come once an epoch, so no document is lost to the weights."""
     prepare(spark)
     plan = mixing.plan_mix(docs)
-    return mixing.in_order(mixing.mix(docs, plan, epoch="__epoch", block="__block", slot="__slot"), plan.end, "__slot").select(*docs.columns)
+    epoch, block, slot = (unused(docs, n) for n in ("epoch", "block", "slot"))
+    return mixing.in_order(mixing.mix(docs, plan, epoch=epoch, block=block, slot=slot), plan.end, slot).select(*docs.columns)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each text, and whether they decode to it."""
     prepare(spark)
-    decoded = byte_bpe.decode_ids(byte_bpe.encode_texts(docs, ids="__ids"), ids="__ids", decoded="__decoded")
+    docs = docs.select("doc_id", "source", "text")
+    decoded = byte_bpe.decode_ids(byte_bpe.encode_texts(docs))
     return decoded.select(
-        "doc_id", "source", (F.octet_length("__ids") / 4).cast("long").alias("n_tokens"), F.col("__ids").alias("ids"),
-        (F.col("__decoded") == F.encode(F.coalesce("text", F.lit("")), "utf-8")).alias("round_trip"),
+        "doc_id", "source", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), "ids",
+        (F.col("decoded") == F.encode(F.coalesce("text", F.lit("")), "utf-8")).alias("round_trip"),
     )
 
 

@@ -78,7 +78,7 @@ class ByteBpe:
         start = 0
         while start < len(texts):
             end, size = start, 0
-            while end < len(texts) and (end == start or size + len(texts[end]) < 1 << 20):
+            while end < len(texts) and (end == start or size + len(texts[end]) < 1 << 17):
                 size += len(texts[end])
                 end += 1
             for encoded in self.tokenizer.encode_batch_fast(texts[start:end], add_special_tokens=False):

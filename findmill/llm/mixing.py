@@ -27,6 +27,8 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, Window, functions as F
 
+from findmill.llm.tables import packed, unpacked
+
 
 def parts_of(weights: dict[str, float], resolution: int) -> dict[str, int]:
     """Weights as whole parts of ``resolution``, by largest remainder, one part at least."""
@@ -75,29 +77,25 @@ def end_of(slots: dict[str, list[int]], blocks: dict[str, int], max_epochs: int)
 def with_blocks(
     docs: DataFrame, rows: dict[str, int], doc_id: str, text: str, source: str, block_bytes: int, bucket_rows: int
 ) -> DataFrame:
-    """``docs`` with ``__source`` and the number of its block inside the source, ``__block``.
+    """``(row, source, block)``: the packed rows of ``docs``, their source and the number of their block inside it.
 
     ``rows`` counts the rows of each source.
     """
-    buckets = docs.sparkSession.createDataFrame(
-        [(s, -(-n // bucket_rows)) for s, n in rows.items()], "__source string, __buckets long"
+    buckets = docs.sparkSession.createDataFrame([(s, -(-n // bucket_rows)) for s, n in rows.items()], "source string, buckets long")
+    docs = packed(
+        docs, source=F.coalesce(F.col(source), F.lit("")), place=F.xxhash64(doc_id, text),
+        bytes=F.octet_length(F.coalesce(F.col(text), F.lit(""))).cast("long"),
     )
-    docs = docs.withColumns({
-        "__source": F.coalesce(F.col(source), F.lit("")),
-        "__bytes": F.octet_length(F.coalesce(F.col(text), F.lit(""))).cast("long"),
-        "__place": F.xxhash64(doc_id, text),
-    })
-    docs = docs.join(F.broadcast(buckets), "__source").withColumn("__bucket", F.pmod("__place", "__buckets"))
-    before = Window.partitionBy("__source").orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
-    sums = docs.groupBy("__source", "__bucket").agg(F.sum("__bytes").alias("__sum"))
-    sums = sums.withColumn("__before", F.coalesce(F.sum("__sum").over(before), F.lit(0))).drop("__sum")
-    inside = Window.partitionBy("__source", "__bucket").orderBy("__place").rowsBetween(Window.unboundedPreceding, -1)
-    start = F.col("__before") + F.col("__inside")
+    docs = docs.join(F.broadcast(buckets), "source").withColumn("bucket", F.pmod("place", "buckets"))
+    before = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    sums = docs.groupBy("source", "bucket").agg(F.sum("bytes").alias("sum"))
+    sums = sums.withColumn("before", F.coalesce(F.sum("sum").over(before), F.lit(0))).drop("sum")
+    inside = Window.partitionBy("source", "bucket").orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
+    start = F.col("before") + F.col("inside")
     return (
-        docs.withColumn("__inside", F.coalesce(F.sum("__bytes").over(inside), F.lit(0)))
-        .join(sums, ["__source", "__bucket"])
-        .withColumn("__block", F.floor(start / block_bytes))
-        .drop("__bytes", "__place", "__buckets", "__bucket", "__before", "__inside")
+        docs.withColumn("inside", F.coalesce(F.sum("bytes").over(inside), F.lit(0)))
+        .join(sums, ["source", "bucket"])
+        .select("row", "source", F.floor(start / block_bytes).alias("block"))
     )
 
 
@@ -148,20 +146,19 @@ def mix(
     # one period: `resolution` rows at most, whatever the data
     turns = docs.sparkSession.createDataFrame(
         [(s, len(own), plan.blocks[s], r, at) for s, own in plan.slots.items() for r, at in enumerate(own)],
-        "__source string, __parts long, __blocks long, __turn long, __at long",
+        "source string, parts long, blocks long, turn long, at long",
     )
-    sources = turns.select("__source", "__parts", "__blocks").distinct()
+    sources = turns.select("source", "parts", "blocks").distinct()
     placed = with_blocks(docs, plan.rows, doc_id, text, source, block_bytes, bucket_rows)
-    placed = placed.join(F.broadcast(sources), "__source").withColumn(
-        "__epoch", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(max_epochs - 1).cast("long")))
+    placed = placed.join(F.broadcast(sources), "source").withColumn(
+        "epoch", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(max_epochs - 1).cast("long")))
     )
-    turn = F.col("__epoch") * F.col("__blocks") + F.col("__block")
-    placed = placed.withColumns({"__turn": turn % F.col("__parts"), "__round": F.floor(turn / F.col("__parts"))})
-    at = F.col("__round") * length + F.col("__at")
-    return (
-        placed.join(F.broadcast(turns.select("__source", "__turn", "__at")), ["__source", "__turn"])
-        .where(at < plan.end)
-        .select(*docs.columns, F.col("__epoch").alias(epoch), F.col("__block").alias(block), at.alias(slot))
+    turn = F.col("epoch") * F.col("blocks") + F.col("block")
+    placed = placed.withColumns({"turn": turn % F.col("parts"), "round": F.floor(turn / F.col("parts"))})
+    placed = placed.join(F.broadcast(turns.select("source", "turn", "at")), ["source", "turn"])
+    at = F.col("round") * length + F.col("at")
+    return unpacked(
+        placed.where(at < plan.end), docs.columns, **{epoch: F.col("epoch"), block: F.col("block"), slot: at}
     )
 
 

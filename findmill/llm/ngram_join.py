@@ -5,10 +5,12 @@ A document is the set of its distinct shingles of ``words`` words.  Two document
 
 1. Blocking, without loss.  Two linked sets of at most N shingles differ in at most
    D = N * 2 (100 - threshold) / (100 + threshold) of them.  The space of shingles is cut into
-   more than D parts, so linked sets agree in a whole part; each document emits a signature
+   more than D parts, so linked sets agree in whole parts; each document emits a signature
    for each part (for its own class of sizes, and for the next one where a partner may be in
-   it).  Documents with a signature in common are joined to the first of them: star links,
-   never pairs, read off a sorted stream in constant memory.
+   it).  A set with f filled parts agrees with a partner in f - D of them at least, so a
+   document that occurs in fewer lists of two or more has no partner and is left out.  The
+   documents of a list that remain are joined to the first of them: star links, never pairs.
+   Lists are read off a sorted stream in constant memory.
 2. The components of the star links are blocks.  Each distinct set goes to its block once.  A
    block with more rows or shingles than one task should hold is cut into parts, and each
    pair of parts is searched on its own.
@@ -45,12 +47,18 @@ from xxhash import xxh3_64_intdigest, xxh3_128_digest
 from findmill.llm.components import components
 from findmill.llm.tables import durable, forget, grouped_runs
 
-#: Growth of the classes of sizes.
-GROWTH = 1.5
+#: Growth of the classes of sizes, and the parts that shall be filled as a multiple of D + 1.
+GROWTH, FILLED = 1.5, 1.1
+#: The lists that a set must share are kept in the low bits of its class's tag.
+NEED_BITS = 32
 #: Rows and shingles that one search holds at most; more are cut into parts.
 BLOCK_ROWS, BLOCK_SHINGLES = 4096, 4_000_000
 #: Weight of the long lists' length in DivideSkip's choice of how many lists to put aside.
 MU = 0.0085
+#: Entries of short lists up to which a heap merges them; more are merged by counting.
+HEAP_ENTRIES = 512
+#: Candidates beyond which the long lists are probed as bit maps, one list after the other before.
+FEW = 32
 
 
 def _avalanche(x: np.ndarray) -> np.ndarray:
@@ -91,7 +99,7 @@ def size_classes(threshold: int) -> tuple[list[int], list[int], list[int]]:
         while p < 4 * top:
             empty = math.exp(-smallest / p)
             spread = math.sqrt(p * empty * max(0.0, 1 - (1 + smallest / p) * empty))
-            if p * (1 - empty) - 4 * spread >= d + 1:
+            if p * (1 - empty) - 4 * spread >= FILLED * (d + 1) + 1:
                 break
             p += max(1, p // 50)
         differences.append(d)
@@ -100,11 +108,15 @@ def size_classes(threshold: int) -> tuple[list[int], list[int], list[int]]:
     return tops, differences, parts
 
 
-def signatures(tokens: np.ndarray, threshold: int) -> np.ndarray:
-    """One number for each part of each class in which a partner may look for this set."""
+def signatures(tokens: np.ndarray, threshold: int) -> list[tuple[int, np.ndarray]]:
+    """``(tag, signatures)`` for each class in which a partner may look for this set.
+
+    There is a signature for each filled part.  The tag names the class and how many of them
+    a partner has too at least.
+    """
     n = len(tokens)
     if not n:
-        return np.empty(0, np.int64)
+        return []
     tops, differences, parts = size_classes(threshold)
     out = []
     for c in range(bisect_left(tops, n), bisect_left(tops, 100 * n // threshold) + 1):
@@ -118,8 +130,9 @@ def signatures(tokens: np.ndarray, threshold: int) -> np.ndarray:
             empty = np.setdiff1d(np.arange(p, dtype=np.uint64), filled)
             sums, filled = np.concatenate((sums, np.zeros(len(empty), np.uint64))), np.concatenate((filled, empty))
         name = filled + np.uint64((c + 1) << 40)
-        out.append(_avalanche(sums + _avalanche(name)).view(np.int64))
-    return np.concatenate(out)
+        tag = c << NEED_BITS | max(1, len(filled) - differences[c])
+        out.append((tag, _avalanche(sums + _avalanche(name)).view(np.int64)))
+    return out
 
 
 def _digest(tokens: np.ndarray) -> bytes:
@@ -127,7 +140,7 @@ def _digest(tokens: np.ndarray) -> bytes:
 
 
 def shingle_sets(docs: DataFrame, doc_id: str, text: str, words: int, threshold: int) -> DataFrame:
-    """``(id, n, digest, signatures)`` of every row: the set's size, its digest and its signatures."""
+    """``(id, n, digest, marks)`` of every row: the set's size, its digest and its signatures."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -136,16 +149,42 @@ def shingle_sets(docs: DataFrame, doc_id: str, text: str, words: int, threshold:
                 tokens = shingles(value.as_py(), words)
                 sizes.append(len(tokens))
                 digests.append(_digest(tokens))
-                marks.append(signatures(tokens, threshold))
-                ends.append(ends[-1] + len(marks[-1]))
-            flat = np.concatenate(marks) if marks else np.empty(0, np.int64)
+                marks += signatures(tokens, threshold)
+                ends.append(len(marks))
+            cuts = np.cumsum([0, *(len(m) for _, m in marks)])
+            flat = pa.array(np.concatenate([m for _, m in marks]) if marks else [], pa.int64())
+            by_class = pa.StructArray.from_arrays(
+                [pa.array([tag for tag, _ in marks], pa.int64()), pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), flat)],
+                names=["tag", "signatures"],
+            )
             yield pa.record_batch(
-                [ids, pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.ListArray.from_arrays(ends, flat)],
-                names=["id", "n", "digest", "signatures"],
+                [ids, pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()),
+                 pa.ListArray.from_arrays(pa.array(ends, pa.int32()), by_class)],
+                names=["id", "n", "digest", "marks"],
             )
 
     rows = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text"))
-    return rows.mapInArrow(work, "id long, n long, digest binary, signatures array<long>")
+    return rows.mapInArrow(work, "id long, n long, digest binary, marks array<struct<tag:long,signatures:array<long>>>")
+
+
+def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows of a stream sorted by signature that have a neighbour with the same one."""
+    held: pa.RecordBatch | None = None
+    again = False
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        rows = batch if held is None else pa.Table.from_batches([held, batch]).combine_chunks().to_batches()[0]
+        marks = rows.column("signature").to_numpy()
+        same = marks[1:] == marks[:-1]
+        kept = np.concatenate(([again], same)) | np.concatenate((same, [False]))
+        # whether the last row has a neighbour is known with the next batch
+        held, again = rows.slice(len(marks) - 1), bool(kept[-1])
+        out = rows.slice(0, len(marks) - 1).filter(pa.array(kept[:-1]))
+        if out.num_rows:
+            yield out
+    if held is not None and again:
+        yield held
 
 
 def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -167,31 +206,25 @@ def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.record_batch([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
 
 
-def t_occurrence(lists: list[list[int]], threshold: int) -> Iterator[tuple[int, int]]:
-    """``(value, occurrences)`` of the values in at least ``threshold`` of the sorted ``lists``: DivideSkip."""
-    lists = sorted((x for x in lists if x), key=len)
-    if len(lists) < threshold:
-        return
-    aside = int(threshold / (MU * math.log2(len(lists[-1]) + 1) + 1))
-    aside = max(0, min(aside, threshold - 1, len(lists) - 1))
-    short, long = lists[: len(lists) - aside], lists[len(lists) - aside :]
-    need = threshold - aside
-    heap = [(x[0], k, 0) for k, x in enumerate(short)]
+def lists_aside(longest: int, lists: int, threshold: int) -> int:
+    """How many of the longest lists DivideSkip puts aside."""
+    aside = int(threshold / (MU * math.log2(longest + 1) + 1))
+    return max(0, min(aside, threshold - 1, lists - 1))
+
+
+def heap_merge(lists: list[list[int]], need: int) -> Iterator[tuple[int, int]]:
+    """``(value, occurrences)`` of the values in at least ``need`` of the sorted ``lists``.
+
+    Lists that can't take part in a value any more jump to the next one that they may.
+    """
+    heap = [(x[0], k, 0) for k, x in enumerate(lists) if x]
     heapq.heapify(heap)
     while len(heap) >= need:
         value, popped = heap[0][0], []
         while heap and heap[0][0] == value:
             popped.append(heapq.heappop(heap))
         if len(popped) >= need:
-            found = len(popped)
-            for k, x in enumerate(long):
-                if found + len(long) - k < threshold:
-                    break
-                at = bisect_left(x, value)
-                found += at < len(x) and x[at] == value
-            else:
-                if found >= threshold:
-                    yield value, found
+            yield value, len(popped)
             following = value + 1
         else:
             # fewer than `need` lists stand at this value: no value before the next top can do it
@@ -201,22 +234,104 @@ def t_occurrence(lists: list[list[int]], threshold: int) -> Iterator[tuple[int,
                 return
             following = heap[0][0]
         for _, k, at in popped:
-            at = bisect_left(short[k], following, at)
-            if at < len(short[k]):
-                heapq.heappush(heap, (short[k][at], k, at))
+            at = bisect_left(lists[k], following, at)
+            if at < len(lists[k]):
+                heapq.heappush(heap, (lists[k][at], k, at))
+
+
+def merge_short(entries: np.ndarray, number: np.ndarray, need: int) -> tuple[np.ndarray, np.ndarray]:
+    """Values in at least ``need`` of the short lists, given one after the other, and their occurrences."""
+    if len(entries) > HEAP_ENTRIES:
+        counts = np.bincount(entries)
+        values = np.flatnonzero(counts >= need)
+        return values, counts[values]
+    cuts = np.flatnonzero(number[1:] != number[:-1]) + 1
+    merged = list(heap_merge([x.tolist() for x in np.split(entries, cuts)], need))
+    values, found = zip(*merged) if merged else ((), ())
+    return np.array(values, np.int64), np.array(found, np.int64)
+
+
+class Lists:
+    """Inverted lists of the shingles that several sets have; sets are sorted by size."""
+
+    def __init__(self, sets: list[np.ndarray]):
+        self.sets = sets
+        owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+        tokens = np.concatenate(sets)
+        order = np.argsort(tokens, kind="stable")
+        tokens, self.owner = tokens[order], owner[order]
+        starts = np.flatnonzero(np.concatenate(([True], tokens[1:] != tokens[:-1])))
+        ends = np.append(starts[1:], len(tokens))
+        shared = ends - starts > 1
+        self.starts, self.ends, self.known = starts[shared], ends[shared], tokens[starts[shared]]
+        self.lengths = self.ends - self.starts
+        # lists that hold a good part of the sets are kept as bit maps too; their sizes bound their number
+        dense = np.flatnonzero(self.lengths > max(FEW, len(sets) // 16))
+        self.map_of = np.full(len(self.known), -1)
+        self.map_of[dense] = np.arange(len(dense))
+        self.maps = np.zeros((len(dense), len(sets)), bool)
+        for row, k in enumerate(dense):
+            self.maps[row, self.owner[self.starts[k] : self.ends[k]]] = True
+
+    def of(self, x: int) -> np.ndarray:
+        """The lists of a set's shingles, shortest first."""
+        at = np.searchsorted(self.known, self.sets[x])
+        inside = at < len(self.known)
+        own, at = self.sets[x][inside], at[inside]
+        at = at[self.known[at] == own]
+        return at[np.argsort(self.lengths[at], kind="stable")]
+
+    def entries(self, lists: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The entries of several lists, one after the other, and the number of each one's list."""
+        sizes = self.lengths[lists]
+        number = np.repeat(np.arange(len(lists)), sizes)
+        shift = np.repeat(self.starts[lists] - (np.cumsum(sizes) - sizes), sizes)
+        return self.owner[np.arange(len(number)) + shift], number
+
+    def probe(self, lists: np.ndarray, values: np.ndarray) -> np.ndarray:
+        """In how many of the (long) lists each of the values stands."""
+        if len(values) <= FEW:
+            # a set stands in the list of a shingle that it has: look for the shingles by binary search
+            shingles = self.known[lists]
+            found = []
+            for v in values.tolist():
+                at = np.searchsorted(self.sets[v], shingles)
+                found.append(np.count_nonzero(self.sets[v][np.minimum(at, len(self.sets[v]) - 1)] == shingles))
+            return np.array(found, np.int64)
+        rows = self.map_of[lists]
+        found = self.maps[np.ix_(rows[rows >= 0], values)].sum(axis=0)
+        for k in lists[rows < 0]:
+            one = self.owner[self.starts[k] : self.ends[k]]
+            at = np.searchsorted(one, values)
+            found = found + (one[np.minimum(at, len(one) - 1)] == values)
+        return found
+
+    def t_occurrence(self, lists: np.ndarray, threshold: int, wanted) -> tuple[np.ndarray, np.ndarray]:
+        """Sets in at least ``threshold`` of the lists (shortest first), and their occurrences: DivideSkip.
+
+        ``wanted`` tells which sets matter, for an array of them.
+        """
+        nothing = np.empty(0, np.int64), np.empty(0, np.int64)
+        if len(lists) < threshold:
+            return nothing
+        aside = lists_aside(int(self.lengths[lists[-1]]), len(lists), threshold)
+        short, long = lists[: len(lists) - aside], lists[len(lists) - aside :]
+        entries, number = self.entries(short)
+        matter = wanted(entries)
+        entries, number = entries[matter], number[matter]
+        if not len(entries):
+            return nothing
+        values, found = merge_short(entries, number, threshold - aside)
+        if not len(values):
+            return nothing
+        found = found + self.probe(long, values)
+        return values[found >= threshold], found[found >= threshold]
 
 
 def link_sets(sets: list[np.ndarray], threshold: int) -> list[tuple[int, int]]:
     """Links that join the sets, sorted by size, to the components of all their links."""
     sizes = np.array([len(s) for s in sets])
-    owner = np.repeat(np.arange(len(sets)), sizes)
-    tokens = np.concatenate(sets)
-    order = np.argsort(tokens, kind="stable")
-    tokens, owner = tokens[order], owner[order]
-    starts = np.flatnonzero(np.concatenate(([True], tokens[1:] != tokens[:-1])))
-    ends = np.append(starts[1:], len(tokens))
-    shared = ends - starts > 1
-    starts, ends, known = starts[shared], ends[shared], tokens[starts[shared]]
+    inverted = Lists(sets)
     component = np.arange(len(sets))
     links: list[tuple[int, int]] = []
 
@@ -228,26 +343,23 @@ def link_sets(sets: list[np.ndarray], threshold: int) -> list[tuple[int, int]]:
         n = int(sizes[x])
         least = -(-threshold * n // 100)
         first = int(np.searchsorted(sizes, least))
-        if first >= x:
-            continue
         wanted = -(-threshold * (n + least) // (100 + threshold))
-        at = np.searchsorted(known, sets[x])
-        own, at = sets[x][at < len(known)], at[at < len(known)]
-        lists = [owner[starts[k] : ends[k]] for k in at[known[at] == own]]
-        lists = [y for y in (l[np.searchsorted(l, first) : np.searchsorted(l, x)] for l in lists) if len(y)]
-        for _ in range(2):
-            # most sets of a block are near copies: one link to a large component spares its other members
-            if len(lists) < wanted:
-                break
-            y = int(min(lists, key=len)[-1])
-            same = len(np.intersect1d(sets[x], sets[y], assume_unique=True))
-            if 100 * same < threshold * (n + int(sizes[y]) - same):
-                break
-            join(x, y)
-            lists = [y for y in (l[component[l] != component[x]] for l in lists) if len(y)]
-        if len(lists) < wanted:
+        lists = inverted.of(x)
+        if first >= x or len(lists) < wanted:
+            continue
+        # most sets of a block are near copies: one link to a large component spares its other members
+        for k in lists[:1]:
+            shortest = inverted.owner[inverted.starts[k] : inverted.ends[k]]
+            shortest = shortest[(shortest >= first) & (shortest < x)]
+            for y in shortest[-1:].tolist():
+                same = len(np.intersect1d(sets[x], sets[y], assume_unique=True))
+                if 100 * same >= threshold * (n + int(sizes[y]) - same):
+                    join(x, y)
+        matter = np.zeros(len(sets), bool)
+        matter[first:x] = component[first:x] != component[x]
+        if not matter.any():
             continue
-        for y, same in t_occurrence([l.tolist() for l in lists], wanted):
+        for y, same in zip(*(c.tolist() for c in inverted.t_occurrence(lists, wanted, lambda v: matter[v]))):
             if component[y] != component[x] and 100 * same >= threshold * (n + int(sizes[y]) - same):
                 join(x, y)
     return links
@@ -308,10 +420,18 @@ def similar_documents(
 
     ``component_id`` is the smallest id that can be reached by links, the document's own included.
     """
-    sets = durable(shingle_sets(docs, doc_id, text, words, threshold), "shingle-sets")
-    marked = sets.where("id IS NOT NULL").select("id", F.explode("signatures").alias("signature"))
-    stars = marked.repartition("signature").sortWithinPartitions("signature", "id").mapInArrow(_stars, "a long, b long")
+    marked = durable(shingle_sets(docs, doc_id, text, words, threshold), "shingle-marks")
+    sets = durable(marked.select("id", "n", "digest"), "shingle-sets")
+    marks = marked.where("id IS NOT NULL").select("id", F.explode("marks").alias("m"))
+    marks = marks.select("id", "m.tag", F.explode("m.signatures").alias("signature"))
+    marks = marks.repartition("signature").sortWithinPartitions("signature")
+    shared = durable(marks.mapInArrow(_shared, "id long, tag long, signature long"), "shared-signatures")
+    forget(marked)
+    enough = shared.groupBy("id", "tag").count().where(F.col("count") >= F.col("tag").bitwiseAND((1 << NEED_BITS) - 1))
+    partners = shared.join(enough, ["id", "tag"], "left_semi").select("signature", "id")
+    stars = partners.repartition("signature").sortWithinPartitions("signature", "id").mapInArrow(_stars, "a long, b long")
     blocks = components(stars.distinct())
+    forget(shared)
     members = durable(_members(docs, sets, blocks), "block-members")
     forget(blocks)
     tokens = _with_tokens(docs, members, doc_id, text, words)

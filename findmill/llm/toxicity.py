@@ -33,6 +33,8 @@ from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, functions as F
 
+from findmill.llm.tables import packed, unpacked
+
 #: Function words of the grammar in English, German, French and Spanish.
 NEGATION = "not no never nor nobody none nicht kein keine nie ne pas jamais aucun nunca jamás ni tampoco".split()
 REPORTED = "said says told claimed wrote called quoted sagte schrieb nannte dit disait dijo decía llamó escribió".split()
@@ -228,8 +230,8 @@ def score(docs: DataFrame, model: Model, text: str = "text", name: str = "score"
     """``docs`` with the probability of label 1."""
     if model.intercept is None:
         return docs.withColumn(name, F.lit(float(model.share)))
-    docs = docs.withColumn("__features", features_of(F.col(text), model.patterns))
+    scored = packed(docs, features=features_of(F.col(text), model.patterns))
     total = F.lit(model.intercept)
     for k, weight in enumerate(model.weights):
-        total = total + F.col("__features")[k] * weight
-    return docs.withColumn(name, 1 / (1 + F.exp(-total))).drop("__features")
+        total = total + F.col("features")[k] * weight
+    return unpacked(scored, docs.columns, **{name: 1 / (1 + F.exp(-total))})

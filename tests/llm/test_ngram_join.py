@@ -60,11 +60,20 @@ def corpus(seed, n=120):
     return rows
 
 
+def agree(a, b):
+    """Whether two sets share as many signatures as the tags of one of their common classes ask of each."""
+    low = (1 << nj.NEED_BITS) - 1
+    return any(
+        ta >> nj.NEED_BITS == tb >> nj.NEED_BITS and len(np.intersect1d(sa, sb)) >= max(1, ta & low, tb & low)
+        for ta, sa in a.items() for tb, sb in b.items()
+    )
+
+
 @pytest.mark.parametrize("words,threshold", [(4, 85), (5, 80)])
 def test_linked_sets_share_a_signature(words, threshold):
     rows = corpus(3, 200) + corpus(4, 200)
     sets = [nj.shingles(t, words) for _, t in rows]
-    marks = [set(nj.signatures(s, threshold).tolist()) for s in sets]
+    marks = [dict(nj.signatures(s, threshold)) for s in sets]
     linked = 0
     for i, x in enumerate(sets):
         for j in range(i):
@@ -72,7 +81,7 @@ def test_linked_sets_share_a_signature(words, threshold):
             both = len(np.intersect1d(x, y))
             if both and 100 * both >= threshold * (len(x) + len(y) - both):
                 linked += 1
-                assert marks[i] & marks[j]
+                assert agree(marks[i], marks[j])
     assert linked > 100
 
 
@@ -85,17 +94,38 @@ def test_signatures_at_the_limit_of_the_difference(n):
         y = np.unique(np.concatenate((x[drop:], rng.integers(0, 2**63, rng.integers(0, n // 5 + 1), dtype=np.uint64))))
         both = len(np.intersect1d(x, y))
         if both and 100 * both >= 85 * (len(x) + len(y) - both):
-            assert set(nj.signatures(x, 85).tolist()) & set(nj.signatures(y, 85).tolist())
-
-
-@pytest.mark.parametrize("seed", range(8))
-def test_t_occurrence_counts(seed):
-    rng = random.Random(seed)
-    lists = [sorted(rng.sample(range(60), rng.randint(0, 50))) for _ in range(rng.randint(1, 25))]
-    counts = Counter(v for x in lists for v in x)
-    for threshold in range(1, len(lists) + 2):
-        expected = {v: c for v, c in counts.items() if c >= threshold}
-        assert dict(nj.t_occurrence(lists, threshold)) == expected
+            assert agree(dict(nj.signatures(x, 85)), dict(nj.signatures(y, 85)))
+
+
+def test_rows_with_a_neighbour_are_kept_across_batches():
+    import pyarrow as pa
+
+    rng = random.Random(8)
+    for _ in range(50):
+        marks = sorted(rng.choice(range(30)) for _ in range(rng.randint(1, 40)))
+        table = pa.table({"id": list(range(len(marks))), "tag": [0] * len(marks), "signature": marks})
+        got = [r["id"] for b in nj._shared(iter(table.to_batches(max_chunksize=rng.randint(1, 5)))) for r in b.to_pylist()]
+        assert got == [i for i, m in enumerate(marks) if marks.count(m) > 1]
+
+
+@pytest.mark.parametrize("entries", [0, 10_000])
+@pytest.mark.parametrize("few", [0, 3, 1000])
+@pytest.mark.parametrize("mu", [0.0085, 1.0])
+@pytest.mark.parametrize("seed", range(4))
+def test_t_occurrence_counts(monkeypatch, seed, mu, entries, few):
+    monkeypatch.setattr(nj, "MU", mu)
+    monkeypatch.setattr(nj, "HEAP_ENTRIES", entries)
+    monkeypatch.setattr(nj, "FEW", few)
+    rng = np.random.default_rng(seed)
+    sets = [np.sort(rng.choice(np.arange(60, dtype=np.uint64), rng.integers(1, 50), replace=False)) for _ in range(40)]
+    inverted = nj.Lists(sets)
+    for x in range(40):
+        lists = inverted.of(x)
+        counts = Counter(y for k in lists for y in inverted.owner[inverted.starts[k] : inverted.ends[k]].tolist())
+        for threshold in range(1, len(lists) + 2):
+            values, found = inverted.t_occurrence(lists, threshold, lambda v: v % 3 > 0)
+            expected = {v: c for v, c in counts.items() if c >= threshold and v % 3}
+            assert dict(zip(values.tolist(), found.tolist())) == expected
 
 
 @pytest.mark.parametrize("seed,rows,parts", [(1, 4096, 4_000_000), (2, 4096, 4_000_000), (3, 3, 4_000_000), (4, 4096, 300)])
@@ -133,3 +163,27 @@ def test_many_near_copies_are_one_component():
         sets.append(np.unique(np.concatenate((base[keep], rng.integers(0, 2**63, 8, dtype=np.uint64)))))
     sets.sort(key=len)
     assert len(nj.link_sets(sets, 80)) == 1499
+
+
+def test_many_sets_just_below_the_threshold_take_seconds():
+    import time
+
+    rng = np.random.default_rng(6)
+    base = np.unique(rng.integers(0, 2**63, 150, dtype=np.uint64))
+    sets = []
+    for _ in range(2000):
+        keep = rng.random(len(base)) > 0.08
+        sets.append(np.unique(np.concatenate((base[keep], rng.integers(0, 2**63, 8, dtype=np.uint64)))))
+    sets.sort(key=len)
+    start = time.perf_counter()
+    links = nj.link_sets(sets, 85)
+    assert time.perf_counter() - start < 60
+    # a brute-force look at some sets: those in different components have no link
+    component = list(range(len(sets)))
+    for x, y in links:
+        component = [component[x] if c == component[y] else c for c in component]
+    for x in range(0, 2000, 97):
+        for y in range(2000):
+            both = len(np.intersect1d(sets[x], sets[y]))
+            if x != y and 100 * both >= 85 * (len(sets[x]) + len(sets[y]) - both):
+                assert component[x] == component[y]
