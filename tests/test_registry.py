@@ -7,7 +7,7 @@ import __spark_entry__ as entry
 from check_oracles import TABLES, rows_of
 from findmill.plans.registry import QUERIES
 
-PYTHON = {"title_ratio", "corroborated_findings", "duplicate_groups", "merged_findings"}
+PYTHON = {"review_findings", "title_ratio", "corroborated_findings", "duplicate_groups", "merged_findings"}
 NATIVE = [n for n in QUERIES if n not in PYTHON and not n.startswith("model_")]
 
 
