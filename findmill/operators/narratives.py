@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from findmill import vocab
 from findmill.functions import text
-from findmill.functions.rounding import round_exact
 from findmill.operators.documents import place
 
 
