@@ -22,7 +22,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Without the documents whose toxicity score is 0.5 or more."""
     prepare(spark)
     labels = table(spark, sf_dir, "labels").select("doc_id", "toxic")
-    model = toxicity.learn(docs.select("doc_id", "text").join(labels, "doc_id"), "text", "toxic", "doc_id")
+    model = toxicity.learn(docs.select("doc_id", "text").join(labels.hint("merge"), "doc_id"), "text", "toxic", "doc_id")
     score = unused(docs, "score")
     return toxicity.score(docs, model, name=score).where(F.col(score) < 0.5).select(*docs.columns)
 

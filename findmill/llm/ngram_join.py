@@ -409,7 +409,7 @@ def _with_tokens(docs: DataFrame, members: DataFrame, doc_id: str, text: str, wo
             if rows:
                 yield pa.record_batch([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
 
-    rows = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text")).join(members, "id")
+    rows = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text")).join(members.hint("merge"), "id")
     return rows.mapInArrow(work, "block long, i long, j long, id long, n long, tokens binary")
 
 
@@ -428,7 +428,8 @@ def similar_documents(
     shared = durable(marks.mapInArrow(_shared, "id long, tag long, signature long"), "shared-signatures")
     forget(marked)
     enough = shared.groupBy("id", "tag").count().where(F.col("count") >= F.col("tag").bitwiseAND((1 << NEED_BITS) - 1))
-    partners = shared.join(enough, ["id", "tag"], "left_semi").select("signature", "id")
+    # here and below by key at every size: whether a side would fit a broadcast must not decide the plan
+    partners = shared.join(enough.hint("merge"), ["id", "tag"], "left_semi").select("signature", "id")
     stars = partners.repartition("signature").sortWithinPartitions("signature", "id").mapInArrow(_stars, "a long, b long")
     blocks = components(stars.distinct())
     forget(shared)

@@ -122,7 +122,7 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     labels = table(spark, sf_dir, "labels").select("doc_id", "toxic")
-    model = toxicity.learn(docs.join(labels, "doc_id"), "text", "toxic", "doc_id")
+    model = toxicity.learn(docs.join(labels.hint("merge"), "doc_id"), "text", "toxic", "doc_id")
     return toxicity.score(docs, model).select(
         "doc_id", (toxicity.fold(F.col("doc_id")) == 0).alias("held_out"), "score",
         (F.col("score") >= 0.5).cast("int").alias("predicted"),
