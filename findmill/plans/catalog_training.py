@@ -28,12 +28,13 @@ def split_rows(spark, d):
 
 
 def _features_of_documents(spark, d):
-    """Labelled source files as training rows: their metrics, and the findings of that number.
+    """Labelled source files, each a report of its own, as training rows: their metrics, and the findings of that number.
 
     Labels are joined before any text is profiled.
     """
     labels = read(spark, d, "labels").select(F.col("doc_id").alias("report_id"), F.col("quality").alias("label"))
-    files = view(spark, d, "files").join(labels.select("report_id"), "report_id", "left_semi")
+    files = view(spark, d, "source_files").select(F.col("doc_id").alias("report_id"), "path", "content")
+    files = files.join(labels.select("report_id"), "report_id", "left_semi")
     features = metrics.extract_features(metrics.file_metrics(files), view(spark, d, "findings"))
     return training.with_split(features.join(labels, "report_id"), "report_id")
 
