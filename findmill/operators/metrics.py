@@ -227,13 +227,16 @@ def complexity_findings(profiled: DataFrame) -> DataFrame:
     )
 
 
-def report_metrics(metrics: DataFrame) -> DataFrame:
-    """Totals per report; absent values count 0, except in the complexity mean."""
+def report_metrics(metrics: DataFrame, findings: DataFrame | None = None) -> DataFrame:
+    """Totals per report; absent values count 0, except in the complexity mean.
+
+    With ``findings``, the static ones of each report are counted too.
+    """
 
     def total(name: str) -> Column:
         return F.sum(F.coalesce(name, F.lit(0)))
 
-    return metrics.groupBy("report_id").agg(
+    totals = metrics.groupBy("report_id").agg(
         total("loc").alias("total_loc"),
         total("num_functions").alias("total_functions"),
         total("num_classes").alias("total_classes"),
@@ -247,6 +250,10 @@ def report_metrics(metrics: DataFrame) -> DataFrame:
         .alias("avg_function_length"),
         F.avg(F.coalesce("comment_ratio", F.lit(0.0))).alias("comment_ratio"),
     )
+    if findings is None:
+        return totals
+    static = finding_totals(findings).select("report_id", "num_static_findings")
+    return totals.join(static, "report_id", "left").fillna(0, ["num_static_findings"])
 
 
 def finding_totals(findings: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ from findmill import rulepack
 from findmill.functions import paths
 from findmill.operators import metrics, narratives, risk, rules, validation
 from findmill.plans.views import cte, view
+from findmill.session import durable
 from findmill.sources import files as corpus
 
 _LINES_SQL = """lines AS (SELECT report_id, path, doc_id, unnest(all_lines) AS line,
@@ -196,6 +197,11 @@ def _structure(spark, d):
     )
 
 
+def _report_metrics(spark, d):
+    profiled = durable(metrics.profile_files(_files(spark, d)), "file-profiles")
+    return _rounded(metrics.report_metrics(profiled, metrics.complexity_findings(profiled)))
+
+
 QUERIES = {
     "admitted_source_files": (
         lambda s, d: corpus.admitted_source_files(_files(s, d)).select(
@@ -234,8 +240,10 @@ QUERIES = {
          FROM blocks JOIN source_files USING (doc_id) WHERE is_function AND cc >= 15""",
     ),
     "report_metrics": (
-        lambda s, d: _rounded(metrics.report_metrics(metrics.file_metrics(_files(s, d)))),
-        _REPORT_SQL + "SELECT * FROM report_metrics",
+        _report_metrics,
+        _REPORT_SQL + """, own AS (SELECT report_id, count(*) AS n FROM blocks JOIN source_files USING (doc_id)
+          WHERE is_function AND cc >= 15 GROUP BY report_id)
+         SELECT m.*, coalesce(own.n, 0) AS num_static_findings FROM report_metrics m LEFT JOIN own USING (report_id)""",
     ),
     "risk_features": (_features, _FEATURES_SQL + "SELECT * FROM features"),
     "heuristic_risk": (_risk, RISK_SQL),
