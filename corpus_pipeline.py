@@ -58,7 +58,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     prepare(spark)
     plan = mixing.plan_mix(docs)
     epoch, block, slot = (unused(docs, n) for n in ("epoch", "block", "slot"))
-    return mixing.in_order(mixing.mix(docs, plan, epoch=epoch, block=block, slot=slot), plan.end, slot).select(*docs.columns)
+    return mixing.in_order(mixing.mix(docs, plan, epoch=epoch, block=block, slot=slot), plan.end, slot, plan=plan).select(*docs.columns)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -118,6 +118,43 @@ def test_mix_of_nothing(spark):
     assert mixing.mix(one, mixing.plan_mix(one)).count() == 2
 
 
+def mixed_counts(df, weights=None, **options):
+    plan = mixing.plan_mix(df, weights, **options)
+    mixed = mixing.mix(df, plan, **options)
+    parts = mixing.in_order(mixed, plan.end, partitions=4, plan=plan).select(F.spark_partition_id().alias("part")).collect()
+    return plan, mixed.groupBy("doc_id", "source").count().collect(), Counter(r.part for r in parts)
+
+
+@pytest.mark.parametrize("rows", [3_000, 60_000])
+def test_one_row_without_source_does_not_end_the_mix(spark, rows):
+    """Beside it a source thousands of blocks large, below and above the period."""
+    df = spark.range(rows).selectExpr("id AS doc_id", "repeat('x', IF(id = 0, 1, 100)) AS text", "IF(id = 0, NULL, 'hot') AS source")
+    plan, got, parts = mixed_counts(df, block_bytes=100)
+    assert len(got) == rows and max(r["count"] for r in got) <= 4
+    # nor does it make the large one repeat
+    assert sum(r["count"] for r in got if r.source) < rows and plan.end <= rows + 2
+    assert max(parts.values()) <= 1.1 * sum(parts.values()) / 4
+
+
+def test_small_source_gives_up_its_slots(spark):
+    """200 to 1 in size, and a source that most of the weight goes to."""
+    df = spark.range(2010).selectExpr("id AS doc_id", "repeat('x', 100) AS text", "IF(id < 10, 'small', 'hot') AS source")
+    for weights in (None, {"small": 9, "hot": 1}):
+        plan, got, parts = mixed_counts(df, weights, block_bytes=100)
+        assert len(got) == 2010 and {r["count"] for r in got if r.source == "small"} == {4}
+        assert {r["count"] for r in got if r.source == "hot"} == {1}
+        assert max(parts.values()) <= 1.1 * sum(parts.values()) / 4
+
+
+def test_more_sources_than_parts_and_empty_texts(spark):
+    df = spark.range(12_000).selectExpr("id AS doc_id", "IF(id < 100, '', 'xy') AS text", "CAST(id % 11000 AS string) AS source")
+    assert len(mixed_counts(df)[1]) == 12_000
+    # 64 full blocks, and empty texts wherever their hash puts them
+    df = spark.range(128).selectExpr("id AS doc_id", "IF(id % 2 = 0, '', repeat('x', 10)) AS text", "'s' AS source")
+    plan, got, _ = mixed_counts(df, block_bytes=10)
+    assert plan.blocks == {"s": 64} and len(got) == 128 and {r["count"] for r in got} == {1}
+
+
 def brute_nearest(rows, asked, k):
     out = {}
     ok = [(i, np.array(v, float)) for i, v in rows if v is not None and len(v) and all(x is not None and np.isfinite(x) for x in v) and any(v)]
