@@ -13,7 +13,7 @@ from findmill.llm.tables import table
 URL_RULES = [
     ("allow", "org", "/"),
     ("block", "example.org", "/es/"),
-    ("allow", "example.org", "/en/1"),
+    ("block", "example.org", "/en/1"),
     ("allow", "com", "/fr/"),
     ("block", "com", "/de/"),
 ]

@@ -86,6 +86,19 @@ def test_hosts_paths_and_fixed_rules(spark):
         assert (r.host, r.path, r.rule, r.verdict) == (host, path, rule, said or ("block" if fired else "allow"))
 
 
+def test_fixed_rules_are_those_agreed(spark):
+    """Written out, not read from the query."""
+    assert sorted(queries.URL_RULES) == sorted([
+        ("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/"),
+    ])
+    urls = {
+        "http://example.org/en/1": "block", "http://a.example.org/en/17?x=1": "block", "http://example.org/en/2": "allow",
+        "http://example.org/es/1": "block", "http://b.org/es/1": "allow", "http://b.com/fr/1": "allow", "http://b.com/de/1": "block",
+    }
+    df = spark.createDataFrame(list(urls.items()), "url string, expected string")
+    assert url_rules.judge_urls(df, [], queries.URL_RULES).where("verdict <> expected").count() == 0
+
+
 def test_mined_rules_are_those_of_counting(spark):
     urls = [f"http://{h}.example.{s}/{p}/{i}{q}" for i, (h, s, p, q) in enumerate(
         (h, s, p, q) for h in ("spam-bets", "good", "m.good") for s in ("com", "org") for p in ("en", "de") for q in ("", "?ref=1") for _ in range(3))]
