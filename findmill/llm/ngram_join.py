@@ -7,8 +7,9 @@ A document is the set of its distinct shingles of ``words`` words.  Two document
    D = N * 2 (100 - threshold) / (100 + threshold) of them.  The space of shingles is cut into
    more than D parts, so linked sets agree in whole parts; each document emits a signature
    for each part (for its own class of sizes, and for the next one where a partner may be in
-   it).  A set with f filled parts agrees with a partner in f - D of them at least, so a
-   document that occurs in fewer lists of two or more has no partner and is left out.  The
+   it).  A set with f > D filled parts agrees with a partner in f - D of them at least, so a
+   document that occurs in fewer lists of two or more has no partner and is left out.  A set
+   with fewer filled parts emits its empty ones too and is left out if it is in no list.  The
    documents of a list that remain are joined to the first of them: star links, never pairs.
    Lists are read off a sorted stream in constant memory.
 2. The components of the star links are blocks.  Each distinct set goes to its block once.  A
@@ -125,12 +126,15 @@ def signatures(tokens: np.ndarray, threshold: int) -> list[tuple[int, np.ndarray
         part = ((tokens >> np.uint64(32)) * np.uint64(p)) >> np.uint64(32)
         starts = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1])))
         sums, filled = np.add.reduceat(tokens, starts), part[starts]
+        # a set of no more filled parts than may differ is sure of one list only: with a partner of more filled
+        # parts, which emits no empty ones, it shares as many as that one has more than differ
+        need = max(1, len(filled) - differences[c])
         if len(filled) <= differences[c]:
             # such a set may agree with a partner in empty parts only
             empty = np.setdiff1d(np.arange(p, dtype=np.uint64), filled)
             sums, filled = np.concatenate((sums, np.zeros(len(empty), np.uint64))), np.concatenate((filled, empty))
         name = filled + np.uint64((c + 1) << 40)
-        tag = c << NEED_BITS | max(1, len(filled) - differences[c])
+        tag = c << NEED_BITS | need
         out.append((tag, _avalanche(sums + _avalanche(name)).view(np.int64)))
     return out
 

@@ -97,6 +97,17 @@ def test_signatures_at_the_limit_of_the_difference(n):
             assert agree(dict(nj.signatures(x, 85)), dict(nj.signatures(y, 85)))
 
 
+@pytest.mark.parametrize("parts_of_larger", [1, 2])
+def test_set_in_one_part_shares_what_it_asks_for(parts_of_larger):
+    """4 shingles whose hashes fall in one part, and 5 that hold them: 0.80, a link."""
+    small = np.arange(1, 5, dtype=np.uint64)
+    large = np.append(small, np.uint64(5) if parts_of_larger == 1 else np.uint64(1 << 63))
+    known = [{tag >> nj.NEED_BITS: (tag % (1 << nj.NEED_BITS), set(marks.tolist())) for tag, marks in nj.signatures(x, 80)} for x in (small, large)]
+    both = known[0].keys() & known[1].keys()
+    # in one class at least both have as many lists of two as they ask for
+    assert any(len(known[0][c][1] & known[1][c][1]) >= max(known[0][c][0], known[1][c][0]) for c in both)
+
+
 def test_rows_with_a_neighbour_are_kept_across_batches():
     import pyarrow as pa
 
