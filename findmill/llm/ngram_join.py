@@ -18,7 +18,9 @@ A document is the set of its distinct shingles of ``words`` words.  Two document
 3. T-occurrence search (DivideSkip).  Inside a block every set asks the inverted lists of its
    shingles for sets that occur in at least T of them.  The longest lists are put aside; the
    short ones are merged by a heap that skips ahead as soon as T can't be reached; what is
-   left is probed in the long lists by binary search.  The occurrences found are the size of
+   left is probed in the long lists by binary search.  Above HEAP_ENTRIES entries the short
+   lists are counted instead of merged, and above FEW candidates dense long lists are read as
+   bit maps: the usual path in large blocks.  The occurrences found are the size of
    the intersection, so the link is decided exactly.  Sets already in one component need no
    further link, which keeps a block of thousands of near copies from comparing all of them.
 4. Links become components.
