@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from findmill.llm import byte_bpe, exact_dedup, line_dedup, lsh_forest, mixing, ngram_join, token_count, toxicity, url_rules, warc
-from findmill.llm.tables import table
+from findmill.llm import byte_bpe, exact_dedup, hard_negatives, line_dedup, lsh_forest, merkle, mixing, ngram_join
+from findmill.llm import token_count, toxicity, url_rules, warc
+from findmill.llm.tables import ascii_lower, table
 
 #: The url rules of the query, as (verdict, host, path).
 URL_RULES = [
@@ -164,6 +165,106 @@ def op10_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.select("doc_id", "n_bytes", "n_tokens", "over_limit")
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine_negatives(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, label=label)
+
+
+OP11_SQL = """
+WITH r AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v
+  FROM embeddings
+  WHERE label IS NOT NULL AND len(list_filter(embedding, lambda x: isfinite(x::DOUBLE))) = len(embedding)
+), s AS (
+  SELECT a.vec_id AS anchor_id, b.vec_id AS id, a.label = b.label AS same, list_inner_product(a.v, b.v)::BIGINT AS score
+  FROM r AS a JOIN r AS b ON a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0
+), p AS (
+  SELECT anchor_id, id, score FROM s WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5
+)
+SELECT p.anchor_id, p.id AS positive_id,
+  (row_number() OVER (PARTITION BY p.anchor_id, p.id ORDER BY s.score DESC, s.id))::INTEGER AS rank,
+  s.id AS negative_id, p.score AS positive_score, s.score AS negative_score
+FROM p JOIN s ON s.anchor_id = p.anchor_id AND NOT s.same AND 30 * p.score <= 100 * s.score AND 100 * s.score <= 90 * p.score
+QUALIFY rank <= 10
+"""
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    tampered = F.when(F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 3 == 0, F.lit(False)), ascii_lower(F.col("text")))
+    fields = {name: F.col(name) for name in merkle.FIELDS} | {"text": F.coalesce(tampered, "text")}
+    manifest = merkle.build_manifest(docs, tampered=merkle.leaf_of(*fields.values()))
+    folded = merkle.climbed(F.col("tampered"), F.col("way"))
+    return merkle.proofs(manifest).select(
+        F.col("key").alias("doc_id"), F.col("digest").alias("leaf"), "subroot", "root",
+        merkle.siblings_hash(F.col("way")).alias("proof_sha256"), folded.alias("folded_root"),
+    ).withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
+_LEAF_SQL = "sha256(" + " || ".join(
+    f"coalesce(strlen({c}::VARCHAR)::VARCHAR || ':' || {c}::VARCHAR, '-')" for c in ("doc_id", "source", "lang", "n_chars", "{text}")
+) + ")"
+# crc32 bit by bit over the digits of doc_id
+_CRC_SQL = """xor(4294967295, list_reduce(list_transform(string_split(doc_id::VARCHAR, ''), lambda d: ord(d)::BIGINT),
+    lambda c, b: list_reduce(range(8), lambda x, i: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END, xor(c, b)),
+    4294967295::BIGINT))"""
+
+
+def _tree_sql(name: str, leaves: str) -> str:
+    """CTEs of a tree's nodes, and of each node's siblings to the left and right."""
+    return f"""{name}_nodes AS (
+  SELECT tree, 0 AS level, row_number() OVER (PARTITION BY tree ORDER BY key NULLS FIRST, h) - 1 AS pos, h,
+    count(*) OVER (PARTITION BY tree) AS n FROM {leaves}
+  UNION ALL
+  SELECT tree, level + 1, pos // 8, sha256(string_agg(h, '' ORDER BY pos)), (any_value(n) + 7) // 8
+  FROM {name}_nodes WHERE n > 1 GROUP BY tree, level, pos // 8
+), {name}_steps AS (
+  SELECT a.tree, a.level, a.pos,
+    coalesce(string_agg(b.h, '' ORDER BY b.pos) FILTER (WHERE b.pos < a.pos), '') AS l,
+    coalesce(string_agg(b.h, '' ORDER BY b.pos) FILTER (WHERE b.pos > a.pos), '') AS r
+  FROM {name}_nodes AS a JOIN {name}_nodes AS b ON a.tree = b.tree AND a.level = b.level AND a.pos // 8 = b.pos // 8
+  WHERE a.n > 1 GROUP BY a.tree, a.level, a.pos
+)"""
+
+
+def _climb_sql(name: str, tree: str, start: str) -> str:
+    """A CTE that folds each of ``start(key, tree, pos, h, proof)`` up to its tree's root."""
+    return f"""{name} AS (
+  SELECT key, tree, 0 AS level, pos, h, proof FROM {start}
+  UNION ALL
+  SELECT c.key, c.tree, c.level + 1, c.pos // 8, sha256(s.l || c.h || s.r), c.proof || s.l || s.r
+  FROM {name} AS c JOIN {tree}_steps AS s ON s.tree = c.tree AND s.level = c.level AND s.pos = c.pos
+)"""
+
+
+OP12_SQL = f"""
+WITH RECURSIVE leaves AS (
+  SELECT coalesce('=' || lang, '-') AS tree, doc_id AS key, {_LEAF_SQL.format(text="text")} AS h,
+    CASE WHEN {_CRC_SQL} % 3 = 0
+      THEN {_LEAF_SQL.format(text="translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")}
+      ELSE {_LEAF_SQL.format(text="text")} END AS tampered
+  FROM documents
+), {_tree_sql("low", "leaves")}, subroots AS (
+  SELECT '' AS tree, tree AS key, h FROM low_nodes WHERE n = 1
+), {_tree_sql("top", "subroots")}, placed AS (
+  SELECT key, tree, row_number() OVER (PARTITION BY tree ORDER BY key NULLS FIRST, h) - 1 AS pos, tampered AS h, '' AS proof FROM leaves
+), {_climb_sql("to_subroot", "low", "placed")}, at_subroot AS (
+  SELECT * FROM to_subroot QUALIFY row_number() OVER (PARTITION BY key, tree ORDER BY level DESC) = 1
+), entered AS (
+  SELECT a.key, '' AS tree, t.pos, a.h, a.proof, a.tree AS lang
+  FROM at_subroot AS a JOIN (SELECT key, row_number() OVER (ORDER BY key) - 1 AS pos FROM subroots) AS t ON t.key = a.tree
+), {_climb_sql("to_root", "top", "entered")}, at_root AS (
+  SELECT * FROM to_root QUALIFY row_number() OVER (PARTITION BY key ORDER BY level DESC) = 1
+)
+SELECT l.key AS doc_id, l.h AS leaf, s.h AS subroot, r.h AS root, sha256(f.proof) AS proof_sha256,
+  f.h AS folded_root, f.h = r.h AS verified
+FROM leaves AS l JOIN subroots AS s ON s.key = l.tree JOIN at_root AS f ON f.key = l.key
+CROSS JOIN (SELECT h FROM top_nodes WHERE n = 1) AS r
+"""
+
+
 QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
     "op1_warc": (op1_warc, OP1_SQL),
     "op2_ngram_join": (op2_ngram_join, OP2_SQL),
@@ -175,4 +276,6 @@ QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]]
     "op8_line_dedup": (op8_line_dedup, OP8_SQL),
     "op9_lsh_forest": (op9_lsh_forest, None),
     "op10_token_count": (op10_token_count, None),
+    "op11_hard_negatives": (op11_hard_negatives, OP11_SQL),
+    "op12_merkle_manifest": (op12_merkle_manifest, OP12_SQL),
 }
