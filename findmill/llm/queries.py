@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from findmill.llm import byte_bpe, exact_dedup, hard_negatives, line_dedup, lsh_forest, merkle, mixing, ngram_join
+from findmill.llm import byte_bpe, exact_dedup, hard_negatives, line_dedup, lsh_forest, merkle, mixing, ngram_join, packing
 from findmill.llm import token_count, toxicity, url_rules, warc
 from findmill.llm.tables import ascii_lower, table
 
@@ -265,6 +265,11 @@ CROSS JOIN (SELECT h FROM top_nodes WHERE n = 1) AS r
 """
 
 
+def op13_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    packed = packing.pack_documents(table(spark, sf_dir, "documents"))
+    return packed.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
 QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
     "op1_warc": (op1_warc, OP1_SQL),
     "op2_ngram_join": (op2_ngram_join, OP2_SQL),
@@ -278,4 +283,5 @@ QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]]
     "op10_token_count": (op10_token_count, None),
     "op11_hard_negatives": (op11_hard_negatives, OP11_SQL),
     "op12_merkle_manifest": (op12_merkle_manifest, OP12_SQL),
+    "op13_packing": (op13_packing, None),
 }
