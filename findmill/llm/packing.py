@@ -26,13 +26,14 @@ from __future__ import annotations
 
 import json
 import re
-import struct
+from array import array
 from collections.abc import Iterator
 from functools import cache
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window, functions as F
 
 from findmill.functions.running import running_total
@@ -42,15 +43,17 @@ from findmill.llm.tables import durable, forget
 
 # --- token ids -------------------------------------------------------------------------
 
-#: Words whose ids a worker keeps, each at most so many bytes long; when full, it starts again.
-MEMO, WORD = 300_000, 48
+#: Words whose ids a worker keeps, each at most so many characters long; when full, it starts again.
+MEMO, WORD = 600_000, 48
+#: Bytes of text whose words are told apart at a time, and ids that are cut at a time.
+TEXTS, IDS = 4 << 20, 1 << 20
 # The parts of a tokenizer file that allow words to be encoded one by one.
 NORMALIZER = {"type": "Sequence", "normalizers": [
     {"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
 SPLIT = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
-#: Words of these characters only are split here; they are NFC already and have one lower-case letter each.
-PLAIN = re.compile("[!-~À-ÖØ-öø-ÿ]*")
-PLAIN_SPLIT = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-öø-ÿ]+")
+#: Texts of these characters only are split by Arrow; they are NFC already and have one lower-case letter each.
+PLAIN = "^[\\t-\\r -~À-ÖØ-öø-ÿ]*$"
+PLAIN_SPLIT = "'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\\t-\\r a-z0-9ß-öø-ÿ]+"
 
 
 class WordIds(dict):
@@ -73,41 +76,69 @@ class WordIds(dict):
         self.special = [t["content"] for t in parts["added_tokens"]]
         table = byte_table()
         self.as_bytes = {ord(c): "".join(table[b] for b in c.encode()) for c in map(chr, range(128, 256))}
-        self.pieces: dict[str, bytes] = {}
+        self.plain_word = re.compile("[!-~À-ÖØ-öø-ÿ]*")
+        self.plain_split = re.compile(PLAIN_SPLIT)
 
     def pack(self, ids: list[int]) -> bytes:
-        return struct.pack(f"<{len(ids)}{self.code}", *ids)
+        return array(self.code, ids).tobytes()
 
     def _piece(self, piece: str) -> bytes:
-        found = self.pieces.get(piece)
-        if found is None:
-            found = self.pack([t.id for t in self.model.tokenize(piece if piece.isascii() else piece.translate(self.as_bytes))])
-            if len(piece) <= WORD:
-                if len(self.pieces) >= MEMO:
-                    self.pieces.clear()
-                self.pieces[piece] = found
-        return found
+        return self.pack([t.id for t in self.model.tokenize(piece if piece.isascii() else piece.translate(self.as_bytes))])
 
-    def __missing__(self, word: bytes) -> bytes:
-        text = word.decode()
-        if PLAIN.fullmatch(text) and not any(s in text for s in self.special):
-            found = b"".join(map(self._piece, PLAIN_SPLIT.findall(text.lower())))
+    def __missing__(self, word: str) -> bytes:
+        if word.isascii() and word.isalpha():
+            found = self._piece(word.lower())
+        elif self.plain_word.fullmatch(word) and not any(s in word for s in self.special):
+            found = b"".join(map(self._piece, self.plain_split.findall(word.lower())))
         else:
-            found = self.whole(text)
+            found = self.pack(self.tokenizer.encode(word, add_special_tokens=False).ids)
         if len(word) <= WORD:
             if len(self) >= MEMO:
                 self.clear()
             self[word] = found
         return found
 
-    def whole(self, text: str) -> bytes:
-        return self.pack(self.tokenizer.encode(text, add_special_tokens=False).ids)
-
-    def text(self, text: str) -> bytes:
-        if not self.by_word:
-            return self.whole(text)
-        # bytes.split cuts at the ASCII white space, across which nothing is joined
-        return b"".join(map(self.__getitem__, text.encode().split()))
+    def _split(self, texts: pa.Array) -> pa.ListArray:
+        """Words, or the pieces of plain texts, whose ids follow each other in those of the texts."""
+        plain = pc.match_substring_regex(texts, PLAIN)
+        for special in self.special:
+            plain = pc.and_not(plain, pc.match_substring(texts, special))
+        pieces = pc.replace_substring_regex(pc.utf8_lower(texts), f"(?:{PLAIN_SPLIT})", r"\0 ")
+        # Arrow cuts at the ASCII white space, across which nothing is joined
+        return pc.ascii_split_whitespace(pc.if_else(plain, pieces, texts))
+
+    def texts(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of several texts, one after the other, and where each text ends."""
+        # of other tokenizers each text is one word
+        words = self._split(texts) if self.by_word else None
+        ends = words.offsets.to_numpy()[1:] - words.offsets[0].as_py() if self.by_word else np.arange(1, len(texts) + 1)
+        told = (words.flatten() if self.by_word else texts).dictionary_encode()
+        packed = [self[w] for w in told.dictionary.to_pylist()]
+        ids = np.frombuffer(b"".join(packed), f"<u{array(self.code).itemsize}")
+        sizes = np.fromiter(map(len, packed), np.int64, len(packed)) // ids.itemsize
+        codes = told.indices.to_numpy()
+        at = stretches((np.cumsum(sizes) - sizes)[codes], sizes[codes])
+        until = np.concatenate(([0], np.cumsum(sizes[codes])))
+        return ids[at], until[ends]
+
+
+def stretches(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The numbers of several ranges, one after the other."""
+    ends = np.cumsum(sizes)
+    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - (ends - sizes), sizes)
+
+
+def in_parts(sizes: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
+    """Ranges of rows whose sizes add up to about ``most``, of one row at least."""
+    number = (np.cumsum(sizes) - sizes) // most
+    cuts = [0, *(np.flatnonzero(number[1:] != number[:-1]) + 1), len(sizes)]
+    return zip(cuts, cuts[1:]) if len(sizes) else iter(())
+
+
+def binaries(values: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """A binary array of stretches of ``values``."""
+    offsets = np.concatenate(([0], ends)).astype(np.int64) * values.itemsize
+    return pa.Array.from_buffers(pa.large_binary(), len(ends), [None, pa.py_buffer(offsets), pa.py_buffer(values.tobytes())]).cast(pa.binary())
 
 
 @cache
@@ -126,14 +157,17 @@ def tokens_of(docs: DataFrame, doc_id: str, text: str, path: str, end: int) -> D
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids_of = word_ids(path)
-        last, width = ids_of.pack([end]), struct.calcsize(ids_of.code)
         for batch in batches:
-            ids = [ids_of.text(t.as_py() or "") + last for t in batch.column("text")]
-            yield pa.record_batch(
-                [batch.column("doc_id"), pa.array([len(i) // width for i in ids], pa.int64()),
-                 pa.repeat(pa.scalar(width, pa.int32()), len(ids)), pa.array(ids, pa.binary())],
-                names=["doc_id", "n", "width", "ids"],
-            )
+            texts = pc.fill_null(batch.column("text"), "")
+            for a, b in in_parts(pc.binary_length(texts).to_numpy(), TEXTS):
+                ids, ends = ids_of.texts(texts.slice(a, b - a))
+                ids = np.insert(ids, ends, end)
+                ends = ends + np.arange(1, b - a + 1)
+                width = pa.repeat(pa.scalar(ids.itemsize, pa.int32()), b - a)
+                yield pa.record_batch(
+                    [batch.column("doc_id").slice(a, b - a), pa.array(np.diff(ends, prepend=0)), width, binaries(ids, ends)],
+                    names=["doc_id", "n", "width", "ids"],
+                )
 
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     return rows.mapInArrow(work, f"doc_id {dict(rows.dtypes)['doc_id']}, n long, width int, ids binary")
@@ -261,7 +295,7 @@ def pour(gaps: DataFrame, items: DataFrame, total: int) -> DataFrame:
     ``total`` ids.  Both are laid along one line of ids; between two neighbouring starts lies one piece.
     """
     def along(df: DataFrame, order: str, size: str) -> DataFrame:
-        ends = running_total(df, [], order, {"end": F.col(size)})
+        ends = running_total(df, [], order, {"end": F.col(size)}, width=2000)
         ends = ends.withColumn("begin", F.col("end") - F.col(size))
         # an interval is marked in each bucket that it reaches, cut at the bucket's start
         ends = ends.withColumn("bucket", F.explode(F.sequence(F.expr(f"begin div {BUCKET}"), F.expr(f"(end - 1) div {BUCKET}"))))
@@ -284,25 +318,35 @@ def pour(gaps: DataFrame, items: DataFrame, total: int) -> DataFrame:
 
 
 def _cut(length: int, first_full: int):
-    names = ["doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"]
+    """The pieces of documents, from their ids, whole sequences and cuts."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = batch.column("doc_id")
-            for k in range(batch.num_rows):
-                n, width, full, cuts = (batch.column(c)[k].as_py() for c in ("n", "width", "full", "cuts"))
-                ids = np.frombuffer(batch.column("ids")[k].as_buffer(), f"<u{width}")
-                whole = n // length
-                cuts = [(c["start"], c["length"], c["sequence"], c["offset"]) for c in cuts or []]
-                # a long document has many whole sequences: a few at a time
-                for low in range(0, whole + 1, 64):
-                    some = [(i * length, length, first_full + full + i, 0) for i in range(low, min(low + 64, whole))]
-                    some += cuts if low + 64 > whole else []
-                    if some:
-                        start, size, sequence, offset = (pa.array(c, pa.int64()) for c in zip(*some))
-                        pieces = pa.array([ids[s : s + z].astype("<u4").tobytes() for s, z, _, _ in some], pa.binary())
-                        key = pa.repeat(rows[k], len(some))
-                        yield pa.record_batch([key, start, size, pieces, pa.repeat(pa.scalar(n, pa.int64()), len(some)), sequence, offset], names=names)
+            if not batch.num_rows:
+                continue
+            width = batch.column("width")[0].as_py()
+            n, full = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("n", "full"))
+            whole = n // length
+            cuts = batch.column("cuts")
+            flat = cuts.flatten()
+            rows = np.concatenate((np.repeat(np.arange(len(n)), whole), pc.list_parent_indices(cuts).to_numpy()))
+            nth = stretches(np.zeros(len(n), np.int64), whole)
+            first = np.repeat(np.nan_to_num(full).astype(np.int64), whole)
+            of_whole = [nth * length, np.full(len(nth), length), first_full + first + nth, np.zeros(len(nth), np.int64)]
+            start, size, sequence, offset = (
+                np.concatenate((w, flat.field(c).to_numpy())) for w, c in zip(of_whole, ("start", "length", "sequence", "offset"))
+            )
+            data = batch.column("ids")
+            ids = np.frombuffer(data.buffers()[2], f"<u{width}") if len(rows) else np.empty(0, np.uint16)
+            base = np.frombuffer(data.buffers()[1], np.int32)[data.offset : data.offset + len(n)].astype(np.int64) // width
+            for a, b in in_parts(size, IDS):
+                at = rows[a:b]
+                cut = ids[stretches(base[at] + start[a:b], size[a:b])].astype("<u4")
+                yield pa.record_batch(
+                    [batch.column("doc_id").take(pa.array(at)), pa.array(start[a:b]), pa.array(size[a:b]), binaries(cut, np.cumsum(size[a:b])),
+                     pa.array(n[at]), pa.array(sequence[a:b]), pa.array(offset[a:b])],
+                    names=["doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"],
+                )
 
     return work
 
@@ -348,7 +392,7 @@ def pack_documents(
     cuts = pieces.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("start", "length", "sequence", "offset"))).alias("cuts"))
 
     long = tokens.where(F.col("n") >= length).select("row", F.expr(f"n div {length}").alias("whole"))
-    long = running_total(long, [], "row", {"full": F.col("whole")}).select("row", (F.col("full") - F.col("whole")).alias("full"))
+    long = running_total(long, [], "row", {"full": F.col("whole")}, width=2000).select("row", (F.col("full") - F.col("whole")).alias("full"))
     cuts = durable(cuts.join(long, "row", "full"), "packing-cuts")
     forget(placed)
     meeting = tokens.join(cuts.hint("merge"), "row")
