@@ -25,7 +25,8 @@ A document is the set of its distinct shingles of ``words`` words.  Two document
    further link, which keeps a block of thousands of near copies from comparing all of them.
 4. Links become components.
 
-Equal sets are represented by their smallest id.  Shingles are 64-bit hashes of the words'
+Equal sets are represented by their smallest id, and a task emits the signatures of equal sets once,
+so a hot group of copies does not fill the lists.  Shingles are 64-bit hashes of the words'
 64-bit hashes; equality of two whole sets is decided on 128 bits.
 
 Defined results: a text with fewer words has its whole sequence as the one shingle; a text
@@ -60,6 +61,8 @@ BLOCK_ROWS, BLOCK_SHINGLES = 4096, 4_000_000
 MU = 0.0085
 #: Entries of short lists up to which a heap merges them; more are merged by counting.
 HEAP_ENTRIES = 512
+#: Digests that a task keeps to leave out copies, and rows of signatures that it hands over at a time.
+KNOWN, HANDED = 200_000, 1 << 15
 #: Candidates beyond which the long lists are probed as bit maps, one list after the other before.
 FEW = 32
 
@@ -145,32 +148,51 @@ def _digest(tokens: np.ndarray) -> bytes:
     return xxh3_128_digest(tokens.tobytes())
 
 
-def shingle_sets(docs: DataFrame, doc_id: str, text: str, words: int, threshold: int) -> DataFrame:
-    """``(id, n, digest, marks)`` of every row: the set's size, its digest and its signatures."""
+def shingle_sets(docs: DataFrame, doc_id: str, text: str, words: int) -> DataFrame:
+    """``(id, n, digest)`` of every row: the set's size and its digest."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, sizes, digests, marks, ends = batch.column("id"), [], [], [], [0]
+            sizes, digests = [], []
             for value in batch.column("text"):
                 tokens = shingles(value.as_py(), words)
                 sizes.append(len(tokens))
                 digests.append(_digest(tokens))
-                marks += signatures(tokens, threshold)
-                ends.append(len(marks))
-            cuts = np.cumsum([0, *(len(m) for _, m in marks)])
-            flat = pa.array(np.concatenate([m for _, m in marks]) if marks else [], pa.int64())
-            by_class = pa.StructArray.from_arrays(
-                [pa.array([tag for tag, _ in marks], pa.int64()), pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), flat)],
-                names=["tag", "signatures"],
-            )
             yield pa.record_batch(
-                [ids, pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()),
-                 pa.ListArray.from_arrays(pa.array(ends, pa.int32()), by_class)],
-                names=["id", "n", "digest", "marks"],
+                [batch.column("id"), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary())], names=["id", "n", "digest"]
             )
 
-    rows = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text"))
-    return rows.mapInArrow(work, "id long, n long, digest binary, marks array<struct<tag:long,signatures:array<long>>>")
+    return _texts(docs, doc_id, text).mapInArrow(work, "id long, n long, digest binary")
+
+
+def _texts(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    return docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text"))
+
+
+def signature_rows(docs: DataFrame, doc_id: str, text: str, words: int, threshold: int) -> DataFrame:
+    """``(id, tag, signature)`` of the sets; of equal sets in one task the first speaks for all."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: set[bytes] = set()
+        for batch in batches:
+            marks = []
+            for i, value in zip(batch.column("id").to_pylist(), batch.column("text")):
+                tokens = shingles(value.as_py(), words)
+                digest = _digest(tokens)
+                if digest not in known:
+                    marks += [(i, tag, m) for tag, m in signatures(tokens, threshold)]
+                    if len(known) >= KNOWN:
+                        known.clear()
+                    known.add(digest)
+            if not marks:
+                continue
+            sizes = [len(m) for _, _, m in marks]
+            columns = [np.repeat(np.array(c, np.int64), sizes) for c in list(zip(*marks))[:2]]
+            rows = pa.record_batch([*map(pa.array, columns), pa.array(np.concatenate([m for *_, m in marks]))], names=["id", "tag", "signature"])
+            # documents have hundreds of signatures: hand them over in small batches
+            yield from (rows.slice(start, HANDED) for start in range(0, rows.num_rows, HANDED))
+
+    return _texts(docs, doc_id, text).where("id IS NOT NULL").mapInArrow(work, "id long, tag long, signature long")
 
 
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -387,10 +409,11 @@ def _search(threshold: int):
 
 def _members(docs: DataFrame, sets: DataFrame, blocks: DataFrame) -> DataFrame:
     """``(id, digest, block, i, j)``: each distinct set that shares its block, with the parts to search it in."""
-    own = sets.where("n > 0 AND id IS NOT NULL").groupBy("digest").agg(F.min("id").alias("id"), F.max("n").alias("n"))
     named = blocks.select(F.col("node").alias("id"), F.col("component").alias("block"))
     named = named.unionByName(named.select(F.col("block").alias("id"), "block").distinct())
-    own = own.join(named, "id")
+    # equal sets share all signatures, so those that spoke are in one block
+    own = sets.where("n > 0 AND id IS NOT NULL").join(named.hint("merge"), "id", "left")
+    own = own.groupBy("digest").agg(F.min("id").alias("id"), F.max("n").alias("n"), F.min("block").alias("block")).where("block IS NOT NULL")
     sizes = own.groupBy("block").agg(F.count(F.lit(1)).alias("rows"), F.sum("n").alias("shingles")).where("rows > 1")
     sizes = sizes.select("block", F.greatest(F.ceil(F.col("rows") / BLOCK_ROWS), F.ceil(F.col("shingles") / BLOCK_SHINGLES)).alias("parts"))
     own = own.join(sizes, "block").withColumn("part", F.pmod(F.xxhash64("digest"), F.col("parts")))
@@ -415,7 +438,7 @@ def _with_tokens(docs: DataFrame, members: DataFrame, doc_id: str, text: str, wo
             if rows:
                 yield pa.record_batch([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
 
-    rows = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text")).join(members.hint("merge"), "id")
+    rows = _texts(docs, doc_id, text).join(members.hint("merge"), "id")
     return rows.mapInArrow(work, "block long, i long, j long, id long, n long, tokens binary")
 
 
@@ -426,13 +449,10 @@ def similar_documents(
 
     ``component_id`` is the smallest id that can be reached by links, the document's own included.
     """
-    marked = durable(shingle_sets(docs, doc_id, text, words, threshold), "shingle-marks")
-    sets = durable(marked.select("id", "n", "digest"), "shingle-sets")
-    marks = marked.where("id IS NOT NULL").select("id", F.explode("marks").alias("m"))
-    marks = marks.select("id", "m.tag", F.explode("m.signatures").alias("signature"))
+    sets = durable(shingle_sets(docs, doc_id, text, words), "shingle-sets")
+    marks = signature_rows(docs, doc_id, text, words, threshold)
     marks = marks.repartition("signature").sortWithinPartitions("signature")
     shared = durable(marks.mapInArrow(_shared, "id long, tag long, signature long"), "shared-signatures")
-    forget(marked)
     enough = shared.groupBy("id", "tag").count().where(F.col("count") >= F.col("tag").bitwiseAND((1 << NEED_BITS) - 1))
     # here and below by key at every size: whether a side would fit a broadcast must not decide the plan
     partners = shared.join(enough.hint("merge"), ["id", "tag"], "left_semi").select("signature", "id")
