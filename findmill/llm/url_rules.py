@@ -7,9 +7,9 @@ rule inside them is as confident.  Every url is then judged by an inverted index
 to rules: a rule fires when all its tokens have been counted.
 
 Mining reads labelled rows only, about ``sample_rows`` of them at most (chosen by hash), so
-the work of FP-growth is bounded; the urls judged are all rows.  The index that is sent to
-the tasks holds at most ``max_rules`` rules, the most confident ones: both are parameters of
-the model and do not depend on the data judged.
+the work of FP-growth is bounded; the urls judged are all rows.  Redundant rules are pruned on
+Spark before any reach the driver; the index that is sent to the tasks holds all rules that are
+left, whose number the support bounds and the data judged does not change.
 
 Fixed rules ``(verdict, host, path)`` come first: the longest one that fits wins.
 
@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame, functions as F
 
-from findmill.llm.tables import ascii_lower
+from findmill.llm.tables import ascii_lower, durable
 
 TARGET = "label:target"
 _PARTS = re.compile(r"[^/?#]+")
@@ -90,7 +90,7 @@ def url_tokens(url: Column) -> Column:
 
 def mine_rules(
     labelled: DataFrame, url: str, target: Column, key: Column, min_support: float = 0.005,
-    min_confidence: float = 0.5, sample_rows: int = 200_000, max_rules: int = 5_000,
+    min_confidence: float = 0.5, sample_rows: int = 200_000,
 ) -> list[tuple[tuple[str, ...], float, float]]:
     """``(tokens, confidence, support)`` of the rules that lead to ``target``, a condition on a row.
 
@@ -105,21 +105,32 @@ def mine_rules(
     )
     if not n:
         return []
-    model = FPGrowth(minSupport=min_support, minConfidence=min_confidence).fit(baskets)
-    rules = (
-        model.associationRules.where(F.col("consequent")[0] == TARGET)
-        .select(F.array_sort("antecedent").alias("tokens"), "confidence", "support")
-        .orderBy(F.desc("confidence"), F.desc("support"), "tokens").limit(max_rules)
+    # all confidences: whether a rule is redundant depends on those of its parts
+    model = FPGrowth(minSupport=min_support, minConfidence=0.0).fit(baskets)
+    rules = model.associationRules.where(F.col("consequent")[0] == TARGET).select(
+        F.array_sort("antecedent").alias("tokens"), "confidence", "support"
     )
-    return pruned([(tuple(r.tokens), r.confidence, r.support) for r in rules.collect()])
+    kept = pruned(durable(rules, "url-rules")).where(F.col("confidence") >= min_confidence)
+    return sorted(((tuple(r.tokens), r.confidence, r.support) for r in kept.collect()), key=lambda r: (len(r[0]), r[0]))
 
 
-def pruned(rules: list[tuple[tuple[str, ...], float, float]]) -> list[tuple[tuple[str, ...], float, float]]:
-    """Without rules that hold a shorter one of at least their confidence."""
-    kept: list[tuple[tuple[str, ...], float, float]] = []
-    for rule in sorted(rules, key=lambda r: (len(r[0]), r[0])):
-        if not any(set(k[0]) < set(rule[0]) and k[1] >= rule[1] for k in kept):
-            kept.append(rule)
+def pruned(rules: DataFrame) -> DataFrame:
+    """Rules ``(tokens, confidence, support)`` without those that hold a shorter one of at least their confidence.
+
+    The parts of a rule are rules too, so the best confidence of a rule's parts is the largest of its parts
+    of one token less and of the best of theirs: one join a length.
+    """
+    best, kept = None, rules.where("false")
+    for size in range(1, (rules.agg(F.max(F.size("tokens"))).first()[0] or 0) + 1):
+        level = rules.where(F.size("tokens") == size)
+        if best is None:
+            level = level.withColumn("below", F.lit(-1.0))
+        else:
+            parts = level.select("tokens", F.explode("tokens").alias("t")).select("tokens", F.array_remove("tokens", F.col("t")).alias("part"))
+            parts = parts.join(best, "part").groupBy("tokens").agg(F.max("best").alias("below"))
+            level = level.join(parts, "tokens", "left").withColumn("below", F.coalesce("below", F.lit(-1.0)))
+        kept = kept.unionByName(level.where("confidence > below").select("tokens", "confidence", "support"))
+        best = durable(level.select(F.col("tokens").alias("part"), F.greatest("confidence", "below").alias("best")), "url-rules")
     return kept
 
 

@@ -14,6 +14,11 @@ from findmill.llm import queries, url_rules, warc
 
 
 @pytest.mark.parametrize("chunk_bytes,min_bytes", [(1 << 16, 0), (7, 3)])
+def without_redundant(rules):
+    """Rules that hold no shorter one of at least their confidence, each compared with all."""
+    return [r for r in rules if not any(set(k[0]) < set(r[0]) and k[1] >= r[1] for k in rules)]
+
+
 def test_archives_come_back(spark, tmp_path, chunk_bytes, min_bytes):
     rows = [
         (1, "http://a/\r\nX: y", "WARC/1.0\r\n\r\nWARC/1.0\r\n" * 3, "r"), (2, None, None, "r"), (3, "http://c", "", "r"), (4, "http://d", "é日🙂" * 9, "r"),
@@ -112,7 +117,7 @@ def test_mined_rules_are_those_of_counting(spark):
             having = [b for basket, b in zip(baskets, bad) if set(tokens) <= basket]
             if having and sum(having) / len(urls) >= 0.05 and sum(having) / len(having) >= 0.6:
                 counted.append((tokens, sum(having) / len(having), 0.0))
-    assert got and {(t, round(c, 9)) for t, c, _ in got} == {(t, round(c, 9)) for t, c, _ in url_rules.pruned(counted)}
+    assert got and {(t, round(c, 9)) for t, c, _ in got} == {(t, round(c, 9)) for t, c, _ in without_redundant(counted)}
     index = url_rules.RuleIndex(got)
     for basket in baskets:
         fired = [c for t, c, _ in got if set(t) <= basket]
