@@ -23,6 +23,8 @@ from pyspark.sql import DataFrame, functions as F
 
 from findmill.llm.tables import durable, forget
 
+#: Bytes of the widest digit: a length is an INT.
+WIDEST = 1 << 30
 GROUP = ["__group", "__digit", "__ended"]
 
 
@@ -68,7 +70,7 @@ def exact_groups(
         rows = split.where("__rest IS NOT NULL").select("__id", "__points", "__sha", "__row", "__group", "__rest")
         if rows.isEmpty():
             break
-        width *= growth
+        width = min(width * growth, WIDEST)
     result = done[0]
     for more in done[1:]:
         result = result.unionByName(more)

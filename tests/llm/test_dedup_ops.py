@@ -109,3 +109,11 @@ def test_line_dedup_plan_is_native(spark, sf_dir):
 
     plan = queries.op8_line_dedup(spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
     assert not any(word in plan for word in ("Python", "Pandas", "MapInArrow", "Cartesian", "NestedLoop"))
+
+
+def test_digits_stop_widening_where_a_length_ends(spark):
+    # digits of 2 and 4 bytes, then of as many as an INT allows
+    text = "abcdefgh" * 20_000
+    rows = [(1, text), (2, text), (3, text[:-1] + "x"), (4, text[:5]), (5, "ab")]
+    got = exact_dedup.exact_groups(spark.createDataFrame(rows, "doc_id long, text string"), width=2, growth=2**29).collect()
+    assert {r.doc_id: (r.keep_id, r.group_size) for r in got} == {1: (1, 2), 2: (1, 2), 3: (3, 1), 4: (4, 1), 5: (5, 1)}
