@@ -40,17 +40,25 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of the smallest id, of each group linked by five-word shingles at 0.8 or more."""
+    """One document, that of the smallest id, of each group linked by five-word shingles at 0.8 or more.
+
+    Rows are judged by their texts: each distinct text stands for the rows that have it, and of a group the
+    row of the smallest (id, hash of the text) stays.  Rows that are equal in both stay once.  Unlike texts
+    under one id all stay, and so do rows without an id.
+    """
     prepare(spark)
-    groups = durable(ngram_join.similar_documents(docs), "near-copies")
-    copies = groups.where("component_id <> doc_id").select("doc_id").distinct()
-    kept = docs.join(copies, "doc_id", "left_anti")
-    # rows that repeat an id are one document
-    repeated = groups.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select("doc_id")
-    if repeated.isEmpty():
-        return kept.select(*docs.columns)
-    once = kept.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.join(repeated, "doc_id", "left_anti").unionByName(once).select(*docs.columns)
+    row, place = unused(docs, "row"), unused(docs, "place")
+    key = F.struct("doc_id", F.sha2("text", 256))
+    number = F.when(F.col("doc_id").isNotNull(), F.monotonically_increasing_id())
+    numbered = durable(docs.withColumn(row, number), "near-copies-rows")
+    groups = durable(ngram_join.similar_documents(numbered, doc_id=row), "near-copies")
+    groups = groups.select(F.col("doc_id").alias(row), "component_id", "n_shingles").where("n_shingles > 0")
+    # only rows that share their group can go
+    several = groups.groupBy("component_id").count().where("count > 1").select("component_id")
+    shared = numbered.select(row, key.alias(place)).join(groups.join(several, "component_id").hint("merge"), row)
+    first = durable(shared.groupBy("component_id").agg(F.min(F.struct(place, row)).alias("first")), "near-copies-first")
+    copies = shared.select(row).join(first.select(F.col(f"first.{row}").alias(row)), row, "left_anti")
+    return numbered.join(copies, row, "left_anti").select(*docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
