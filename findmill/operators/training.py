@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import GBTClassifier
+from pyspark.ml.classification import GBTClassificationModel, GBTClassifier
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from findmill import vocab
 from findmill.functions.rounding import round_exact
+from findmill.session import durable
 
 
 def split_of(key: Column, label: Column) -> Column:
@@ -48,16 +49,53 @@ def feature_stages(features: list[str] | None = None) -> list:
     ]
 
 
+def best_count(losses: list[float], patience: int) -> tuple[int, bool]:
+    """Trees up to the least loss, and whether ``patience`` trees after it gained nothing.
+
+    Losses are by number of trees; of equal ones the first counts, and what comes after the end of
+    patience is not looked at.
+    """
+    best = 0
+    for k, loss in enumerate(losses):
+        if loss < losses[best]:
+            best = k
+        elif k - best >= patience:
+            return best + 1, True
+    return best + 1, False
+
+
+def staged_losses(model: GBTClassificationModel, data: DataFrame) -> list[float]:
+    """Log-loss on ``data`` (features, label) of the first tree, the first two, and so on."""
+    # MLlib's loss of a margin is twice the log-loss of its probability
+    return [loss / 2 for loss in model.evaluateEachIteration(data)]
+
+
+def first_trees(model: GBTClassificationModel, trees: int) -> GBTClassificationModel:
+    """The model that boosting had after so many trees."""
+    java, gateway = model._java_obj, SparkSession.active().sparkContext._gateway
+    ml = gateway.jvm.org.apache.spark.ml
+    kept = gateway.new_array(ml.regression.DecisionTreeRegressionModel, trees)
+    weights = gateway.new_array(gateway.jvm.double, trees)
+    for i in range(trees):
+        kept[i], weights[i] = java.trees()[i], float(model.treeWeights[i])
+    return GBTClassificationModel(ml.classification.GBTClassificationModel(model.uid, kept, weights))
+
+
 def train(
     data: DataFrame,
     trees: int = vocab.TREES,
     features: list[str] | None = None,
     seed: int = 42,
+    patience: int = vocab.PATIENCE,
 ) -> PipelineModel:
-    """Fit on rows (features, label, split): scaler on train rows, trees on train rows
-    with the validation rows deciding when to stop.
-
-    ``StandardScaler`` divides by the sample deviation (n - 1).
+    """Fit on rows (features, label, split): scaler and trees on train rows, with the
+    validation rows deciding where to stop.
+
+    Boosting stops after ``patience`` trees without a lower log-loss on the validation rows
+    and is cut back to the best; without validation rows all trees stay.  MLlib can't look at
+    the loss between trees, so the trees are fitted again in twice the number until patience
+    ends; the first ones are the same each time.  ``StandardScaler`` divides by the sample
+    deviation (n - 1).
     """
     names = features or vocab.FEATURES
     data = data.fillna(0.0, names)
@@ -69,20 +107,31 @@ def train(
         (F.col("split") == "validation").alias("is_validation"),
     )
     scaling = Pipeline(stages=feature_stages(names)).fit(fit_on.filter("NOT is_validation"))
-    booster = GBTClassifier(
-        featuresCol="features",
-        labelCol="label",
-        weightCol="weight",
-        validationIndicatorCol="is_validation",
-        maxIter=trees,
-        maxDepth=vocab.TREE_DEPTH,
-        stepSize=vocab.LEARNING_RATE,
-        subsamplingRate=vocab.ROW_SHARE,
-        featureSubsetStrategy=str(vocab.FEATURE_SHARE),
-        cacheNodeIds=False,
-        seed=seed,
-    )
-    model = booster.fit(scaling.transform(fit_on))
+    scaled = durable(scaling.transform(fit_on).select("features", "label", "weight", "is_validation"), "training-rows")
+    shown, held = scaled.filter("NOT is_validation"), scaled.filter("is_validation")
+    judged = not held.isEmpty()
+    count, ended = (min(trees, patience + 5) if judged else trees), False
+    while True:
+        booster = GBTClassifier(
+            featuresCol="features",
+            labelCol="label",
+            weightCol="weight",
+            maxIter=count,
+            maxDepth=vocab.TREE_DEPTH,
+            stepSize=vocab.LEARNING_RATE,
+            subsamplingRate=vocab.ROW_SHARE,
+            featureSubsetStrategy=str(vocab.FEATURE_SHARE),
+            cacheNodeIds=False,
+            seed=seed,
+        )
+        model = booster.fit(shown)
+        if judged:
+            best, ended = best_count(staged_losses(model, held), patience)
+        if ended or count >= trees:
+            break
+        count = min(trees, 2 * count)
+    if judged and best < count:
+        model = first_trees(model, best)
     return PipelineModel(stages=[*scaling.stages, model])
 
 

@@ -161,6 +161,7 @@ LABEL_FALSE_TEXTS = ["false", "0", "f", ""]
 # --- Fixed values: training ---------------------------------------------------------------------
 
 TREES = 200
+PATIENCE = 20
 TREE_DEPTH = 5
 LEARNING_RATE = 0.05
 ROW_SHARE = 0.8

@@ -1,4 +1,5 @@
 import json
+import math
 import random
 
 import pytest
@@ -197,6 +198,42 @@ def test_training_scores_and_contributions(spark):
     assert mean.loc > mean.code_lines
 
 
+def test_patience_ends_after_the_best():
+    assert training.best_count([0.6, 0.5, 0.55, 0.52, 0.51], 3) == (2, True)
+    assert training.best_count([0.6, 0.5, 0.55, 0.52, 0.4], 4) == (5, False)
+    # what comes after patience has ended is not looked at, and of equal losses the first counts
+    assert training.best_count([0.6, 0.5, 0.55, 0.5, 0.1], 2) == (2, True)
+    assert training.best_count([0.6, 0.5, 0.4], 20) == (3, False)
+
+
+def test_boosting_is_cut_back_to_the_least_validation_loss(spark):
+    rng = random.Random(8)
+    rows = [(i, x, y, int(x + y + 0.6 * rng.random() > 1.3)) for i in range(300) for x, y in [(rng.random(), rng.random())]]
+    data = training.with_split(spark.createDataFrame(rows, "id long, loc double, code_lines double, label int"), "id")
+    names = ["loc", "code_lines"]
+    model = training.train(data, trees=12, features=names, patience=3)
+    kept = model.stages[-1]
+    held = data.filter("split = 'validation'").withColumn("label", F.col("label").cast("double"))
+    for stage in model.stages[:-1]:
+        held = stage.transform(held)
+    # the loss of every number of trees, by hand
+    trees = [[r.prediction for r in t.transform(held).select("id", "prediction").orderBy("id").collect()] for t in kept.trees]
+    labels = [r.label for r in held.select("id", "label").orderBy("id").collect()]
+    margins, losses = [0.0] * len(labels), []
+    for tree, weight in zip(trees, kept.treeWeights):
+        margins = [m + weight * p for m, p in zip(margins, tree)]
+        losses.append(sum(math.log1p(math.exp(-2 * m if y else 2 * m)) for m, y in zip(margins, labels)) / len(labels))
+    assert losses == pytest.approx(training.staged_losses(kept, held))
+    assert kept.getNumTrees > 1 and min(losses) == losses[-1]
+    # the probabilities are those of these trees
+    scored = training.score(model, data.filter("split = 'validation'"), names).orderBy("id").collect()
+    assert [r.probability for r in scored] == pytest.approx([1 / (1 + math.exp(-2 * m)) for m in margins])
+    # without a limit on patience all trees stay, the first of them the same
+    whole = training.train(data, trees=12, features=names, patience=100).stages[-1]
+    assert whole.getNumTrees >= kept.getNumTrees
+    assert training.first_trees(whole, 2).toDebugString.split("\n", 1)[1] == training.first_trees(kept, 2).toDebugString.split("\n", 1)[1]
+
+
 def test_positive_weight_without_positives(spark):
     df = spark.createDataFrame([(0,), (0,)], "label int")
     assert training.class_balance(df).first().positive_weight == 1.0
