@@ -33,6 +33,8 @@ def similar(a: str, b: str, threshold: float) -> bool:
 
 
 _BINS = 64
+#: Lists of candidates up to this length are tested one by one.
+FEW = 16
 
 
 def letter_counts(text: str) -> np.ndarray:
@@ -40,10 +42,62 @@ def letter_counts(text: str) -> np.ndarray:
     return np.bincount(np.frombuffer(text.encode("utf-32-le"), np.uint32) % _BINS, minlength=_BINS)
 
 
-def possible(text: str, counts: np.ndarray, lengths: np.ndarray, threshold: float) -> np.ndarray:
-    """Numbers of the texts, given by counts and lengths, whose ratio may reach ``threshold``."""
-    shared = np.minimum(counts, letter_counts(text)).sum(axis=1)
-    return np.flatnonzero(2.0 * shared >= (threshold - 1e-9) * (lengths + len(text)))
+def numbered_pairs(text: str) -> list[tuple[str, int]]:
+    """Pairs of neighbouring characters, each with the number of its occurrence."""
+    seen: dict[str, int] = {}
+    out = []
+    for i in range(len(text) - 1):
+        pair = text[i : i + 2]
+        seen[pair] = nth = seen.get(pair, -1) + 1
+        out.append((pair, nth))
+    return out
+
+
+def pairs_needed(total: np.ndarray, threshold: float) -> np.ndarray:
+    """Pairs that two texts of ``total`` characters share at least where their ratio reaches ``threshold``.
+
+    They match in m >= threshold * total / 2 characters.  The rest, total - 2m characters, parts the
+    matching blocks, so there are total - 2m + 1 of them at most, and a block of n characters has n - 1 pairs.
+    """
+    matched = np.ceil(threshold * total / 2 - 1e-9)
+    return 3 * matched - total - 1
+
+
+class TitleIndex:
+    """Titles by their pairs of characters, for all that may reach a ratio with a given one.
+
+    An inverted list for each numbered pair counts the pairs that titles share with the given one; titles
+    that share too few, or too few letters, can't reach the ratio.  No title that reaches it is left out.
+    """
+
+    def __init__(self) -> None:
+        self.lists: dict[tuple[str, int], list[int]] = {}
+        self.counts = np.zeros((64, _BINS), np.int32)
+        self.lengths = np.zeros(64)
+        self.size = 0
+
+    def add(self, title: str) -> None:
+        if self.size == len(self.lengths):
+            self.counts = np.concatenate((self.counts, np.zeros_like(self.counts)))
+            self.lengths = np.concatenate((self.lengths, np.zeros_like(self.lengths)))
+        self.counts[self.size], self.lengths[self.size] = letter_counts(title), len(title)
+        for pair in numbered_pairs(title):
+            self.lists.setdefault(pair, []).append(self.size)
+        self.size += 1
+
+    def _by_letters(self, title: str, numbers: np.ndarray, threshold: float) -> np.ndarray:
+        shared = np.minimum(self.counts[numbers], letter_counts(title)).sum(axis=1)
+        return numbers[2.0 * shared >= (threshold - 1e-9) * (self.lengths[numbers] + len(title))]
+
+    def possible(self, title: str, threshold: float, among: np.ndarray | None = None) -> np.ndarray:
+        """Ascending numbers of the titles (of those ``among``) whose ratio with ``title`` may reach ``threshold``."""
+        numbers = np.arange(self.size) if among is None else among
+        needed = pairs_needed(self.lengths[numbers] + len(title), threshold)
+        if (needed > 0).any():
+            found = [entry for pair in numbered_pairs(title) for entry in self.lists.get(pair, ())]
+            shared = np.bincount(np.array(found, np.int64), minlength=self.size)[numbers]
+            numbers = numbers[shared >= needed]
+        return self._by_letters(title, numbers, threshold)
 
 
 @F.pandas_udf(T.DoubleType())
@@ -68,19 +122,22 @@ def is_similar(threshold: float):
 def resembles_any(threshold: float):
     """UDF (text, candidates) -> whether some candidate reaches ``threshold``.
 
-    Letter counts rule out most candidates in one vector operation; texts that meet the same
-    candidates share their counts.
+    Many candidates are indexed; texts that meet the same ones share the index.
     """
 
     @F.pandas_udf(T.BooleanType())
     def check(text: pd.Series, candidates: pd.Series) -> pd.Series:
-        known: dict[tuple[str, ...], tuple[np.ndarray, np.ndarray]] = {}
+        known: dict[tuple[str, ...], TitleIndex] = {}
 
         def one(t: str, found) -> bool:
+            if len(found) <= FEW:
+                return any(similar(t, c, threshold) for c in found)
             key = tuple(found)
             if key not in known:
-                known[key] = np.stack([letter_counts(c) for c in key]), np.array([len(c) for c in key])
-            return any(similar(t, key[i], threshold) for i in possible(t, *known[key], threshold))
+                known[key] = TitleIndex()
+                for c in key:
+                    known[key].add(c)
+            return any(similar(t, key[i], threshold) for i in known[key].possible(t, threshold))
 
         return pd.Series([one(t, found) for t, found in zip(text, candidates)], dtype="boolean")
 

@@ -121,42 +121,49 @@ def _duplicates(leader: dict, item: dict) -> bool:
 class _Leaders:
     """Leaders of one group in input order.
 
-    With many of them, character counts (folded into 64 bins) bound every title ratio from
-    above in one vector operation, so few leaders reach the exact test.
+    With more than a few, their titles are indexed, their files listed and their lines kept in arrays, so
+    an item meets only leaders that overlap it or whose title may be similar enough.
     """
 
-    def __init__(self, capacity: int):
+    def __init__(self) -> None:
         self.items: list[dict] = []
-        self.counts = np.zeros((capacity, 64), dtype=np.int32)
-        self.lengths = np.zeros(capacity)
-
-    @staticmethod
-    def _bins(title: str):
-        return np.bincount([ord(ch) % 64 for ch in title] or [0], minlength=64) - (0 if title else _ONE)
+        self.titles = similarity.TitleIndex()
+        self.by_file: dict[str, list[int]] = {}
+        self.lines = np.empty((64, 2))
 
     def add(self, item: dict) -> None:
-        n = len(self.items)
-        self.counts[n] = self._bins(item["title_key"])
-        self.lengths[n] = len(item["title_key"])
         self.items.append(item)
 
+    def _indexed(self) -> None:
+        """Take the leaders added since the last look into the index."""
+        for n in range(self.titles.size, len(self.items)):
+            item = self.items[n]
+            if n == len(self.lines):
+                self.lines = np.concatenate((self.lines, np.empty_like(self.lines)))
+            # without a line nothing overlaps
+            missing = item["first_line"] is None
+            self.lines[n] = (np.nan, np.nan) if missing else (item["first_line"], item["last_line"])
+            if item["file_key"] is not None:
+                self.by_file.setdefault(item["file_key"], []).append(n)
+            self.titles.add(item["title_key"])
+
     def first(self, item: dict) -> int | None:
         """The earliest leader the item duplicates."""
-        n = len(self.items)
-        candidates = range(n)
-        if n > 16:
-            title, file = item["title_key"], item["file_key"]
-            shared = np.minimum(self.counts[:n], self._bins(title)).sum(axis=1)
-            near = 2.0 * shared >= (vocab.SAME_TITLE_ANYWHERE - 1e-9) * (self.lengths[:n] + len(title))
-            if file is not None:
-                near |= np.fromiter((lead["file_key"] == file for lead in self.items), bool, n)
-            candidates = np.flatnonzero(near)
-        return next(
-            (self.items[i]["seq"] for i in candidates if _duplicates(self.items[i], item)), None
-        )
-
-
-_ONE = np.eye(1, 64, dtype=np.int64)[0]
+        end, title = len(self.items), item["title_key"]
+        if end <= similarity.FEW:
+            return next((lead["seq"] for lead in self.items if _duplicates(lead, item)), None)
+        self._indexed()
+        own = np.array(self.by_file.get(item["file_key"], ()), np.int64)
+        if len(own) and item["first_line"] is not None:
+            overlaps = (self.lines[own, 0] <= item["last_line"]) & (self.lines[own, 1] >= item["first_line"])
+            end = int(own[np.argmax(overlaps)]) if overlaps.any() else end
+        # only a leader before the first that overlaps can come first by its title
+        near = {int(i): vocab.SAME_TITLE_ANYWHERE for i in self.titles.possible(title, vocab.SAME_TITLE_ANYWHERE, np.arange(end))}
+        near |= {int(i): vocab.SIMILAR_TITLE for i in self.titles.possible(title, vocab.SIMILAR_TITLE, own[own < end])}
+        for i in sorted(near):
+            if similarity.similar(self.items[i]["title_key"], title, near[i]):
+                return self.items[i]["seq"]
+        return self.items[end]["seq"] if end < len(self.items) else None
 
 
 @F.pandas_udf(_LEADERS)
@@ -164,7 +171,7 @@ def _settle(groups: pd.Series) -> pd.Series:
     """Leader of every item of an ordered group."""
 
     def one(items):
-        leaders = _Leaders(len(items))
+        leaders = _Leaders()
         found = []
         for item in items:
             lead = leaders.first(item)
@@ -182,7 +189,7 @@ def _test(items: pd.Series, new_leaders: pd.Series) -> pd.Series:
     """Earliest given leader of every item, None where none fits."""
 
     def one(group, given):
-        leaders = _Leaders(len(given))
+        leaders = _Leaders()
         for leader in given:
             leaders.add(leader)
         return [leaders.first(item) for item in group]
