@@ -49,7 +49,7 @@ from pyspark.sql import DataFrame, functions as F
 from xxhash import xxh3_64_intdigest, xxh3_128_digest
 
 from findmill.llm.components import components
-from findmill.llm.tables import durable, forget, grouped_runs
+from findmill.llm.tables import durable, forget, grouped_runs, release_memory
 
 #: Growth of the classes of sizes, and the parts that shall be filled as a multiple of D + 1.
 GROWTH, FILLED = 1.5, 1.1
@@ -191,6 +191,7 @@ def signature_rows(docs: DataFrame, doc_id: str, text: str, words: int, threshol
             rows = pa.record_batch([*map(pa.array, columns), pa.array(np.concatenate([m for *_, m in marks]))], names=["id", "tag", "signature"])
             # documents have hundreds of signatures: hand them over in small batches
             yield from (rows.slice(start, HANDED) for start in range(0, rows.num_rows, HANDED))
+        release_memory()
 
     return _texts(docs, doc_id, text).where("id IS NOT NULL").mapInArrow(work, "id long, tag long, signature long")
 

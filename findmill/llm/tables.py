@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -10,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from findmill.session import durable
 
 __all__ = [
-    "SPACES", "ascii_lower", "durable", "forget", "grouped_runs", "packed", "strip_spaces", "table", "unpacked", "unused",
+    "SPACES", "ascii_lower", "durable", "forget", "grouped_runs", "packed", "release_memory", "strip_spaces", "table", "unpacked", "unused",
 ]
 
 #: The white space that the text rules name: space and the controls 0x09 to 0x0D.
@@ -63,6 +64,14 @@ def forget(*tables: DataFrame) -> None:
             path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def release_memory() -> None:
+    """Give freed memory back to the system at the end of a task: idle workers stay for the next stage."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def grouped_runs(
     batches: Iterator[pa.RecordBatch], keys: list[str], work: Callable[[pa.Table], Iterator[pa.RecordBatch]]
 ) -> Iterator[pa.RecordBatch]:

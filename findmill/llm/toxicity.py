@@ -33,7 +33,7 @@ from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, functions as F
 
-from findmill.llm.tables import packed, unpacked
+from findmill.llm.tables import packed, release_memory, unpacked
 
 #: Function words of the grammar in English, German, French and Spanish.
 NEGATION = "not no never nor nobody none nicht kein keine nie ne pas jamais aucun nunca jamás ni tampoco".split()
@@ -154,6 +154,10 @@ def fold(key: Column, folds: int = 5) -> Column:
     return F.pmod(F.crc32(key.cast("string")), F.lit(folds))
 
 
+#: Patterns that a task counts before it hands them over.
+COUNTED = 100_000
+
+
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Documents with each pattern, by label, summed inside a task."""
     counts: Counter = Counter()
@@ -169,11 +173,13 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for text, label in zip(batch.column("text").to_pylist(), batch.column("label").to_pylist()):
             found = {p for w in set(_WORD.findall((text or "").lower())) for p in word_patterns(w)}
             counts.update((p, label) for p in found)
-        if len(counts) > 400_000:
+        if len(counts) > COUNTED:
             yield flush()
             counts.clear()
     if counts:
         yield flush()
+        counts.clear()
+    release_memory()
 
 
 def learn_patterns(

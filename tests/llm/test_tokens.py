@@ -103,3 +103,12 @@ def test_queries_against_the_libraries(spark, sf_dir, tiktoken_encoding):
         assert r.n_tokens == len(ids)
         assert r.ids_sha256 == hashlib.sha256(b"".join(i.to_bytes(4, "little") for i in ids)).hexdigest()
         assert r.decoded_sha256 == hashlib.sha256(texts[r.doc_id].encode()).hexdigest()
+
+
+def test_round_trip_equals_encoding_and_decoding(spark):
+    rows = [(1, "héllo  world\n", 1), (2, None, 2), (None, "", 3), (4, "日本 " * 60_000, 4), (4, "日本 " * 60_000, 4)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, both int")
+    once = byte_bpe.round_trip(docs)
+    twice = byte_bpe.decode_ids(byte_bpe.encode_texts(docs))
+    assert once.columns == twice.columns and sorted(map(str, once.collect())) == sorted(map(str, twice.collect()))
+    assert byte_bpe.round_trip(docs.limit(0)).count() == 0
