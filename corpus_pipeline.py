@@ -72,8 +72,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each text, and whether they decode to it."""
     prepare(spark)
-    docs = docs.select("doc_id", "source", "text")
-    decoded = byte_bpe.decode_ids(byte_bpe.encode_texts(docs))
+    decoded = byte_bpe.round_trip(docs.select("doc_id", "source", "text"))
     return decoded.select(
         "doc_id", "source", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), "ids",
         (F.col("decoded") == F.encode(F.coalesce("text", F.lit("")), "utf-8")).alias("round_trip"),
