@@ -4,9 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from findmill.operators import evaluation, metrics, risk, training
+from findmill import vocab
+from findmill.operators import evaluation, metrics, risk, training, trees
+from findmill.plans.catalog_sources import DEFECTS_SQL
 from findmill.plans.views import cte, read, view
 from findmill.session import durable
+from findmill.sources import defects
 
 _SPLIT = """CASE WHEN CAST(concat('0x', left(md5(concat_ws('|', label, doc_id)), 6)) AS BIGINT) % 100 < 60 THEN 'train'
  WHEN CAST(concat('0x', left(md5(concat_ws('|', label, doc_id)), 6)) AS BIGINT) % 100 < 80 THEN 'validation' ELSE 'test' END"""
@@ -54,16 +57,90 @@ def _model_evaluation(spark, d):
     return evaluation.evaluate(durable(training.score(model, rows), "scored-rows"))
 
 
+_OWN_DISCLAIMER = (
+    "Risk prediction is based on code metrics and quality labels of the documents. It indicates likelihood of issues, not certainty."
+)
+
+
 def _model_risk(spark, d):
     rows, model = _trained(spark, d)
     parts = training.contributions(model, rows, "report_id")
-    return risk.model_risk(rows.join(parts, "report_id")).select(
+    return risk.model_risk(rows.join(parts, "report_id"), "boosted_trees_quality", _OWN_DISCLAIMER).select(
         "report_id", "defect_probability", "maintenance_risk", "review_priority",
         "human_review_recommended", F.array_join("top_risk_factors", "; ").alias("top_risk_factors"),
         F.size("shap_values").alias("num_contributions"), "model_used",
     )
 
 
+# a small ensemble (tree, node, feature, threshold, low, high, value, weight) for all rows of the table of defects
+_NODES = [
+    (0, 0, "cyclomatic_complexity_avg", 10.0, 1, 2, None, 1.0),
+    (0, 1, "loc", 50.0, 3, 4, None, 1.0),
+    (0, 2, "comment_ratio", 0.05, 5, 6, None, 1.0),
+    (0, 3, None, None, None, None, -0.75, 1.0),
+    (0, 4, None, None, None, None, -0.25, 1.0),
+    (0, 5, None, None, None, None, 0.75, 1.0),
+    (0, 6, None, None, None, None, 0.125, 1.0),
+    (1, 0, "severity_weighted_score", 20.0, 1, 2, None, 0.5),
+    (1, 1, None, None, None, None, -0.5, 0.5),
+    (1, 2, "num_functions", 4.0, 3, 4, None, 0.5),
+    (1, 3, "code_lines", 60.0, 5, 6, None, 0.5),
+    (1, 4, None, None, None, None, 0.5, 0.5),
+    (1, 5, None, None, None, None, 0.25, 0.5),
+    (1, 6, None, None, None, None, 1.0, 0.5),
+    (2, 0, "num_llm_findings", 8.0, 1, 2, None, 0.25),
+    (2, 1, "avg_function_length", 30.0, 3, 4, None, 0.25),
+    (2, 2, "max_nesting_depth", 6.0, 5, 6, None, 0.25),
+    (2, 3, None, None, None, None, -0.25, 0.25),
+    (2, 4, None, None, None, None, 0.5, 0.25),
+    (2, 5, None, None, None, None, 0.25, 0.25),
+    (2, 6, None, None, None, None, 0.75, 0.25),
+]
+_USUAL = dict.fromkeys(vocab.FEATURES, 5.0) | {"loc": 60.0, "comment_ratio": 0.1, "severity_weighted_score": 25.0, "code_lines": 75.0}
+
+
+def _reached(variants):
+    """SQL: where each row, in each of its variants, ends in each tree, by one join a level."""
+    cells = ", ".join("(" + ", ".join("NULL" if c is None else repr(c) for c in node) + ")" for node in _NODES)
+    usual = " ".join(f"WHEN '{n}' THEN {v}" for n, v in _USUAL.items())
+    sql = f"""WITH features AS MATERIALIZED (SELECT row_number() OVER () AS rid, f.* FROM ({DEFECTS_SQL}) f),
+ cells AS MATERIALIZED (UNPIVOT features ON {", ".join(vocab.FEATURES)} INTO NAME feature VALUE x),
+ nodes(tree, node, feature, threshold, low, high, value, weight) AS (VALUES {cells}),
+ level0 AS (SELECT rid, replaced, tree, 0 AS node FROM features, ({variants}) v, (SELECT DISTINCT tree FROM nodes))"""
+    for level in (1, 2, 3):
+        sql += f""", level{level} AS (SELECT a.rid, replaced, a.tree, CASE WHEN n.feature IS NULL THEN a.node
+   WHEN (CASE WHEN n.feature = replaced THEN (CASE replaced {usual} END) ELSE c.x END) <= threshold THEN low ELSE high END AS node
+   FROM level{level - 1} a JOIN nodes n ON n.tree = a.tree AND n.node = a.node LEFT JOIN cells c ON c.rid = a.rid AND c.feature = n.feature)"""
+    return sql + """, scores AS (SELECT rid, replaced, 1 / (1 + exp(-2 * CAST(sum(weight * value) AS DOUBLE))) AS p
+   FROM level3 JOIN nodes USING (tree, node) GROUP BY rid, replaced) """
+
+
+_TABLE_SCORES_SQL = _reached("SELECT '' AS replaced") + """SELECT loc, cyclomatic_complexity_avg, label, round(p, 9) AS probability,
+ CASE WHEN p > 0.5 THEN 1 ELSE 0 END AS prediction FROM features JOIN scores USING (rid)"""
+
+_CHANGES_SQL = _reached(
+    "SELECT unnest([''" + "".join(f", '{n}'" for n in vocab.FEATURES) + "]) AS replaced"
+) + ", changes AS (SELECT rid, replaced, max(p) FILTER (WHERE replaced = '') OVER (PARTITION BY rid) AS whole, whole - p AS gain FROM scores) " + (
+    "SELECT label, probability, changed.* EXCLUDE (rid, probability) FROM features f(rid, " + ", ".join(f"own_{n}" for n in vocab.FEATURES)
+    + ", label) JOIN (SELECT rid, round(max(whole), 9) AS probability, "
+    + ", ".join(f"max(sign(gain) * CAST(format('{{:.4f}}', abs(gain)) AS DOUBLE)) FILTER (WHERE replaced = '{n}') AS {n}" for n in vocab.FEATURES)
+    + " FROM changes GROUP BY rid) changed USING (rid)"
+)
+
+
+def _table_scores(spark, d):
+    rows = defects.defect_features(view(spark, d, "defect_rows"))
+    scored = trees.score(rows, spark.createDataFrame(_NODES, trees.NODES), depth=3)
+    return _rounded(scored.select("loc", "cyclomatic_complexity_avg", "label", "probability", "prediction"), "probability")
+
+
+def _changes(spark, d):
+    rows = defects.defect_features(view(spark, d, "defect_rows"))
+    changed = trees.contributions(rows, spark.createDataFrame(_NODES, trees.NODES), _USUAL, depth=3)
+    parts = [F.col("contributions")[n].alias(n) for n in vocab.FEATURES]
+    return _rounded(changed.select("label", "probability", *parts), "probability")
+
+
 def _rounded(df, *names):
     return df.withColumns({n: F.round(n, 9) for n in names})
 
@@ -101,6 +178,8 @@ QUERIES = {
         lambda s, d: evaluation.evaluate(split_rows(s, d)),
         EVALUATION_SQL,
     ),
+    "model_table_scores": (_table_scores, _TABLE_SCORES_SQL),
+    "substitution_contributions": (_changes, _CHANGES_SQL),
     "model_scores": (_model_scores, None),
     "model_evaluation": (_model_evaluation, None),
     "model_risk": (_model_risk, None),

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import DataFrame
 
@@ -12,14 +12,38 @@ from findmill.session import durable
 from findmill.sources.responses import parse_responses
 
 
-@dataclass
 class Review:
-    """Results of a review, each a table keyed by report_id."""
+    """Results of a review, each a table keyed by report_id, worked out when first asked for.
 
-    file_metrics: DataFrame
-    features: DataFrame
-    predictions: DataFrame
-    findings: DataFrame
+    As in a review of one archive, the features see the static findings of the metrics
+    step only; rule hits and agent findings join afterwards.
+    """
+
+    def __init__(self, files: DataFrame, responses: DataFrame) -> None:
+        self._files, self._responses = files, responses
+
+    @cached_property
+    def _profiled(self) -> DataFrame:
+        return durable(metrics.profile_files(self._files), "file-profiles")
+
+    @property
+    def file_metrics(self) -> DataFrame:
+        return self._profiled.drop("complex_blocks")
+
+    @cached_property
+    def features(self) -> DataFrame:
+        return metrics.extract_features(self._profiled, metrics.complexity_findings(self._profiled))
+
+    @property
+    def predictions(self) -> DataFrame:
+        return risk.heuristic_risk(self.features)
+
+    @cached_property
+    def findings(self) -> DataFrame:
+        complexity = metrics.complexity_findings(self._profiled)
+        found = union_findings(parse_responses(self._responses), complexity, rules.scan_rules(self._files))
+        # deduplication reads its input several times: parse the responses and scan the files once
+        return dedup.deduplicate(durable(found, "review-findings"))
 
 
 def risk_of_files(files: DataFrame, findings: DataFrame) -> DataFrame:
@@ -28,15 +52,5 @@ def risk_of_files(files: DataFrame, findings: DataFrame) -> DataFrame:
 
 
 def review(files: DataFrame, responses: DataFrame) -> Review:
-    """Metrics, rule scan, response parsing, deduplication and risk of every report.
-
-    As in a review of one archive, the features see the static findings of the metrics
-    step only; rule hits and agent findings join afterwards.
-    """
-    profiled = durable(metrics.profile_files(files), "file-profiles")
-    complexity = metrics.complexity_findings(profiled)
-    features = metrics.extract_features(profiled, complexity)
-    found = union_findings(parse_responses(responses), complexity, rules.scan_rules(files))
-    # deduplication reads its input several times: parse the responses and scan the files once
-    findings = dedup.deduplicate(durable(found, "review-findings"))
-    return Review(profiled.drop("complex_blocks"), features, risk.heuristic_risk(features), findings)
+    """Metrics, rule scan, response parsing, deduplication and risk of every report."""
+    return Review(files, responses)
