@@ -9,7 +9,7 @@ from pyspark.sql import Window, functions as F
 
 from findmill import schemas, vocab
 from findmill.functions import risk
-from findmill.operators import evaluation, integrity, marts, ordering, training
+from findmill.operators import erasure, evaluation, integrity, marts, ordering, training
 from findmill.plans.catalog_findings import RANK_SQL
 from findmill.plans.catalog_reports import TABLE_VIEWS, tables
 from findmill.plans.catalog_sources import DEFECTS_SQL
@@ -62,6 +62,19 @@ def _survivors(spark, d):
     return _counted(read_tables(spark, base))
 
 
+def _erased_files(spark, d):
+    """Tables in many files, users erased one at a time, read from the last snapshot."""
+    base = _folder(spark, "snapshots")
+    for name, df in tables(spark, d).items():
+        absent = {f.name: F.lit(None).cast(f.dataType) for f in schemas.TABLES[name] if f.name not in df.columns}
+        sinks.append((df.withColumns(absent) if absent else df).repartitionByRange("id"), base, name)
+    erasure.track(spark, base)
+    users = read(spark, d, "region").select(F.col("r_regionkey").cast("bigint").alias("id"))
+    for user in (1, 77):  # the second one does not exist
+        erasure.erase_stored(spark, base, "users", users.select(F.lit(user).cast("bigint").alias("id")).distinct())
+    return _counted(erasure.tables_at(spark, base))
+
+
 _OWNED = "report_id NOT IN (SELECT id FROM gone)"
 _SURVIVORS_SQL = cte(*TABLE_VIEWS.values()) + """, gone AS (SELECT r.id FROM reports r JOIN repositories o
    ON o.id = r.repository_id WHERE o.user_id = 1) """ + _counted_sql({
@@ -136,6 +149,7 @@ def _factors_sql():
 QUERIES = {
     "stored_tables": (_stored, cte(*TABLE_VIEWS.values()) + _counted_sql(dict.fromkeys(TABLE_VIEWS, "true"))),
     "erasure_survivors": (_survivors, _SURVIVORS_SQL),
+    "erased_files": (_erased_files, _SURVIVORS_SQL),
     "narrative_texts": (_narratives, cte("reports") + "SELECT id AS report_id, md5(summary) AS digest FROM reports"),
     "evaluation_runs": (_runs, f"SELECT e.*, run FROM ({EVALUATION_SQL}) e, (VALUES (1), (2)) v(run)"),
     "findings_by_severity": (
