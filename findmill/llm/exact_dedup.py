@@ -8,8 +8,9 @@ a text of n bytes takes log(n) rounds.
 
 A round is one map-side combined aggregate and one join on (group, digit); a hot group is
 counted per task before it moves, its join partition can be split, and no group is ever
-collected.  After the first round only texts that still share a group are written, without
-the bytes already read.
+collected.  The numbered rows are written before the first round, so that a task that runs
+again after a lost executor finds the same numbers; after each round only texts that still
+share a group are, without the bytes already read.
 
 Defined results: a NULL text is an empty one.  Of equal texts the one with the most code
 points in the original stays, then the smallest id; a NULL id is larger than any.  Rows
@@ -37,14 +38,14 @@ def exact_groups(
     docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 48, growth: int = 96
 ) -> DataFrame:
     """``(doc_id, keep_id, group_size, kept, text_sha256)`` of every row of ``docs``."""
-    rows = docs.select(
+    numbered = durable(docs.select(
         F.col(doc_id).alias("__id"),
         F.char_length(F.coalesce(F.col(text), F.lit(""))).alias("__points"),
         normalised(F.col(text)).alias("__rest"),
         F.lit(0).cast("long").alias("__group"),
         F.monotonically_increasing_id().alias("__row"),
-    ).withColumn("__sha", F.sha2("__rest", 256))
-    done = []
+    ).withColumn("__sha", F.sha2("__rest", 256)), "radix-input")
+    rows, done = numbered, []
     while True:
         rows = rows.withColumns({
             "__digit": F.substring("__rest", 1, width),
@@ -65,7 +66,7 @@ def exact_groups(
             ),
             "radix-rows",
         )
-        forget(shared)
+        forget(shared, *([] if done else [numbered]))
         done.append(split.where("__rest IS NULL"))
         rows = split.where("__rest IS NOT NULL").select("__id", "__points", "__sha", "__row", "__group", "__rest")
         if rows.isEmpty():
