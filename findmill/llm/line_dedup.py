@@ -133,12 +133,13 @@ def dedup_lines(
             part = part.where((F.col("id") <= above) | (F.col("id").isNull() if low is None else F.lit(False)))
         runs.add(part)
         above = low
-    frequent = runs.entries().where(F.col("docs") >= min_docs).select(*KEY, "keeper")
-    doomed = lines.join(frequent, KEY).where(~F.col("id").eqNullSafe(F.col("keeper")))
+    # written first: a join of two tables can split the lines of a key that very many documents hold
+    frequent = durable(runs.entries().where(F.col("docs") >= min_docs).select(*KEY, "keeper"), "frequent-lines")
+    doomed = lines.join(frequent.hint("merge"), KEY).where(~F.col("id").eqNullSafe(F.col("keeper")))
     # the 128-bit key has decided; inside one document 64 bits tell its lines apart
     doomed = durable(doomed.groupBy("id").agg(F.collect_set("h1").alias("doomed")), "doomed-lines")
     runs.drop()
-    forget(lines)
+    forget(lines, frequent)
     rows = packed(docs, own=F.col(doc_id), body=F.coalesce(F.col(text), F.lit("")))
     # always by key: whether the doomed lines would fit a broadcast must not decide the plan
     joined = rows.join(doomed.hint("merge"), F.col("own").eqNullSafe(F.col("id")), "left")

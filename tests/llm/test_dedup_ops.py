@@ -117,3 +117,23 @@ def test_digits_stop_widening_where_a_length_ends(spark):
     rows = [(1, text), (2, text), (3, text[:-1] + "x"), (4, text[:5]), (5, "ab")]
     got = exact_dedup.exact_groups(spark.createDataFrame(rows, "doc_id long, text string"), width=2, growth=2**29).collect()
     assert {r.doc_id: (r.keep_id, r.group_size) for r in got} == {1: (1, 2), 2: (1, 2), 3: (3, 1), 4: (4, 1), 5: (5, 1)}
+
+
+def test_a_line_that_a_third_of_the_documents_hold(spark):
+    hot = "one very common line of more than forty characters"
+    rows = [(i, f"{hot}\nown text of document {i}" if i % 3 == 0 else f"own text of document {i}") for i in range(3000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(16)
+    got = {r.doc_id: (r.kept_text, r.n_dropped) for r in line_dedup.dedup_lines(df).collect()}
+    assert len(got) == 3000
+    assert got[2997] == (f"{hot}\nown text of document 2997", 0)
+    assert all(got[i] == (f"own text of document {i}", int(i % 3 == 0)) for i in range(3000) if i != 2997)
+
+
+def test_exact_groups_of_rows_dealt_anew(spark):
+    from pyspark.sql import functions as F
+
+    rows = [(i % 50, "same words " * (1 + i % 4) + " " * (i % 3)) for i in range(400)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(7, F.rand())
+    got = exact_dedup.exact_groups(df, width=4, growth=2).collect()
+    assert len(got) == 400 and {r.group_size for r in got} == {100}
+    assert sum(r.kept for r in got) == len({r.text_sha256 for r in got}) == 4
