@@ -197,7 +197,9 @@ def report_details(
     than fit one row.
     """
     head = owned_reports(reports, repositories, user_id).withColumnRenamed("id", "report_id")
-    narratives = analysis_results.drop("id")
+    # the planner takes long texts for short ones: sorted and merged, they never go through the driver
+    owned = analysis_results.drop("id").join(head.select("report_id"), "report_id", "left_semi")
+    narratives = owned.hint("merge")
     totals = findings.groupBy("report_id").agg(F.count("*").alias("num_findings"))
     top = (
         top_findings(findings, tie="id")

@@ -185,12 +185,12 @@ def _review_rows(spark, d):
     sparse = reports.withColumn(
         "quality_score", F.when(F.col("id") % 3 > 0, F.col("quality_score"))
     ).withColumnRenamed("summary", "final_summary")
-    return sparse.join(view(spark, d, "narratives").withColumnRenamed("report_id", "id"), "id")
+    return sparse.join(view(spark, d, "narratives").withColumnRenamed("report_id", "id").hint("merge"), "id")
 
 
 def _stored_report(spark, d):
     reports, results = sinks.stored_reports(_review_rows(spark, d), view(spark, d, "findings"))
-    joined = reports.join(results.drop("id").withColumnRenamed("report_id", "id"), "id")
+    joined = reports.join(results.drop("id").withColumnRenamed("report_id", "id").hint("merge"), "id")
     return _stamped(joined, "created_at").withColumn(
         "documentation_report", F.char_length("documentation_report")
     ).withColumn("refactoring_report", F.char_length("refactoring_report"))

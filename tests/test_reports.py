@@ -78,6 +78,18 @@ def test_counts_fill_zeros_and_tenants_stay_apart(store):
     assert [(d.report_id, d.num_findings, [i.finding_id for i in d.top_issues]) for d in detail] == [(3, 1, ["w"])]
 
 
+def test_texts_of_reports_are_not_broadcast(spark, store, tmp_path):
+    """A planner that takes long texts for short ones must not send them all through the driver."""
+    names = ("reports", "repositories", "analysis_results", "findings", "ml_predictions")
+    for name in names:
+        store[name].write.parquet(f"{tmp_path}/{name}")
+    df = marts.report_details(*[spark.read.parquet(f"{tmp_path}/{n}") for n in names])
+    plan = df._jdf.queryExecution().sparkPlan().toString().splitlines()
+    joins = [ln for ln in plan if "Join" in ln and "LeftOuter" in ln]
+    assert "SortMergeJoin" in joins[-1], "\n".join(plan)
+    assert {r.report_id: r.bug_report for r in df.collect()}.keys() == {1, 2, 3}
+
+
 def test_violations(store):
     got = {(r.table_name, r.rule, r.column_name, r.key_value) for r in integrity.violations(store).collect()}
     assert got == {
