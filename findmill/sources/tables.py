@@ -37,6 +37,11 @@ def spread(df: DataFrame) -> DataFrame:
 
 
 def read_narratives(spark: SparkSession, path: str) -> DataFrame:
-    """(report_id, text) of the files that ``sinks.write_narratives`` wrote; whole files, one a row."""
-    files = spark.read.schema("value STRING, report_id BIGINT").option("wholetext", True).text(path)
+    """(report_id, text) of the table that ``sinks.write_narratives`` wrote."""
+    return spark.read.schema("report_id BIGINT, text STRING").parquet(path)
+
+
+def read_narrative_files(spark: SparkSession, path: str) -> DataFrame:
+    """(report_id, text) of the files that ``sinks.write_narrative_files`` wrote; whole files, one a row."""
+    files = spark.read.schema("value STRING, report_id BIGINT").text(path, wholetext=True)
     return files.select("report_id", F.regexp_replace("value", r"\n\z", "").alias("text"))

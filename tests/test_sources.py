@@ -162,3 +162,17 @@ def test_stream_of_responses(spark, tmp_path):
     query = append_findings(stream, responses.parse_responses, str(out), str(tmp_path / "cp"))
     query.awaitTermination(120)
     assert {r.id for r in spark.read.parquet(str(out)).collect()} == {"x", "y"}
+
+
+def test_narratives_in_few_files(spark, tmp_path):
+    texts = {n: t for n, t in enumerate(["", "a\nb", "ends\n", "\r\n", "\u00fc \u2028 x", "dup"] * 10)}
+    rows = [*texts.items(), (7000, None), (7001, "same"), (7001, "same")]
+    sinks.write_narratives(spark.createDataFrame(rows, "report_id long, summary string").coalesce(3), str(tmp_path / "t"))
+    got = tables.read_narratives(spark, str(tmp_path / "t")).collect()
+    assert sorted(map(tuple, got)) == sorted([*texts.items(), (7000, ""), (7001, "same"), (7001, "same")])
+    # as many files as tasks, not as reports
+    assert len(list((tmp_path / "t").rglob("part-*"))) <= 3
+    few = spark.createDataFrame([(1, "a\nb"), (2, None)], "report_id long, summary string")
+    sinks.write_narrative_files(few, str(tmp_path / "f"))
+    files = tables.read_narrative_files(spark, str(tmp_path / "f")).collect()
+    assert sorted(map(tuple, files)) == [(1, "a\nb"), (2, "")]
