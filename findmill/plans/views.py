@@ -314,7 +314,8 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
         left, right = source.split(" JOIN ")
         df = read(spark, sf_dir, left).join(read(spark, sf_dir, right.split()[0]), "doc_id")
     else:
-        df = read(spark, sf_dir, source)
+        # a small file can stand for long rows: every core takes part in deriving them
+        df = spread(read(spark, sf_dir, source))
     if where:
         df = df.filter(where)
     return df.selectExpr(*[f"{e} AS `{n}`" for n, e in columns.items()])

@@ -3,6 +3,7 @@ import json
 from pyspark.sql import functions as F
 
 from findmill.operators import narratives, validation
+from findmill.plans import views
 from findmill.sources import defects, files, responses, scanner, sinks, tables
 from findmill.streaming.incremental import append_findings
 
@@ -176,3 +177,9 @@ def test_narratives_in_few_files(spark, tmp_path):
     sinks.write_narrative_files(few, str(tmp_path / "f"))
     files = tables.read_narrative_files(spark, str(tmp_path / "f")).collect()
     assert sorted(map(tuple, files)) == [(1, "a\nb"), (2, "")]
+
+
+def test_small_files_are_dealt_before_long_rows_are_made(spark, sf_dir):
+    cores = spark.sparkContext.defaultParallelism
+    for name in ("narratives", "reports", "findings", "members"):
+        assert views.view(spark, sf_dir, name).rdd.getNumPartitions() >= cores
