@@ -287,10 +287,16 @@ def _code_case(selector: str, line: str) -> str:
     return f"CASE ({selector}) % 101 {cases} ELSE concat('    ', {line}) END"
 
 
+def _code_line(selector: str, line: str) -> str:
+    """What ``_code_case`` takes, by one look into an array: lambdas run every WHEN of a CASE before the one that fits."""
+    lines = ", ".join("'" + c.replace("'", "''") + "'" for c in CODE_LINES)
+    return f"coalesce(get(array({lines}), CAST(({selector}) % 101 AS INT)), concat('    ', {line}))"
+
+
 def source_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     content = (
         "array_join(transform(split(replace(text, '. ', concat('.', chr(10))), '\n'), "
-        f"(l, i) -> {_code_case('doc_id * 31 + i', 'l')}), '\n')"
+        f"(l, i) -> {_code_line('doc_id * 31 + i', 'l')}), '\n')"
     )
     return spread(read(spark, sf_dir, "documents")).selectExpr(
         *[f"{e} AS {n}" for n, e in FILE_COLUMNS.items()], f"{content} AS content", "doc_id"

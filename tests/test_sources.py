@@ -183,3 +183,12 @@ def test_small_files_are_dealt_before_long_rows_are_made(spark, sf_dir):
     cores = spark.sparkContext.defaultParallelism
     for name in ("narratives", "reports", "findings", "members"):
         assert views.view(spark, sf_dir, name).rdd.getNumPartitions() >= cores
+
+
+def test_code_lines_are_looked_up_as_the_case_has_them(spark, sf_dir):
+    rows = spark.range(-250, 250).selectExpr("nullif(id, 77) AS k", "concat('l', id) AS l")
+    got = rows.selectExpr(f"{views._code_line('k', 'l')} AS a", f"{views._code_case('k', 'l')} AS b")
+    assert got.where("a <=> b").count() == 500
+    # one look for each line, whatever the number of code lines
+    plan = views.source_files(spark, sf_dir).select("content")._jdf.queryExecution().analyzed().toString()
+    assert plan.count("WHEN") < len(views.CODE_LINES)
