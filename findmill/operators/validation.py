@@ -27,13 +27,13 @@ def with_reject_reason(findings: DataFrame) -> DataFrame:
 
 
 def valid_findings(findings: DataFrame) -> DataFrame:
-    """Valid rows; a missing source counts as AI-detected."""
-    return (
-        with_reject_reason(findings)
-        .filter("reject_reason IS NULL")
-        .drop("reject_reason")
-        .withColumn("source", F.coalesce("source", F.lit(vocab.AI)))
-    )
+    """Valid rows, those without a ``reject_reason``; a missing source counts as AI-detected."""
+    # plain conditions, which the scan of a stored table can use, instead of the reason worked out a row
+    known = F.col("source").isNull() | F.col("source").isin(vocab.FINDING_SOURCES)
+    for name in REQUIRED:
+        known &= F.col(name).isNotNull()
+    valid = known & F.col("severity").isin(vocab.SEVERITIES) & F.col("confidence").between(0, 100)
+    return findings.filter(valid).withColumn("source", F.coalesce("source", F.lit(vocab.AI)))
 
 
 def rejected_findings(findings: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from findmill import vocab
 from findmill.functions import labels, similarity
 from findmill.operators import dedup, marts, metrics, ordering, validation
-from findmill.plans.views import DESCRIPTIONS, TITLES, cte, stored, view
+from findmill.plans.views import DESCRIPTIONS, TITLES, cte, view
 
 RANK_SQL = (
     "CASE severity WHEN 'CRITICAL' THEN 4 WHEN 'HIGH' THEN 3 WHEN 'MEDIUM' THEN 2 "
@@ -128,12 +128,13 @@ _MERGED_SQL = _DEDUP_SQL + """, grouped AS (
 
 
 def _keyed(spark, d):
-    findings = stored(spark, d, "findings").transform(validation.valid_findings)
+    findings = view(spark, d, "findings").transform(validation.valid_findings)
     return dedup.with_keys(ordering.input_order(findings))
 
 
 def _merged(spark, d):
-    return dedup.deduplicate(stored(spark, d, "findings")).withColumn(
+    # read twice, once with few columns: deriving the rows again costs less than writing all of them
+    return dedup.deduplicate(view(spark, d, "findings")).withColumn(
         "merged_from", F.array_join("merged_from", ",")
     )
 
