@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from findmill.llm.tables import durable, forget
+from findmill.llm.tables import forget, settled
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -21,7 +21,7 @@ def components(links: DataFrame) -> DataFrame:
     listed is the smallest of its own component.
     """
     edges = links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
-    edges = durable(edges.distinct(), "links")
+    edges = settled(edges.distinct(), "links")
     last = None
     while True:
         sums = edges.agg(F.count(F.lit(1)), F.sum(F.pmod(F.xxhash64("u", "v"), F.lit(1 << 40)))).first()
@@ -33,7 +33,7 @@ def components(links: DataFrame) -> DataFrame:
         large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         lowest = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(lowest, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        after = durable(small.unionByName(lowest.select("u", F.col("m").alias("v"))).distinct(), "links")
+        after = settled(small.unionByName(lowest.select("u", F.col("m").alias("v"))).distinct(), "links")
         forget(edges)
         edges = after
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component"))

@@ -10,11 +10,15 @@ A document is the set of its distinct shingles of ``words`` words.  Two document
    it).  A set with f > D filled parts agrees with a partner in f - D of them at least, so a
    document that occurs in fewer lists of two or more has no partner and is left out.  A set
    with fewer filled parts emits its empty ones too and is left out if it is in no list.  The
-   documents of a list that remain are joined to the first of them: star links, never pairs.
-   Lists are read off a sorted stream in constant memory.
-2. The components of the star links are blocks.  Each distinct set goes to its block once.  A
-   block with more rows or shingles than one task should hold is cut into parts, and each
-   pair of parts is searched on its own.
+   sets of a list are joined to the first of them: star links, never pairs.  Lists are
+   read off a sorted stream in constant memory, and equal links are counted.
+   A set leaves out the links of the fewest lists, of less than half the f - D lists
+   together.  Two linked sets have at least f - D lists in common, of either's f, and together
+   leave out fewer: in one list both stay with its first.  So what documents share by chance does not
+   join their blocks, however many documents there are.
+2. The components of the star links are blocks.  Each distinct set goes to its block once, as a
+   text, which is smaller than its shingles.  A block with more rows or shingles than one task
+   should hold is cut into parts, and each pair of parts is searched on its own.
 3. T-occurrence search (DivideSkip).  Inside a block every set asks the inverted lists of its
    shingles for sets that occur in at least T of them.  The longest lists are put aside; the
    short ones are merged by a heap that skips ahead as soon as T can't be reached; what is
@@ -25,8 +29,9 @@ A document is the set of its distinct shingles of ``words`` words.  Two document
    further link, which keeps a block of thousands of near copies from comparing all of them.
 4. Links become components.
 
-Equal sets are represented by their smallest id, and a task emits the signatures of equal sets once,
-so a hot group of copies does not fill the lists.  Shingles are 64-bit hashes of the words'
+Equal sets are represented by their smallest id.  A task emits the signatures of equal sets once, under
+half of their digest, and copies of other tasks leave the lists before these are looked at, so copies
+neither fill the lists nor make lists of their own.  Shingles are 64-bit hashes of the words'
 64-bit hashes; equality of two whole sets is decided on 128 bits.
 
 Defined results: a text with fewer words has its whole sequence as the one shingle; a text
@@ -45,11 +50,11 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 from xxhash import xxh3_64_intdigest, xxh3_128_digest
 
 from findmill.llm.components import components
-from findmill.llm.tables import durable, forget, grouped_runs, release_memory
+from findmill.llm.tables import forget, grouped_runs, release_memory, settled
 
 #: Growth of the classes of sizes, and the parts that shall be filled as a multiple of D + 1.
 GROWTH, FILLED = 1.5, 1.1
@@ -63,6 +68,8 @@ MU = 0.0085
 HEAP_ENTRIES = 512
 #: Digests that a task keeps to leave out copies, and rows of signatures that it hands over at a time.
 KNOWN, HANDED = 200_000, 1 << 15
+#: Rows of signatures that are looked at together.
+COUNTED = 1 << 16
 #: Candidates beyond which the long lists are probed as bit maps, one list after the other before.
 FEW = 32
 
@@ -148,8 +155,13 @@ def _digest(tokens: np.ndarray) -> bytes:
     return xxh3_128_digest(tokens.tobytes())
 
 
+def _node(digest: bytes) -> int:
+    """The number of a set among the lists; should two sets have the same, they are searched together."""
+    return int.from_bytes(digest[:8], "little", signed=True)
+
+
 def shingle_sets(docs: DataFrame, doc_id: str, text: str, words: int) -> DataFrame:
-    """``(id, n, digest)`` of every row: the set's size and its digest."""
+    """``(id, n, digest, node)`` of every row: the set's size, its digest and its number."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -158,11 +170,10 @@ def shingle_sets(docs: DataFrame, doc_id: str, text: str, words: int) -> DataFra
                 tokens = shingles(value.as_py(), words)
                 sizes.append(len(tokens))
                 digests.append(_digest(tokens))
-            yield pa.record_batch(
-                [batch.column("id"), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary())], names=["id", "n", "digest"]
-            )
+            columns = [pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(map(_node, digests), pa.int64())]
+            yield pa.record_batch([batch.column("id"), *columns], names=["id", "n", "digest", "node"])
 
-    return _texts(docs, doc_id, text).mapInArrow(work, "id long, n long, digest binary")
+    return _texts(docs, doc_id, text).mapInArrow(work, "id long, n long, digest binary, node long")
 
 
 def _texts(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
@@ -170,17 +181,17 @@ def _texts(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
 
 
 def signature_rows(docs: DataFrame, doc_id: str, text: str, words: int, threshold: int) -> DataFrame:
-    """``(id, tag, signature)`` of the sets; of equal sets in one task the first speaks for all."""
+    """``(id, tag, signature)`` of the sets, ``id`` the set's number; of equal sets in one task the first speaks for all."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: set[bytes] = set()
         for batch in batches:
             marks = []
-            for i, value in zip(batch.column("id").to_pylist(), batch.column("text")):
+            for value in batch.column("text"):
                 tokens = shingles(value.as_py(), words)
                 digest = _digest(tokens)
                 if digest not in known:
-                    marks += [(i, tag, m) for tag, m in signatures(tokens, threshold)]
+                    marks += [(_node(digest), tag, m) for tag, m in signatures(tokens, threshold)]
                     if len(known) >= KNOWN:
                         known.clear()
                     known.add(digest)
@@ -196,6 +207,32 @@ def signature_rows(docs: DataFrame, doc_id: str, text: str, words: int, threshol
     return _texts(docs, doc_id, text).where("id IS NOT NULL").mapInArrow(work, "id long, tag long, signature long")
 
 
+def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of ``COUNTED`` rows or more."""
+    held: list[pa.RecordBatch] = []
+    rows = 0
+    for batch in batches:
+        held.append(batch)
+        rows += batch.num_rows
+        if rows >= COUNTED:
+            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+            held, rows = [], 0
+    if rows:
+        yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+
+
+def _distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A stream sorted by (signature, id) without rows that are equal in both to the one before."""
+    last = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        marks, ids = batch.column("signature").to_numpy(), batch.column("id").to_numpy()
+        new = np.concatenate(([last != (marks[0], ids[0])], (marks[1:] != marks[:-1]) | (ids[1:] != ids[:-1])))
+        last = marks[-1], ids[-1]
+        yield batch.filter(pa.array(new))
+
+
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The rows of a stream sorted by signature that have a neighbour with the same one."""
     held: pa.RecordBatch | None = None
@@ -217,22 +254,39 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Links from the first id of each signature to its others, of a stream sorted by (signature, id)."""
+    """``(a, b, tag, lists)`` of a stream sorted by (signature, id): in how many lists with ``b`` ``a`` is the first, ``b`` itself included.
+
+    Lists are counted batch by batch, so a link can come in several rows.
+    """
     last_mark = last_first = None
     for batch in batches:
         if not batch.num_rows:
             continue
-        marks, ids = batch.column("signature").to_numpy(), batch.column("id").to_numpy()
+        marks, ids, tags = (batch.column(c).to_numpy() for c in ("signature", "id", "tag"))
         starts = np.concatenate(([True], marks[1:] != marks[:-1]))
         firsts = ids[np.flatnonzero(starts)]
         if last_mark is not None and marks[0] == last_mark:
             firsts[0] = last_first
         first = firsts[np.cumsum(starts) - 1]
         last_mark, last_first = marks[-1], first[-1]
-        link = first != ids
-        if link.any():
-            pairs = np.unique(np.column_stack((first[link], ids[link])), axis=0)
-            yield pa.record_batch([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+        order = np.lexsort((tags, first, ids))
+        a, b, tag = first[order], ids[order], tags[order]
+        new = np.flatnonzero(np.concatenate(([True], (a[1:] != a[:-1]) | (b[1:] != b[:-1]) | (tag[1:] != tag[:-1]))))
+        yield pa.record_batch([*map(pa.array, (a[new], b[new], tag[new], np.diff(np.append(new, len(a)))))], names=["a", "b", "tag", "lists"])
+
+
+def star_links(stars: DataFrame) -> DataFrame:
+    """``(a, b)``: what sets in enough lists keep of ``stars(a, b, tag, lists)``, links of the fewest lists left out.
+
+    A set asks for ``need`` lists in common; so does its partner, and with less than half of them left out by
+    each, one is left that both keep.
+    """
+    need = F.col("tag").bitwiseAND((1 << NEED_BITS) - 1)
+    own = Window.partitionBy("b", "tag")
+    fewest = own.orderBy("lists", "a").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    stars = stars.groupBy("a", "b", "tag").agg(F.sum("lists").alias("lists"))
+    stars = stars.select("a", "b", need.alias("need"), F.sum("lists").over(own).alias("all"), F.sum("lists").over(fewest).alias("upto"))
+    return stars.where("a <> b AND all >= need AND upto > (need - 1) DIV 2").select("a", "b")
 
 
 def lists_aside(longest: int, lists: int, threshold: int) -> int:
@@ -394,7 +448,7 @@ def link_sets(sets: list[np.ndarray], threshold: int) -> list[tuple[int, int]]:
     return links
 
 
-def _search(threshold: int):
+def _search(threshold: int, words: int):
     def work(group: pa.Table) -> Iterator[pa.RecordBatch]:
         ids = group.column("id").to_pylist()
         sets = [np.frombuffer(b.as_buffer(), np.uint64) for b in group.column("tokens")]
@@ -405,42 +459,35 @@ def _search(threshold: int):
                 [pa.array([ids[i] for i in a], pa.int64()), pa.array([ids[i] for i in b], pa.int64())], names=["a", "b"]
             )
 
-    return lambda batches: grouped_runs(batches, ["block", "i", "j"], work)
+    return lambda batches: grouped_runs(_tokens(batches, words), ["block", "i", "j"], work)
 
 
-def _members(docs: DataFrame, sets: DataFrame, blocks: DataFrame) -> DataFrame:
-    """``(id, digest, block, i, j)``: each distinct set that shares its block, with the parts to search it in."""
-    named = blocks.select(F.col("node").alias("id"), F.col("component").alias("block"))
-    named = named.unionByName(named.select(F.col("block").alias("id"), "block").distinct())
-    # equal sets share all signatures, so those that spoke are in one block
-    own = sets.where("n > 0 AND id IS NOT NULL").join(named.hint("merge"), "id", "left")
-    own = own.groupBy("digest").agg(F.min("id").alias("id"), F.max("n").alias("n"), F.min("block").alias("block")).where("block IS NOT NULL")
+def _members(sets: DataFrame, blocks: DataFrame) -> DataFrame:
+    """``(id, n, digest, block, i, j)``: each distinct set that shares its block, with the parts to search it in."""
+    named = blocks.select("node", F.col("component").alias("block"))
+    named = named.unionByName(named.select(F.col("block").alias("node"), "block").distinct())
+    own = sets.where("n > 0 AND id IS NOT NULL").groupBy("digest").agg(*[F.min(c).alias(c) for c in ("id", "n", "node")])
+    own = own.join(named.hint("merge"), "node").drop("node")
     sizes = own.groupBy("block").agg(F.count(F.lit(1)).alias("rows"), F.sum("n").alias("shingles")).where("rows > 1")
     sizes = sizes.select("block", F.greatest(F.ceil(F.col("rows") / BLOCK_ROWS), F.ceil(F.col("shingles") / BLOCK_SHINGLES)).alias("parts"))
     own = own.join(sizes, "block").withColumn("part", F.pmod(F.xxhash64("digest"), F.col("parts")))
     other = own.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
     # a pair of parts also settles the pairs inside them
     other = other.where("parts = 1 OR other <> part")
-    return other.select("id", "digest", "block", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"))
+    return other.select("id", "n", "digest", "block", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"))
 
 
-def _with_tokens(docs: DataFrame, members: DataFrame, doc_id: str, text: str, words: int) -> DataFrame:
-    schema = pa.schema([
-        ("block", pa.int64()), ("i", pa.int64()), ("j", pa.int64()), ("id", pa.int64()), ("n", pa.int64()), ("tokens", pa.binary()),
-    ])
-
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = []
-            for value, row in zip(batch.column("text"), batch.drop_columns(["text"]).to_pylist()):
-                tokens = shingles(value.as_py(), words)
-                if _digest(tokens) == row["digest"]:
-                    rows.append((row["block"], row["i"], row["j"], row["id"], len(tokens), tokens.tobytes()))
-            if rows:
-                yield pa.record_batch([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
-
-    rows = _texts(docs, doc_id, text).join(members.hint("merge"), "id")
-    return rows.mapInArrow(work, "block long, i long, j long, id long, n long, tokens binary")
+def _tokens(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBatch]:
+    """``(block, i, j, id, tokens)`` of rows with texts, without those whose id stands for another text's set."""
+    schema = pa.schema([("block", pa.int64()), ("i", pa.int64()), ("j", pa.int64()), ("id", pa.int64()), ("tokens", pa.binary())])
+    for batch in batches:
+        rows = []
+        for value, row in zip(batch.column("text"), batch.drop_columns(["text"]).to_pylist()):
+            tokens = shingles(value.as_py(), words)
+            if _digest(tokens) == row["digest"]:
+                rows.append((row["block"], row["i"], row["j"], row["id"], tokens.tobytes()))
+        if rows:
+            yield pa.record_batch([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
 
 
 def similar_documents(
@@ -450,21 +497,17 @@ def similar_documents(
 
     ``component_id`` is the smallest id that can be reached by links, the document's own included.
     """
-    sets = durable(shingle_sets(docs, doc_id, text, words), "shingle-sets")
+    sets = settled(shingle_sets(docs, doc_id, text, words), "shingle-sets")
     marks = signature_rows(docs, doc_id, text, words, threshold)
-    marks = marks.repartition("signature").sortWithinPartitions("signature")
-    shared = durable(marks.mapInArrow(_shared, "id long, tag long, signature long"), "shared-signatures")
-    enough = shared.groupBy("id", "tag").count().where(F.col("count") >= F.col("tag").bitwiseAND((1 << NEED_BITS) - 1))
-    # here and below by key at every size: whether a side would fit a broadcast must not decide the plan
-    partners = shared.join(enough.hint("merge"), ["id", "tag"], "left_semi").select("signature", "id")
-    stars = partners.repartition("signature").sortWithinPartitions("signature", "id").mapInArrow(_stars, "a long, b long")
-    blocks = components(stars.distinct())
-    forget(shared)
-    members = durable(_members(docs, sets, blocks), "block-members")
+    marks = marks.repartition("signature").sortWithinPartitions("signature", "id")
+    stars = marks.mapInArrow(lambda batches: _stars(_shared(_distinct(_gathered(batches)))), "a long, b long, tag long, lists long")
+    blocks = components(star_links(stars))
+    members = settled(_members(sets, blocks), "block-members")
     forget(blocks)
-    tokens = _with_tokens(docs, members, doc_id, text, words)
-    found = tokens.repartition("block", "i", "j").sortWithinPartitions("block", "i", "j", "n", "id").mapInArrow(
-        _search(threshold), "a long, b long"
+    # here and above by key at every size: whether a side would fit a broadcast must not decide the plan
+    texts = _texts(docs, doc_id, text).join(members.hint("merge"), "id")
+    found = texts.repartition("block", "i", "j").sortWithinPartitions("block", "i", "j", "n", "id").mapInArrow(
+        _search(threshold, words), "a long, b long"
     )
     equal = sets.where("n > 0 AND id IS NOT NULL").select("id", "digest")
     first = equal.groupBy("digest").agg(F.min("id").alias("a"))

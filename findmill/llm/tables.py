@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from findmill.session import durable
 
 __all__ = [
-    "SPACES", "ascii_lower", "durable", "forget", "grouped_runs", "packed", "release_memory", "strip_spaces", "table", "unpacked", "unused",
+    "SPACES", "ascii_lower", "durable", "forget", "grouped_runs", "packed", "release_memory", "settled", "strip_spaces", "table", "unpacked", "unused",
 ]
 
 #: The white space that the text rules name: space and the controls 0x09 to 0x0D.
@@ -54,6 +54,20 @@ def unused(df: DataFrame, name: str) -> str:
     return name
 
 
+def settled(df: DataFrame, name: str) -> DataFrame:
+    """``durable``, with the shuffle files of the write removed as soon as the table is there.
+
+    Else they stay until the driver happens to collect its garbage, beside those of the steps that follow.
+    """
+    spark, key = df.sparkSession, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, "true")
+    try:
+        return durable(df, name)
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
 def forget(*tables: DataFrame) -> None:
     """Delete tables that ``durable`` wrote, once nothing will read them again."""
     for df in tables:

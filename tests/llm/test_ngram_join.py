@@ -198,3 +198,49 @@ def test_many_sets_just_below_the_threshold_take_seconds():
             both = len(np.intersect1d(sets[x], sets[y]))
             if x != y and 100 * both >= 85 * (len(sets[x]) + len(sets[y]) - both):
                 assert component[x] == component[y]
+
+
+def test_lists_shared_by_chance_join_no_block(spark):
+    """Near copies in pairs, each set in one list with the next pair too: pairs stay apart, and none is cut."""
+    need = 5
+    tag = 3 << nj.NEED_BITS | need
+    stars = []
+    for k in range(0, 40, 2):
+        # the pair has 9 lists, the first set counted in them too; the odd set is in one more list, of the pair before
+        stars += [(k, k, tag, 4), (k, k, tag, 5), (k, k + 1, tag, 4), (k, k + 1, tag, 5)] + ([(k - 1, k + 1, tag, 1)] if k else [])
+    stars += [(100, 101, tag, need - 1), (100, 100, tag, need - 1)]
+    got = nj.star_links(spark.createDataFrame(stars, "a long, b long, tag long, lists long")).collect()
+    assert sorted(map(tuple, got)) == [(k, k + 1) for k in range(0, 40, 2)]
+
+
+@pytest.mark.parametrize("words,threshold", [(4, 85), (5, 80)])
+def test_linked_sets_share_a_block(spark, words, threshold):
+    """What is left of the lists' links joins all linked sets, and few others."""
+    import pyarrow as pa
+
+    rows = corpus(11, 150) + corpus(12, 150)
+    sets = {nj._node(nj._digest(s)): s for s in (nj.shingles(t, words) for _, t in rows) if len(s)}
+    marks = [(m, i, tag) for i, s in sets.items() for tag, found in nj.signatures(s, threshold) for m in found.tolist()]
+    # copies of other tasks are in the stream again
+    columns = [pa.array(c, pa.int64()) for c in zip(*sorted(marks + marks[::3]))]
+    stream = pa.table(columns, names=["signature", "id", "tag"]).to_batches(max_chunksize=7)
+    found = [r for b in nj._stars(nj._shared(nj._distinct(stream))) for r in zip(*(c.to_pylist() for c in b.columns))]
+    links = nj.star_links(spark.createDataFrame(found, "a long, b long, tag long, lists long"))
+    block = {r.node: r.component for r in components(links).collect()}
+    linked = 0
+    for i, x in sets.items():
+        for j, y in sets.items():
+            both = len(np.intersect1d(x, y))
+            if i < j and 100 * both >= threshold * (len(x) + len(y) - both):
+                linked += 1
+                assert block.get(i, i) == block.get(j, j)
+    assert linked > 50
+
+
+def test_copies_of_other_tasks_make_no_list():
+    import pyarrow as pa
+
+    rows = pa.table({"id": [4, 4, 4, 5, 5, 6], "tag": [1] * 6, "signature": [7, 7, 8, 8, 8, 9]})
+    for size in (1, 2, 6):
+        got = [r for b in nj._shared(nj._distinct(rows.to_batches(max_chunksize=size))) for r in b.to_pylist()]
+        assert [(r["id"], r["signature"]) for r in got] == [(4, 8), (5, 8)]
