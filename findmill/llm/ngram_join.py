@@ -46,7 +46,7 @@ import heapq
 import math
 from bisect import bisect_left
 from collections.abc import Iterator
-from functools import cache
+from functools import cache, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -68,6 +68,8 @@ MU = 0.0085
 HEAP_ENTRIES = 512
 #: Digests that a task keeps to leave out copies, and rows of signatures that it hands over at a time.
 KNOWN, HANDED = 200_000, 1 << 15
+#: The lists are read in so many shares, one after the other, so that only one share of the signatures is on disk.
+SHARES = 2
 #: Rows of signatures that are looked at together.
 COUNTED = 1 << 16
 #: Candidates beyond which the long lists are probed as bit maps, one list after the other before.
@@ -180,8 +182,12 @@ def _texts(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     return docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text"))
 
 
-def signature_rows(docs: DataFrame, doc_id: str, text: str, words: int, threshold: int) -> DataFrame:
-    """``(id, tag, signature)`` of the sets, ``id`` the set's number; of equal sets in one task the first speaks for all."""
+def signature_rows(docs: DataFrame, doc_id: str, text: str, words: int, threshold: int, share: int) -> DataFrame:
+    """``(id, tag, signature)`` of the sets, ``id`` the set's number; of equal sets in one task the first speaks for all.
+
+    Only signatures of one of ``SHARES`` shares, which has all rows of a list or none.
+    """
+    of = SHARES
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: set[bytes] = set()
@@ -191,7 +197,7 @@ def signature_rows(docs: DataFrame, doc_id: str, text: str, words: int, threshol
                 tokens = shingles(value.as_py(), words)
                 digest = _digest(tokens)
                 if digest not in known:
-                    marks += [(_node(digest), tag, m) for tag, m in signatures(tokens, threshold)]
+                    marks += [(_node(digest), tag, m[m % of == share]) for tag, m in signatures(tokens, threshold)]
                     if len(known) >= KNOWN:
                         known.clear()
                     known.add(digest)
@@ -275,6 +281,10 @@ def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([*map(pa.array, (a[new], b[new], tag[new], np.diff(np.append(new, len(a)))))], names=["a", "b", "tag", "lists"])
 
 
+def _counted(stars: DataFrame) -> DataFrame:
+    return stars.groupBy("a", "b", "tag").agg(F.sum("lists").alias("lists"))
+
+
 def star_links(stars: DataFrame) -> DataFrame:
     """``(a, b)``: what sets in enough lists keep of ``stars(a, b, tag, lists)``, links of the fewest lists left out.
 
@@ -284,8 +294,7 @@ def star_links(stars: DataFrame) -> DataFrame:
     need = F.col("tag").bitwiseAND((1 << NEED_BITS) - 1)
     own = Window.partitionBy("b", "tag")
     fewest = own.orderBy("lists", "a").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    stars = stars.groupBy("a", "b", "tag").agg(F.sum("lists").alias("lists"))
-    stars = stars.select("a", "b", need.alias("need"), F.sum("lists").over(own).alias("all"), F.sum("lists").over(fewest).alias("upto"))
+    stars = _counted(stars).select("a", "b", need.alias("need"), F.sum("lists").over(own).alias("all"), F.sum("lists").over(fewest).alias("upto"))
     return stars.where("a <> b AND all >= need AND upto > (need - 1) DIV 2").select("a", "b")
 
 
@@ -498,10 +507,14 @@ def similar_documents(
     ``component_id`` is the smallest id that can be reached by links, the document's own included.
     """
     sets = settled(shingle_sets(docs, doc_id, text, words), "shingle-sets")
-    marks = signature_rows(docs, doc_id, text, words, threshold)
-    marks = marks.repartition("signature").sortWithinPartitions("signature", "id")
-    stars = marks.mapInArrow(lambda batches: _stars(_shared(_distinct(_gathered(batches)))), "a long, b long, tag long, lists long")
-    blocks = components(star_links(stars))
+    shares = []
+    for share in range(SHARES):
+        marks = signature_rows(docs, doc_id, text, words, threshold, share)
+        marks = marks.repartition("signature").sortWithinPartitions("signature", "id")
+        stars = marks.mapInArrow(lambda batches: _stars(_shared(_distinct(_gathered(batches)))), "a long, b long, tag long, lists long")
+        shares.append(settled(_counted(stars), "star-links"))
+    blocks = components(star_links(reduce(DataFrame.unionByName, shares)))
+    forget(*shares)
     members = settled(_members(sets, blocks), "block-members")
     forget(blocks)
     # here and above by key at every size: whether a side would fit a broadcast must not decide the plan

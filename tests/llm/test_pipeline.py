@@ -102,3 +102,22 @@ def test_entry_point_works_without_the_operators(tmp_path):
     )
     done = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, timeout=120, cwd=tmp_path)
     assert done.returncode == 0 and done.stdout.split()[1] == "False", done.stderr[-500:]
+
+
+def test_settled_tables_leave_no_shuffle_files(spark):
+    import time
+
+    from findmill.llm.tables import settled
+
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    kept = spark.conf.get(key)
+    store = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    files = lambda: set(filter(lambda f: "shuffle_" in f, store.getAllFiles().mkString("\n").split("\n")))
+    before = files()
+    table = settled(spark.range(1000).selectExpr("id % 7 AS k", "id").repartition(5, "k"), "settled-test")
+    for _ in range(100):
+        if not files() - before:
+            break
+        time.sleep(0.1)
+    assert not files() - before
+    assert table.count() == 1000 and spark.conf.get(key) == kept
